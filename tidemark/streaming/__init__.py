@@ -1,0 +1 @@
+"""Intentionally empty: every input is a finished batch and no operator keeps state across batches."""
