@@ -12,7 +12,7 @@ from tidemark.operators.ranks import position_in_group
 from tidemark.schemas import TARGET_ENCODED, TARGETS, categorical
 from tidemark.session import BROADCAST_MAX_ROWS, materialize
 
-_EVERY_ROW = "*"
+_EVERY_ROW = "_every_row"
 MISSING = -1.0
 UNKNOWN = "unknown"
 

@@ -25,6 +25,7 @@ SCALES = [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]
 DEFAULT_THRESHOLD = 0.5
 DEFAULT_ALPHA = 0.8
 NO_SCALE = 1.0
+UNDECIDED = 0.5
 
 MULTICLASS = ("m0", "m1", "m2")
 
@@ -57,6 +58,13 @@ def scaled(scores: Sequence[Column], scale: Column) -> list[Column]:
     return normalised([stay, leave * scale, fail])
 
 
+def with_second_stage(rows: DataFrame, second: DataFrame, key: str = KEY) -> DataFrame:
+    """Attach stage-2 scores; users without one get an undecided 0.5."""
+    return rows.join(second.select(key, "s2"), key, "left").withColumn(
+        "s2", F.coalesce("s2", F.lit(UNDECIDED))
+    )
+
+
 def _grid(df: DataFrame, values: Sequence[float]) -> DataFrame:
     """Every row once per grid value; the aggregate above folds them before any shuffle."""
     points = F.array(

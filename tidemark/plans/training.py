@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.ranks import stratified_folds
 from tidemark.plans.encode import dense_matrix
+from tidemark.plans.ensemble import MULTICLASS, with_second_stage
 from tidemark.schemas import CLASSES, KEY, MODEL_FEATURES
 
 # Number of folds, seeds, and the tree settings Spark ML can express.
@@ -282,13 +283,12 @@ def oof_scores(
     else:
         stayed = train.where(F.col("is_churned") == 0)
         second = s2.oof.select(key, "s2").unionByName(mean_scores(s2.models, stayed, [("s2", 1)], key))
-    return (
+    rows = (
         train.select(key, "y", F.col("fold_s1").alias("fold"))
         .join(s1.oof.select(key, "s1"), key)
-        .join(second, key, "left")
-        .join(mc.oof.select(key, "m0", "m1", "m2"), key)
-        .withColumn("s2", F.coalesce("s2", F.lit(0.5)))
+        .join(mc.oof.select(key, *MULTICLASS), key)
     )
+    return with_second_stage(rows, second, key)
 
 
 def test_scores(s1: Scores, s2: Scores, mc: Scores, key: str = KEY) -> DataFrame:
