@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,18 +66,29 @@ SOURCES = ("customer", "nation", "orders", "lineitem", "part", "events")
 _TWICE = "(SELECT c_custkey, 0 AS seq FROM {c} UNION ALL SELECT c_custkey, 1 AS seq FROM {c})"
 
 
-def _sql(view: str, sources: dict[str, str]) -> str:
+def _sql(text: str, sources: dict[str, str]) -> str:
     names = dict(sources, customer_twice=_TWICE.format(c=sources["customer"]))
-    return Template(VIEWS[view]).substitute(names)
+    return Template(text).substitute(names)
 
 
-def table(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    return spark.sql(_sql(view, {s: f"parquet.`{sf_dir}/{s}.parquet`" for s in SOURCES}))
+def tables(spark: SparkSession, sf_dir: str, views: Iterable[str] = VIEWS) -> dict[str, DataFrame]:
+    """The named views over the Parquet files of a data folder."""
+    sources: dict[str, DataFrame] = {}
+    out = {}
+    for view in views:
+        used = [s for s in SOURCES if re.search(rf"\${s}\b", VIEWS[view].replace("_twice", ""))]
+        for s in used:
+            sources.setdefault(s, spark.read.parquet(f"{sf_dir}/{s}.parquet"))
+        # Braces mark the tables handed to spark.sql, so those of the text itself are doubled.
+        text = VIEWS[view].replace("{", "{{").replace("}", "}}")
+        sql = _sql(text, {s: f"{{{s}}}" for s in SOURCES})
+        out[view] = spark.sql(sql, **{s: sources[s] for s in used})
+    return out
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {view: table(spark, sf_dir, view) for view in VIEWS}
+def table(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    return tables(spark, sf_dir, [view])[view]
 
 
 def duckdb_sql(view: str) -> str:
-    return _sql(view, {s: s for s in SOURCES})
+    return _sql(VIEWS[view], {s: s for s in SOURCES})

@@ -366,6 +366,27 @@ SELECT user_id, b0, b1, b2, {_PRED} FROM (
   {_mixed("(SELECT * FROM unseen_tuned WHERE scale <> 1)", "user_id, scale", "thr", "alpha", "scale")}
 ) t"""
 
+# The same three sweeps without one fold, and that fold called under their winners.
+for _k in range(5):
+    PIECES[f"rest_{_k}"] = f"\nSELECT * FROM oof WHERE fold <> {_k}"
+    PIECES[f"thr_{_k}"] = (
+        f"\nSELECT value AS thr FROM ({_sweep(f'rest_{_k}', 'grid_thr', 'value', '0.8::DOUBLE')}) s {_BEST}"
+    )
+    PIECES[f"rest_thr_{_k}"] = f"\nSELECT * FROM rest_{_k}, thr_{_k}"
+    PIECES[f"alpha_{_k}"] = (
+        f"\nSELECT value AS alpha FROM ({_sweep(f'rest_thr_{_k}', 'grid_alpha', 'thr', 'value')}) s {_BEST}"
+    )
+    PIECES[f"rest_alpha_{_k}"] = f"\nSELECT * FROM rest_thr_{_k}, alpha_{_k}"
+    PIECES[f"scale_{_k}"] = (
+        f"\nSELECT value AS scale FROM ({_scale_sweep(f'rest_alpha_{_k}', 'thr', 'alpha')}) s {_BEST}"
+    )
+    PIECES[f"held_{_k}"] = f"\nSELECT * FROM (SELECT * FROM oof WHERE fold = {_k}) h, thr_{_k}, alpha_{_k}, scale_{_k}"
+PIECES["held_called"] = " UNION ALL ".join(
+    f"SELECT y, {_PRED} FROM ({_mixed(f'(SELECT * FROM held_{k} WHERE scale = 1)', 'y, scale', 'thr', 'alpha')}) p{k}"
+    f" UNION ALL SELECT y, {_PRED} FROM ({_mixed(f'(SELECT * FROM held_{k} WHERE scale <> 1)', 'y, scale', 'thr', 'alpha', 'scale')}) q{k}"
+    for k in range(5)
+)
+
 # --- final SELECTs -------------------------------------------------------------------------------
 
 # Result columns by type; everything else is text.
@@ -377,7 +398,7 @@ _INTEGER = set(
     qf_cost qf_incon qf_limited qf_prompt qf_other ta_total ta_failed_count ta_success_count
     ta_card_declined ta_cvc_fail ta_expired ta_auth_req ta_is_prepaid ta_is_virtual ta_is_business ta_is_3ds
     ta_3ds_auth ta_ctry_mismatch ta_max_consec_fail ta_max_retries ta_cvc_pass prop_tier prop_dow prop_month
-    prop_day has_gen has_tx has_purch fold fold_te fold_s1 fold_mc y pred step n support users events day
+    prop_day has_gen has_tx has_purch fold fold_te fold_s1 fold_mc fold_s2 y pred step n support users events day
     n_rows key_sum text_count class_id n_reasons renewal_warning day7_intervention quick_start
     pred_not pred_vol pred_invol
     """.split()
@@ -519,9 +540,14 @@ _slice(
 )
 _slice("zero_fill", "filled", zero_filled())
 _slice("risk_composites", "features", ["has_gen", "has_tx", "has_purch", *_COMPOSITE])
+PIECES["folds_s2"] = f"""
+SELECT user_id, {_fold("is_invol", 42, "fold_s2")} FROM labelled WHERE is_churned = 1"""
 _oracle(
     "stratified_folds",
-    _shaped("user_id y fold_te fold_s1 fold_mc".split(), "folds WHERE split = 'train'"),
+    _shaped(
+        "user_id fold_te fold_s1 fold_mc fold_s2".split(),
+        "folds LEFT JOIN folds_s2 USING (user_id) WHERE split = 'train'",
+    ),
 )
 _slice("target_encode_oof", "te_train", ["fold", *[n for n, _ in _TE]])
 _slice("target_encode_test", "te_test", [n for n, _ in _TE])
@@ -618,6 +644,7 @@ SELECT CAST(user_id AS BIGINT) AS user_id, {_real("b0")} AS p0, {_real("b1")} AS
 _oracle("threshold_sweep", _shaped(["step", "value", "f1"], "sweep_thr"))
 _oracle("alpha_sweep", _shaped(["step", "value", "f1"], "sweep_alpha"))
 _oracle("vol_scale_sweep", _shaped(["step", "value", "f1"], "sweep_scale"))
+_oracle("nested_f1", f"SELECT {_real('f1')} AS f1 FROM ({_f1('SELECT y, pred FROM held_called')}) r")
 _CLASS = "CASE pred WHEN 0 THEN 'not_churned' WHEN 1 THEN 'vol_churn' ELSE 'invol_churn' END AS churn_status"
 _oracle("submission", f"SELECT CAST(user_id AS BIGINT) AS user_id, {_CLASS} FROM final")
 _oracle(

@@ -5,9 +5,11 @@ Results are shaped for comparison only here: integers as bigint, doubles rounded
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from tidemark.functions.labels import decode, with_targets
 from tidemark.operators.ranks import stratified_folds
 from tidemark.plans import analytics, encode, ensemble, generations, metrics, profile, training, transactions
 from tidemark.plans.assemble import feature_table, join_sources, with_composites, zero_fill
-from tidemark.plans.pipeline import encode_splits, model_frames
+from tidemark.plans.pipeline import encode_splits, model_frames, with_folds
 from tidemark.schemas import (
     BASE_FEATURES,
     COMPOSITE_FEATURES,
@@ -25,6 +27,7 @@ from tidemark.schemas import (
     LABEL,
     MODEL_FEATURES,
     PRESENCE_FEATURES,
+    TABLES,
     TARGET_ENCODED,
     TE_FEATURES,
     categorical,
@@ -92,14 +95,22 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
-def _write_split(tables: Mapping[str, DataFrame], root: str, split: str) -> None:
-    users = tables["users"].where(F.col("split") == split)
-    for name, path in split_paths(root, split).items():
-        rows = users.drop("split") if name == "users" else tables[name].join(users.select(KEY), KEY, "left_semi")
-        if name == "users" and split == "test":
-            rows = rows.drop(LABEL)
+def _write_splits(tables: Mapping[str, DataFrame], root: str, splits: Sequence[str]) -> None:
+    """CSV folders of every split; the writes are independent jobs submitted together."""
+
+    def write(job: tuple[str, str, str]) -> None:
+        split, name, path = job
+        users = tables["users"].where(F.col("split") == split)
+        if name == "users":
+            rows = users.drop("split", *([LABEL] if split == "test" else []))
+        else:
+            rows = tables[name].join(users.select(KEY), KEY, "left_semi")
         write_csv(rows.select([F.col(c).cast("string") for c in rows.columns]), path)
 
+    jobs = [(s, name, path) for s in splits for name, path in split_paths(root, s).items()]
+    with ThreadPool(len(TABLES)) as pool:
+        pool.map(inheritable_thread_target(tables["users"].sparkSession)(write), jobs)
+
 
 @query
 def src_csv_roundtrip(spark, sf_dir):
@@ -115,8 +126,9 @@ def src_csv_roundtrip(spark, sf_dir):
         "transactions": (F.col("amount_in_usd"), F.col("failure_code")),
     }
     parts = []
-    for split in ("train", "test"):
-        _write_split(tables, root, split)
+    splits = ("train", "test")
+    _write_splits(tables, root, splits)
+    for split in splits:
         for name, df in load_split(spark, root, split).items():
             measure, text = probes[name]
             parts.append(
@@ -296,10 +308,8 @@ def _train_users(spark, sf_dir) -> DataFrame:
 
 
 def _folds(spark, sf_dir):
-    """Folds of the target encoding, the first stage and the three-class model."""
-    users = _train_users(spark, sf_dir)
-    folded = stratified_folds(users, KEY, "y", training.ENCODING_SEED, name="fold_te")
-    return training.with_model_folds(folded).select(KEY, "y", "fold_te", "fold_s1", "fold_mc")
+    """Folds of the target encoding, both stages and the three-class model."""
+    return training.fold_table(_train_users(spark, sf_dir))
 
 
 register("stratified_folds", _folds)
@@ -359,7 +369,8 @@ def ordinal_encode(spark, sf_dir):
 @query
 def feature_matrix(spark, sf_dir):
     """The 130 model inputs of both splits."""
-    train, test = encode_splits(*_feature_splits(spark, sf_dir))
+    train, test = _feature_splits(spark, sf_dir)
+    train, test = encode_splits(materialize(with_folds(train), "train-folds"), test)
     rounded = lambda df: df.select(
         KEY, *[six_places(F.col(f)).alias(f) for f in MODEL_FEATURES]
     )
@@ -453,19 +464,24 @@ def cascade_proba(spark, sf_dir):
     return rows.withColumn("pred", ensemble.first_argmax([F.col("p0"), F.col("p1"), F.col("p2")]))
 
 
+def _swept(spark, sf_dir, grid: list[ensemble.Candidate], value: str) -> DataFrame:
+    outcome = ensemble.sweep(_oof(spark, sf_dir), grid)
+    return outcome.select("step", F.coalesce(value, F.lit(1.0)).alias("value"), "f1")
+
+
 @query
 def threshold_sweep(spark, sf_dir):
-    return ensemble.threshold_sweep(_oof(spark, sf_dir))
+    return _swept(spark, sf_dir, ensemble.threshold_grid(), "threshold")
 
 
 @query
 def alpha_sweep(spark, sf_dir):
-    return ensemble.alpha_sweep(_oof(spark, sf_dir), FIXED.threshold)
+    return _swept(spark, sf_dir, ensemble.alpha_grid(FIXED.threshold), "alpha")
 
 
 @query
 def vol_scale_sweep(spark, sf_dir):
-    return ensemble.scale_sweep(_oof(spark, sf_dir), FIXED.threshold, FIXED.alpha)
+    return _swept(spark, sf_dir, ensemble.scale_grid(FIXED.threshold, FIXED.alpha), "scale")
 
 
 def _tuned_test(spark, sf_dir) -> DataFrame:

@@ -25,7 +25,8 @@ def run_summary(df: DataFrame, key: str, order: Sequence[Column], flag: Column)
     chunked = log.repartitionByRange(key, *order_names).withColumn("chunk", F.spark_partition_id())
 
     # Inside a chunk: a run is the flagged rows that follow the same number of unflagged ones.
-    in_order = Window.partitionBy(key, "chunk").orderBy(*order_names)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy(key, "chunk").orderBy(*order_names).rowsBetween(*so_far)
     runs = (
         chunked.withColumn("breaks", F.sum(1 - F.col("flag")).over(in_order))
         .groupBy(key, "chunk", "breaks")
@@ -39,7 +40,7 @@ def run_summary(df: DataFrame, key: str, order: Sequence[Column], flag: Column)
     )
 
     # Across chunks: a broken chunk ends the open run with its head and opens a new one with its tail.
-    by_chunk = Window.partitionBy(key).orderBy("chunk")
+    by_chunk = Window.partitionBy(key).orderBy("chunk").rowsBetween(*so_far)
     piece = lambda island, run: F.struct(island.alias("island"), run.alias("run"))
     stitched = (
         chunks.withColumn("island", F.sum(F.col("broken").cast("int")).over(by_chunk))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import is_true
-from tidemark.plans.generations import daily_counts, day_columns, on_arc
-from tidemark.schemas import ARC_DAYS, CLASSES, KEY, LABEL
+from tidemark.plans.generations import DAYS, daily_counts, on_arc
+from tidemark.schemas import CLASSES, KEY, LABEL
 
 
 def class_profile(features: DataFrame, label: str = LABEL) -> DataFrame:
@@ -35,10 +34,10 @@ def daily_activity_by_class(
     )
     totals = per_user.groupBy(label).agg(
         F.count(F.lit(1)).alias("users"),
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(f"day_{d}") for d, c in enumerate(day_columns())],
+        *[F.sum(F.coalesce(name, F.lit(0))).alias(name) for name in DAYS],
     )
     days = [
-        F.struct(F.lit(d).alias("day"), F.col(f"day_{d}").alias("events")) for d in range(ARC_DAYS)
+        F.struct(F.lit(d).alias("day"), F.col(name).alias("events")) for d, name in enumerate(DAYS)
     ]
     return totals.select(label, "users", F.inline(F.array(*days))).withColumn(
         "events_per_user", F.col("events") / F.col("users")

@@ -6,7 +6,7 @@ m2`` the three-class model.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -30,12 +30,26 @@ UNDECIDED = 0.5
 MULTICLASS = ("m0", "m1", "m2")
 
 
+# Marks a candidate that holds out no fold.
+NONE = -1
+
+
 class Tuning(NamedTuple):
     threshold: float
     alpha: float
     scale: float
 
 
+class Candidate(NamedTuple):
+    """One point of a sweep; ``scale`` None leaves the blend unscaled."""
+
+    holdout: int
+    step: int
+    threshold: float
+    alpha: float
+    scale: float | None
+
+
 def cascade(churn: Column, invol: Column) -> list[Column]:
     """Class probabilities of the two stages: stay, leave by choice, leave by payment failure."""
     return [1.0 - churn, churn * (1.0 - invol), churn * invol]
@@ -65,53 +79,86 @@ def with_second_stage(rows: DataFrame, second: DataFrame, key: str = KEY) -> Dat
     )
 
 
-def _grid(df: DataFrame, values: Sequence[float]) -> DataFrame:
-    """Every row once per grid value; the aggregate above folds them before any shuffle."""
-    points = F.array(
-        *[F.struct(F.lit(i).alias("step"), F.lit(float(v)).alias("value")) for i, v in enumerate(values)]
-    )
-    return df.select("*", F.inline(points))
+def sweep(scores: DataFrame, candidates: Sequence[Candidate], fold: str | None = None) -> DataFrame:
+    """Weighted F1 of every candidate: holdout, step, threshold, alpha, scale, f1.
+
+    Each row meets the whole grid inside its task and the aggregate folds the outcomes into a few
+    counts per candidate before the shuffle. With ``fold``, a candidate skips the rows of the fold it
+    holds out.
+    """
+    rows = scores.select("*", F.inline(_literal(candidates)))
+    if fold is not None:
+        rows = rows.where(F.col(fold) != F.col("holdout"))
+    return weighted_f1(rows.withColumn("pred", _predict()), by=list(Candidate._fields))
+
 
+def _literal(candidates: Sequence[Candidate]) -> Column:
+    def struct(c: Candidate) -> str:
+        scale = "CAST(NULL AS DOUBLE)" if c.scale is None else f"{c.scale!r}D"
+        return (
+            f"named_struct('holdout', {c.holdout}, 'step', {c.step}, 'threshold', {c.threshold!r}D,"
+            f" 'alpha', {c.alpha!r}D, 'scale', {scale})"
+        )
 
-def _sweep(
-    scores: DataFrame, values: Sequence[float], predict: Callable[[Column], Column]
-) -> DataFrame:
-    """Weighted F1 per grid value: step, value, f1."""
-    called = _grid(scores, values).withColumn("pred", predict(F.col("value")))
-    return weighted_f1(called, by=["step", "value"])
+    return F.expr(f"array({', '.join(struct(c) for c in candidates)})")
 
 
-def threshold_sweep(scores: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
-    return _sweep(scores, THRESHOLDS, lambda t: first_argmax(blend(t, F.lit(alpha))))
+def _predict() -> Column:
+    """Class called by the candidate in the row; no scale leaves the blend as it is."""
+    mixed = blend(F.col("threshold"), F.col("alpha"))
+    weighed = first_argmax(scaled(mixed, F.col("scale")))
+    return F.when(F.col("scale").isNull(), first_argmax(mixed)).otherwise(weighed)
 
 
-def alpha_sweep(scores: DataFrame, threshold: float) -> DataFrame:
-    return _sweep(scores, ALPHAS, lambda a: first_argmax(blend(F.lit(threshold), a)))
+def threshold_grid(holdout: int = NONE, alpha: float = DEFAULT_ALPHA) -> list[Candidate]:
+    return [Candidate(holdout, i, t, alpha, None) for i, t in enumerate(THRESHOLDS)]
 
 
-def scale_sweep(scores: DataFrame, threshold: float, alpha: float) -> DataFrame:
+def alpha_grid(threshold: float, holdout: int = NONE) -> list[Candidate]:
+    return [Candidate(holdout, i, threshold, a, None) for i, a in enumerate(ALPHAS)]
+
+
+def scale_grid(threshold: float, alpha: float, holdout: int = NONE) -> list[Candidate]:
     """Step 0 is the unscaled blend, which a scale has to beat."""
-    mixed = blend(F.lit(threshold), F.lit(alpha))
+    return [
+        Candidate(holdout, i, threshold, alpha, s) for i, s in enumerate([None, *SCALES])
+    ]
 
-    def predict(scale: Column) -> Column:
-        plain = first_argmax(mixed)
-        return F.when(F.col("step") == 0, plain).otherwise(first_argmax(scaled(mixed, scale)))
 
-    return _sweep(scores, [NO_SCALE, *SCALES], predict)
+def _winners(scores: DataFrame, grids: Sequence[Sequence[Candidate]], fold: str | None) -> dict[int, Candidate]:
+    """Best candidate per holdout, the first on a tie; at most one row per candidate is collected."""
+    found: dict[int, tuple[float, Candidate]] = {}
+    outcome = sweep(scores, [c for grid in grids for c in grid], fold)
+    for row in sorted(outcome.where(F.col("f1") > 0).collect(), key=lambda r: r["step"]):
+        candidate = Candidate(*[row[f] for f in Candidate._fields])
+        if row["f1"] > found.get(candidate.holdout, (0.0, None))[0]:
+            found[candidate.holdout] = (row["f1"], candidate)
+    return {holdout: candidate for holdout, (_, candidate) in found.items()}
 
 
-def best(sweep: DataFrame, default: float) -> float:
-    """Value with the highest F1, the first on a tie; ``default`` if nothing scored above zero."""
-    top = sweep.where(F.col("f1") > 0).orderBy(F.desc("f1"), "step").select("value").first()
-    return default if top is None else top["value"]
+def _tune_each(scores: DataFrame, holdouts: Sequence[int], fold: str | None) -> dict[int, Tuning]:
+    """Threshold, then alpha, then scale; each sweep serves all holdouts in one job."""
+    start = {h: Candidate(h, 0, DEFAULT_THRESHOLD, DEFAULT_ALPHA, None) for h in holdouts}
+    best = start | _winners(scores, [threshold_grid(h) for h in holdouts], fold)
+    best |= _winners(scores, [alpha_grid(best[h].threshold, h) for h in holdouts], fold)
+    best |= _winners(scores, [scale_grid(best[h].threshold, best[h].alpha, h) for h in holdouts], fold)
+    return {h: Tuning(c.threshold, c.alpha, c.scale or NO_SCALE) for h, c in best.items()}
 
 
 def tune(scores: DataFrame) -> Tuning:
-    """The three sweeps in turn; only the winning value of each reaches the driver."""
-    threshold = best(threshold_sweep(scores), DEFAULT_THRESHOLD)
-    alpha = best(alpha_sweep(scores, threshold), DEFAULT_ALPHA)
-    scale = best(scale_sweep(scores, threshold, alpha), NO_SCALE)
-    return Tuning(threshold, alpha, scale)
+    """The three sweeps in turn over all rows."""
+    return _tune_each(scores, [NONE], None)[NONE]
+
+
+def nested_f1(scores: DataFrame, fold: str = "fold", folds: int = 5) -> DataFrame:
+    """Weighted F1 with every fold called by the tuning of the other folds."""
+    tuned = _tune_each(scores, range(folds), fold)
+    candidates = [
+        Candidate(h, 0, t.threshold, t.alpha, None if t.scale == NO_SCALE else t.scale)
+        for h, t in tuned.items()
+    ]
+    rows = scores.select("*", F.inline(_literal(candidates))).where(F.col(fold) == F.col("holdout"))
+    return weighted_f1(rows.withColumn("pred", _predict()))
 
 
 def probabilities(scores: DataFrame, tuning: Tuning) -> DataFrame:
@@ -123,16 +170,6 @@ def probabilities(scores: DataFrame, tuning: Tuning) -> DataFrame:
     return out.withColumn("pred", first_argmax([F.col("p0"), F.col("p1"), F.col("p2")]))
 
 
-def nested_f1(scores: DataFrame, fold: str = "fold", folds: int = 5) -> DataFrame:
-    """Weighted F1 with every fold called by the tuning of the other folds."""
-    called = None
-    for k in range(folds):
-        tuning = tune(scores.where(F.col(fold) != k))
-        part = probabilities(scores.where(F.col(fold) == k), tuning).select("y", "pred")
-        called = part if called is None else called.unionByName(part)
-    return weighted_f1(called)
-
-
 def submission(scored: DataFrame, key: str = KEY) -> DataFrame:
     return scored.select(key, decode(F.col("pred")).alias(LABEL))
 

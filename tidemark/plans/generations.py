@@ -58,8 +58,7 @@ def on_arc(
     return events.withColumn("day", arc_day(start, at, ARC_DAYS))
 
 
-def day_columns() -> list[Column]:
-    return [F.col(f"day_{d}") for d in range(ARC_DAYS)]
+DAYS = [f"day_{d}" for d in range(ARC_DAYS)]
 
 
 def daily_counts(events: DataFrame, key: str = KEY) -> DataFrame:
@@ -68,7 +67,7 @@ def daily_counts(events: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _daily() -> list[Column]:
-    return [F.count_if(F.col("day") == d).alias(f"day_{d}") for d in range(ARC_DAYS)]
+    return [F.count_if(F.col("day") == d).alias(name) for d, name in enumerate(DAYS)]
 
 
 def _rollup(events: DataFrame, key: str) -> DataFrame:
@@ -106,53 +105,57 @@ def _rollup(events: DataFrame, key: str) -> DataFrame:
 
 
 def _days(lo: int, hi: int = ARC_DAYS - 1) -> Column:
-    return arc.total(day_columns()[lo : hi + 1])
+    return arc.total(DAYS[lo : hi + 1])
 
 
-def _over(buckets: list[str], measure: str) -> Column:
-    return arc.total([F.col(f"{b}_{measure}") for b in buckets])
+def _with_arc_counts(rollup: DataFrame) -> DataFrame:
+    """Row counts per bucket and half, and the sums behind the trend, as columns."""
+    parts = {f"n_{bucket}": _days(lo, hi) for bucket, (lo, hi) in ARC_BUCKETS.items()}
+    parts["n_early"], parts["n_late"] = _days(0, LATE_FROM_DAY - 1), _days(LATE_FROM_DAY)
+    parts["n_last"] = _days(LAST_DAYS_FROM)
+    for half, wanted in (("early", lambda hi: hi < LATE_FROM_DAY), ("late", lambda hi: hi >= LATE_FROM_DAY)):
+        buckets = [b for b, (_, hi) in ARC_BUCKETS.items() if wanted(hi)]
+        for measure in ("credits", "done"):
+            parts[f"{half}_{measure}"] = arc.total([f"{b}_{measure}" for b in buckets])
+    return rollup.withColumns({**parts, **arc.moments(DAYS)})
 
 
 def from_rollup(events: DataFrame, key: str = KEY) -> DataFrame:
     """Every generation feature that needs no count per date or type."""
-    r = _rollup(events, key)
-    total = F.col("gen_total")
-    early = [b for b, (_, hi) in ARC_BUCKETS.items() if hi < LATE_FROM_DAY]
-    late = [b for b in ARC_BUCKETS if b not in early]
-    n_early, n_late = _days(0, LATE_FROM_DAY - 1), _days(LATE_FROM_DAY)
+    r = _with_arc_counts(_rollup(events, key))
+    c = F.col
+    total, n_early, n_late, n_last = c("gen_total"), c("n_early"), c("n_late"), c("n_last")
     both = (n_early > 0) & (n_late > 0)
-    n_last = _days(LAST_DAYS_FROM)
 
-    out = {name: per(F.col(count), total) for name, count in RATES.items()}
-    out["gen_span_hours"] = hours_between(F.col("first_at"), F.col("last_at"))
-    out["gen_video_ratio"] = per(F.col("gen_video_count"), total)
-    for bucket, (lo, hi) in ARC_BUCKETS.items():
-        n = _days(lo, hi)
+    out = {name: per(c(count), total) for name, count in RATES.items()}
+    out["gen_span_hours"] = hours_between(c("first_at"), c("last_at"))
+    out["gen_video_ratio"] = per(c("gen_video_count"), total)
+    for bucket in ARC_BUCKETS:
+        n = c(f"n_{bucket}")
         out[f"gen_{bucket}_count"] = when_any(n, n)
-        out[f"gen_{bucket}_credits"] = when_any(n, F.col(f"{bucket}_credits"))
-        out[f"gen_{bucket}_compl"] = when_any(n, per(F.col(f"{bucket}_done"), n))
-    out["gen_credit_early"] = when_any(n_early, _over(early, "credits"))
-    out["gen_credit_late"] = when_any(n_late, _over(late, "credits"))
+        out[f"gen_{bucket}_credits"] = when_any(n, c(f"{bucket}_credits"))
+        out[f"gen_{bucket}_compl"] = when_any(n, per(c(f"{bucket}_done"), n))
+    out["gen_credit_early"] = when_any(n_early, c("early_credits"))
+    out["gen_credit_late"] = when_any(n_late, c("late_credits"))
     out["gen_credit_vel_ratio"] = F.when(
-        both, _over(early, "credits") / nulls.clip(_over(late, "credits"), lo=0.1)
+        both, c("early_credits") / nulls.clip(c("late_credits"), lo=0.1)
     )
     out["gen_early_count"] = when_any(n_early, n_early)
     out["gen_late_count"] = when_any(n_late, n_late)
-    out["gen_activity_slope"] = arc.slope(day_columns())
-    out["gen_peak_day"] = arc.peak_day(day_columns())
-    out["gen_activity_cliff"] = arc.steepest_drop(day_columns())
+    out["gen_activity_slope"] = arc.slope()
+    out["gen_peak_day"] = arc.peak_day(DAYS)
+    out["gen_activity_cliff"] = arc.steepest_drop()
     out["gen_last3_count"] = when_any(n_last, n_last)
     out["gen_last3_frac"] = when_any(n_last, per(n_last, total))
-    out["gen_first_latency_h"] = hours_between(F.col("sub_start"), F.col("first_at"))
+    out["gen_first_latency_h"] = hours_between(c("sub_start"), c("first_at"))
     out["gen_compl_trend"] = F.when(
-        both, per(_over(late, "done"), n_late) - per(_over(early, "done"), n_early)
+        both, per(c("late_done"), n_late) - per(c("early_done"), n_early)
     )
     out["gen_video_credit_ratio"] = when_any(
-        F.col("gen_video_count"),
-        F.col("video_credits") / nulls.clip(F.col("gen_credit_total"), lo=0.1),
+        c("gen_video_count"), c("video_credits") / nulls.clip(c("gen_credit_total"), lo=0.1)
     )
     wanted = [n for n in names(GENERATION_FEATURES) if n not in BY_VALUE]
-    return r.select(key, *[out[n].alias(n) if n in out else F.col(n) for n in wanted])
+    return r.select(key, *[out[n].alias(n) if n in out else c(n) for n in wanted])
 
 
 def from_value_counts(generations: DataFrame, key: str = KEY) -> DataFrame:

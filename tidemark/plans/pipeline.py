@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.labels import with_targets
-from tidemark.operators.ranks import stratified_folds
 from tidemark.plans import encode, ensemble, metrics, training
 from tidemark.plans.assemble import feature_table
 from tidemark.schemas import KEY, TARGETS, categorical
@@ -41,34 +40,37 @@ def features(spark: SparkSession, root: str, split: str, store: str, **options)
     return build_or_load(spark, store, split, paths, build)
 
 
+def with_folds(train: DataFrame, key: str = KEY) -> DataFrame:
+    """Add targets and all fold columns; the wide rows move once, by key."""
+    labelled = with_targets(train)
+    return labelled.join(training.fold_table(labelled, key), key)
+
+
 def encode_splits(
-    train: DataFrame, test: DataFrame, key: str = KEY, shared_folds: bool = False
+    train: DataFrame, test: DataFrame, shared_folds: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Add target encodings and replace categories by codes.
+    """Add target encodings and replace categories by codes; ``train`` carries targets and folds.
 
     Target encoding comes first: it leaves missing categories missing. ``shared_folds`` encodes with
     the folds of the three-class model instead of folds of its own.
     """
-    seed = training.MODEL_SEED if shared_folds else training.ENCODING_SEED
-    labelled = stratified_folds(with_targets(train), key, "y", seed, training.FOLDS)
-    stats = encode.target_stats(labelled)
-    train, test = stats.out_of_fold(labelled), stats.full(test)
     columns = categorical()
-    train, test = encode.fill_categories(train, columns), encode.fill_categories(test, columns)
-    codes = encode.vocabulary([train, test], columns)
-    return (
-        encode.ordinal_encode(train, codes, columns),
-        encode.ordinal_encode(test, codes, columns),
-    )
+    codes = encode.vocabulary([encode.fill_categories(s, columns) for s in (train, test)], columns)
+    fold = "fold_mc" if shared_folds else "fold_te"
+    stats = encode.target_stats(train, fold)
+    encoded = stats.out_of_fold(train, fold), stats.full(test)
+    train, test = [
+        encode.ordinal_encode(encode.fill_categories(s, columns), codes, columns) for s in encoded
+    ]
+    return train, test
 
 
 def model_frames(train: DataFrame, test: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """Encoded splits as stored vector frames with targets and folds."""
-    train, test = encode_splits(train, test, key)
-    labelled = training.with_model_folds(train, key)
-    carried = ["y", *TARGETS, "fold_s1", "fold_mc"]
+    train, test = encode_splits(materialize(with_folds(train, key), "train-folds"), test)
+    carried = ["y", *TARGETS, *training.FOLD_COLUMNS]
     return (
-        materialize(training.model_frame(labelled, carried, key=key), "train-vectors"),
+        materialize(training.model_frame(train, carried, key=key), "train-vectors"),
         materialize(training.model_frame(test, [], key=key), "test-vectors"),
     )
 

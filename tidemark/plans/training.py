@@ -29,6 +29,8 @@ SUBSAMPLE = 0.8
 FEATURE_SHARE = "0.75"
 MIN_ROWS = 15
 
+FOLD_COLUMNS = ("fold_te", "fold_s1", "fold_mc", "fold_s2")
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -112,10 +114,19 @@ def model_frame(
     return assembled.select(key, *carried, "features").repartition(key).sortWithinPartitions(key)
 
 
-def with_model_folds(train: DataFrame, key: str = KEY) -> DataFrame:
-    """Fold columns of stage 1 (by churn) and the three-class model (by class)."""
-    folded = stratified_folds(train, key, "is_churned", MODEL_SEED, FOLDS, name="fold_s1")
-    return stratified_folds(folded, key, "y", MODEL_SEED, FOLDS, name="fold_mc")
+def fold_table(labelled: DataFrame, key: str = KEY) -> DataFrame:
+    """Folds of the encodings, both stages and the three-class model: one narrow row per user.
+
+    Ranking only the key and its labels keeps the wide feature rows out of every sort. Users who did
+    not churn have no stage-2 fold.
+    """
+    narrow = labelled.select(key, "y", "is_churned", "is_invol")
+    folds = stratified_folds(narrow, key, "y", ENCODING_SEED, FOLDS, name="fold_te")
+    folds = stratified_folds(folds, key, "is_churned", MODEL_SEED, FOLDS, name="fold_s1")
+    folds = stratified_folds(folds, key, "y", MODEL_SEED, FOLDS, name="fold_mc")
+    churned = narrow.where(F.col("is_churned") == 1)
+    second = stratified_folds(churned, key, "is_invol", MODEL_SEED, FOLDS, name="fold_s2")
+    return folds.join(second.select(key, "fold_s2"), key, "left").select(key, *FOLD_COLUMNS)
 
 
 def _weighted(train: DataFrame, label: str, fold: str, scheme: str | None) -> Callable[[int], DataFrame]:
@@ -221,10 +232,9 @@ def stage1(train: DataFrame, test: DataFrame, settings: Settings = Settings(), *
     )
 
 
-def stage2(train: DataFrame, test: DataFrame, settings: Settings = Settings(), key: str = KEY, **options) -> Scores:
+def stage2(train: DataFrame, test: DataFrame, settings: Settings = Settings(), **options) -> Scores:
     """Payment failure or choice, over churned users, with their own folds."""
     churned = train.where(F.col("is_churned") == 1)
-    churned = stratified_folds(churned, key, "is_invol", MODEL_SEED, FOLDS, name="fold_s2")
     return cross_validate(
         boosted_trees(settings, settings.stage2_depth),
         churned,
@@ -232,7 +242,6 @@ def stage2(train: DataFrame, test: DataFrame, settings: Settings = Settings(), k
         "is_invol",
         "fold_s2",
         [("s2", 1)],
-        key=key,
         parallelism=settings.parallelism,
         **options,
     )
