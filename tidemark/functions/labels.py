@@ -16,8 +16,8 @@ def encode(label: Column) -> Column:
 
 
 def decode(code: Column) -> Column:
-    """0/1/2 -> class name."""
-    return F.element_at(F.array(*[F.lit(c) for c in CLASSES]), code.cast("int") + 1)
+    """0/1/2 -> class name; other codes become null."""
+    return F.coalesce(*[F.when(code == i, F.lit(name)) for i, name in enumerate(CLASSES)])
 
 
 def with_targets(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -50,8 +50,9 @@ def peak_day(counts: Sequence[str]) -> Column:
 def steepest_drop() -> Column:
     """Smallest change between consecutive active days; 0 for a single one, null without any."""
     active, n = F.col("arc_active"), F.size("arc_active")
+    pairs = F.greatest(n - 1, F.lit(0))
     changes = F.zip_with(
-        F.slice(active, F.lit(2), n - 1), F.slice(active, F.lit(1), n - 1), lambda b, a: b - a
+        F.slice(active, F.lit(2), pairs), F.slice(active, F.lit(1), pairs), lambda b, a: b - a
     )
     smallest = F.array_min(changes).cast("double")
     return F.when(n > 1, smallest).when(n == 1, F.lit(0.0))

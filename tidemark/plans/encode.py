@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import position_in_group
 from tidemark.schemas import TARGET_ENCODED, TARGETS, categorical
-from tidemark.session import BROADCAST_MAX_ROWS, materialize
+from tidemark.session import is_small, materialize
 
 _EVERY_ROW = "_every_row"
 MISSING = -1.0
@@ -27,7 +27,7 @@ class TargetStats:
     targets: tuple[str, ...]
 
     def _attach(self, rows: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
-        small = lookup.count() <= BROADCAST_MAX_ROWS
+        small = is_small(lookup)
         for column in self.columns:
             encoded = [f"te_{column}_{t}" for t in self.targets]
             side = lookup.where(F.col("column") == column).select(
@@ -112,7 +112,7 @@ def vocabulary(frames: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame
 def ordinal_encode(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each category by its code."""
     order = df.columns
-    small = codes.count() <= BROADCAST_MAX_ROWS
+    small = is_small(codes)
     for column in columns:
         side = codes.where(F.col("column") == column).select(
             F.col("value").alias(column), F.col("code").alias("_code")

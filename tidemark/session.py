@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime SQL settings the plans rely on. The forced skew split matters most: it lets AQE cut the
 # partition of a hot user in the event-to-subscription join and then re-plan the aggregate above it
@@ -61,9 +60,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; larger tables keep the shuffle join.
+def is_small(df: DataFrame) -> bool:
+    """Whether a lookup table may be broadcast: its rows are counted first.
 
-    Meant for materialized lookup tables, where the count is answered from Parquet footers.
+    Meant for materialized tables, where the count is answered from Parquet footers.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return df.count() <= BROADCAST_MAX_ROWS
