@@ -64,28 +64,29 @@ def test_lookup_default(spark):
     assert got == [(4,), (0,), (0,)]
 
 
-def test_day_offset_rounds_down(spark):
+def arc_day(spark, rows, days=14):
+    starts = time.day_starts(F.col("s"), days - 1)
+    return values(spark, "s timestamp_ntz, t timestamp_ntz", rows, time.reached(F.col("t"), starts))
+
+
+def test_days_round_down_and_clamp(spark):
     start = ts("2024-01-05")
     rows = [
         (start, start - dt.timedelta(seconds=1)),
         (start, start),
         (start, start + dt.timedelta(hours=23, minutes=59)),
+        (start, start + dt.timedelta(days=13, microseconds=-1)),
+        (start, start + dt.timedelta(days=13)),
         (start, start + dt.timedelta(days=40)),
         (start, None),
         (None, start),
     ]
-    schema = "s timestamp_ntz, t timestamp_ntz"
-    s, t = F.col("s"), F.col("t")
-    got = values(spark, schema, rows, time.day_offset(s, t), time.arc_day(s, t, 14))
-    assert got == [(-1, 0), (0, 0), (0, 0), (40, 13), (None, None), (None, None)]
+    assert arc_day(spark, rows) == [(0,), (0,), (0,), (12,), (13,), (13,), (None,), (None,)]
 
 
 def test_start_time_of_day_counts(spark):
     rows = [(ts("2024-01-05 18:00"), ts("2024-01-06 17:59")), (ts("2024-01-05 18:00"), ts("2024-01-06 18:00"))]
-    got = values(
-        spark, "s timestamp_ntz, t timestamp_ntz", rows, time.day_offset(F.col("s"), F.col("t"))
-    )
-    assert got == [(0,), (1,)]
+    assert arc_day(spark, rows) == [(0,), (1,)]
 
 
 def test_hours_may_be_negative(spark):

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.nulls import clip
-
 MICROS_PER_HOUR = 3_600_000_000
-MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
 
 def parse(x: Column, fmt: str | None = None) -> Column:
@@ -26,11 +25,18 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(float(MICROS_PER_HOUR))
 
 
-def day_offset(start: Column, at: Column) -> Column:
-    """Whole days since ``start``, rounded down, so one second before the start is day -1."""
-    return F.floor(micros_between(start, at) / F.lit(float(MICROS_PER_DAY))).cast("int")
+def day_starts(start: Column, days: int) -> list[Column]:
+    """The moments at which day 0, 1, .. ``days`` begin, counted from ``start``."""
+    return [start + F.expr(f"INTERVAL '{d}' DAY") for d in range(days + 1)]
+
 
+def reached(at: Column, starts: Sequence[Column]) -> Column:
+    """Index of the last of several ascending moments that ``at`` has reached; the first one if none.
 
-def arc_day(start: Column, at: Column, days: int) -> Column:
-    """Day offset clamped into 0 .. days-1."""
-    return clip(day_offset(start, at), 0, days - 1)
+    Plain comparisons: whole days since ``starts[0]``, rounded down and clamped to the list. Missing if
+    either side is.
+    """
+    out = F.when(at < starts[1], F.lit(0))
+    for d in range(1, len(starts) - 1):
+        out = out.when(at < starts[d + 1], F.lit(d))
+    return out.when(at >= starts[-1], F.lit(len(starts) - 1))

@@ -9,33 +9,34 @@ from pyspark.sql import functions as F
 
 
 def value_counts(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
-    """Rows per (key, column, value) for several columns in one scan and one shuffle.
+    """Rows per (key, value) of each column, in one scan and one shuffle.
 
-    The columns are unpivoted before a partially aggregated count, so a hot key costs each map task
-    only its distinct values. Missing values are left out. Output: key, column, value, n.
+    Grouping sets aggregate partially before the shuffle, so a hot key costs each map task only its
+    distinct values. Output: key, one column per input column, n; a row carries the value of exactly
+    one column, or none where the value is missing.
     """
-    wide = df.select(key, *[expr.cast("string").alias(name) for name, expr in columns.items()])
-    long = wide.unpivot([key], list(columns), "column", "value").where(F.col("value").isNotNull())
-    return long.groupBy(key, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    wide = df.select(key, *[expr.alias(name) for name, expr in columns.items()])
+    sets = [[key, name] for name in columns]
+    return wide.groupingSets(sets, key, *columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def of(column: str, x: Column) -> Column:
-    """Restrict an aggregate input to one of the counted columns."""
-    return F.when(F.col("column") == column, x)
+def _of(column: str, x: Column) -> Column:
+    """Restrict an aggregate input to the counts of one column."""
+    return F.when(F.col(column).isNotNull(), x)
 
 
 def distinct_values(column: str) -> Column:
     """Aggregate over ``value_counts``: number of distinct values."""
-    return F.count(of(column, F.lit(1)))
+    return F.count(column)
 
 
 def busiest(column: str) -> Column:
     """Aggregate over ``value_counts``: rows of the most frequent value, null without any value."""
-    return F.max(of(column, F.col("n")))
+    return F.max(_of(column, F.col("n")))
 
 
 def mode(column: str, default: str = "unknown") -> Column:
     """Aggregate over ``value_counts``: most frequent value, the smallest one on a tie."""
-    rank = F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))
-    best = F.min(of(column, rank))
+    rank = F.struct((-F.col("n")).alias("n"), F.col(column).alias("value"))
+    best = F.min(_of(column, rank))
     return F.coalesce(best["value"], F.lit(default))

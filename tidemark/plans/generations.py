@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import nulls
 from tidemark.functions.nulls import is_true, per, sum_or_zero, when_any
 from tidemark.functions.text import starts_with
-from tidemark.functions.time import arc_day, day_offset, hours_between
+from tidemark.functions.time import day_starts, hours_between, reached
 from tidemark.operators import arc, counts
 from tidemark.schemas import (
     ARC_BUCKETS,
@@ -43,19 +43,22 @@ def on_arc(
     """Attach the subscription start and the arc day to every event.
 
     ``clip`` moves events outside the arc to its first or last day; ``filter`` keeps only events inside.
-    The join carries no hint: Catalyst broadcasts a start table below its size threshold, and beyond it
+    The start of each arc day is computed once per user, so an event needs comparisons only. The join
+    carries no hint: Catalyst broadcasts a start table below its size threshold, and beyond it
     AQE splits the partitions of hot users, after which the aggregate above runs partial-first.
     """
+    start = F.col("subscription_start_date").cast("timestamp_ntz")
+    days = {f"day_start_{d}": at for d, at in enumerate(day_starts(start, ARC_DAYS))}
     starts = properties.select(
-        key, F.col("subscription_start_date").cast("timestamp_ntz").alias("sub_start")
+        key, start.alias("sub_start"), *[at.alias(name) for name, at in days.items()]
     )
     events = generations.join(starts, key, "left")
-    start, at = F.col("sub_start"), F.col("created_at")
+    at, marks = F.col("created_at"), [F.col(name) for name in days]
     if window == "filter":
-        events = events.where(day_offset(start, at).between(0, ARC_DAYS - 1))
+        events = events.where((at >= marks[0]) & (at < marks[ARC_DAYS]))
     elif window != "clip":
         raise ValueError(f"window must be 'clip' or 'filter', not {window!r}")
-    return events.withColumn("day", arc_day(start, at, ARC_DAYS))
+    return events.withColumn("day", reached(at, marks[:ARC_DAYS])).drop(*days)
 
 
 DAYS = [f"day_{d}" for d in range(ARC_DAYS)]
@@ -160,11 +163,8 @@ def from_rollup(events: DataFrame, key: str = KEY) -> DataFrame:
 
 def from_value_counts(generations: DataFrame, key: str = KEY) -> DataFrame:
     """Active days, busiest day and distinct types; users without any date or type are absent."""
-    counted = counts.value_counts(
-        generations,
-        key,
-        {"date": F.to_date("created_at"), "type": F.col("generation_type")},
-    )
+    columns = {"date": F.to_date("created_at"), "type": F.col("generation_type")}
+    counted = counts.value_counts(generations, key, columns)
     return counted.groupBy(key).agg(
         counts.distinct_values("date").alias("gen_days_active"),
         counts.busiest("date").alias("gen_max_in_day"),
