@@ -459,7 +459,7 @@ def _slice(name: str, source: str, columns: str | list[str]) -> None:
 def _probe(split: str, table: str, measure: str, text: str) -> str:
     return f"""
 SELECT '{split}' AS split, '{table}' AS table_name, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(SUM(user_id) AS BIGINT) AS key_sum,
-  {_real(f"SUM({measure})")} AS measure_sum, CAST(COUNT({text}) AS BIGINT) AS text_count
+  CAST(SUM(CAST(ROUND(CAST({measure} AS DOUBLE) * 1000) AS BIGINT)) AS BIGINT) AS measure_sum, CAST(COUNT({text}) AS BIGINT) AS text_count
 FROM fx_{table} WHERE user_id IN (SELECT user_id FROM fx_users WHERE split = '{split}')"""
 
 

@@ -135,7 +135,8 @@ def src_csv_roundtrip(spark, sf_dir):
                 df.agg(
                     F.count(F.lit(1)).alias("n_rows"),
                     F.sum(F.col(KEY).cast("bigint")).alias("key_sum"),
-                    F.sum(measure).alias("measure_sum"),
+                    # Thousandths as integers: an exact sum in any order.
+                    F.sum(F.round(measure * 1000).cast("bigint")).alias("measure_sum"),
                     F.count(text).alias("text_count"),
                 ).select(F.lit(split).alias("split"), F.lit(name).alias("table_name"), "*")
             )
