@@ -347,13 +347,13 @@ def target_encode_test(spark, sf_dir):
 
 
 @lru_cache(maxsize=4)
-def _stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(feature_table(_tables(spark, sf_dir)), "features")
 
 
 def _feature_splits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Feature tables of both splits, built once per session."""
-    stored = _stored_features(spark, sf_dir)
+    stored = stored_features(spark, sf_dir)
     split = lambda s: stored.where(F.col("split") == s).drop("split")
     return split("train"), split("test").drop(LABEL)
 
@@ -553,7 +553,7 @@ def feature_importance(spark, sf_dir):
 
 
 def _labelled_features(spark, sf_dir) -> DataFrame:
-    return _stored_features(spark, sf_dir)
+    return stored_features(spark, sf_dir)
 
 
 @query

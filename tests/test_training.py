@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import with_targets
 from tidemark.plans import metrics, pipeline, training
-from tidemark.plans.ensemble import first_argmax
+from tidemark.functions.numeric import first_argmax
 from tidemark.schemas import CLASSES, MODEL_FEATURES, TARGETS
 from tidemark.session import materialize
 
@@ -103,6 +103,30 @@ def test_fold_columns(spark):
     assert folds.where("fold_te = fold_mc").count() < 300
 
 
+def test_fold_report(frames, models):
+    rows = training.fold_report(frames[0], *models).collect()
+    assert len(rows) == 15 and all(0 < r.f1 <= 1 for r in rows)
+    assert {(r.model, r.fold) for r in rows} == {
+        (m, k) for m in ("stage1", "stage2", "multiclass") for k in range(5)
+    }
+
+
+def test_declared_categories_reach_the_trees(spark):
+    """A code that is no order, only a set: one split suffices if it is known to be a category."""
+    rows = [(f"u{i}", 1.0 * (i % 6 in (0, 2, 4)), float(i % 6)) for i in range(240)]
+    df = spark.createDataFrame(rows, "user_id string, y double, c double")
+    assert training.category_sizes([df], ["c"]) == {"c": 6}
+
+    def depth_one_error(sizes):
+        vectors = training.model_frame(df, ["y"], ["c"], sizes=sizes).withColumn("weight", F.lit(1.0))
+        from pyspark.ml.classification import DecisionTreeClassifier
+
+        model = DecisionTreeClassifier(labelCol="y", maxDepth=1).fit(vectors)
+        return model.transform(vectors).where("prediction <> y").count()
+
+    assert depth_one_error({"c": 6}) == 0 < depth_one_error(None)
+
+
 def test_csv_to_csv(spark, tmp_path):
     """Both splits written as raw CSV, the full run, and the three outputs."""
     from catalogue import fixtures, queries
@@ -122,6 +146,7 @@ def test_csv_to_csv(spark, tmp_path):
     assert {r.user_id for r in submission.collect()} == testers
     assert proba.count() == len(testers) and {r.churn_status for r in proba.collect()} <= set(CLASSES)
     assert 0 < outcome.nested_f1 <= 1 and 0 < outcome.f1 <= 1
+    assert outcome.fold_f1.count() == 15 and outcome.classes.count() == 3
     assert sorted(os.listdir(f"{store}/features")) and outcome.report.count() == 6
     assert sum(r.support for r in outcome.report.collect() if r.name in CLASSES) == tables["users"].where(
         "split = 'train'"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions.labels import with_targets
 from tidemark.plans import encode, ensemble, metrics, training
 from tidemark.plans.assemble import feature_table
-from tidemark.schemas import KEY, TARGETS, categorical
+from tidemark.schemas import KEY, LABEL, TARGETS, categorical
 from tidemark.session import configure, materialize
 from tidemark.sources.csv import check_contracts, load_split, split_paths
 from tidemark.sources.sinks import write_csv
@@ -21,6 +21,8 @@ class Outcome:
     tuning: ensemble.Tuning
     f1: float
     nested_f1: float
+    classes: DataFrame
+    fold_f1: DataFrame
     report: DataFrame
     confusion: DataFrame
     importances: DataFrame
@@ -32,7 +34,8 @@ def features(spark: SparkSession, root: str, split: str, store: str, **options)
     """Stored feature table of a split of CSV files, built if its inputs are new."""
 
     def build() -> DataFrame:
-        tables = load_split(spark, root, split)
+        # Events and attempts are read several times, so the text is parsed once and kept as columns.
+        tables = {t: materialize(df, f"{split}-{t}") for t, df in load_split(spark, root, split).items()}
         check_contracts(tables)
         return feature_table(tables, **options)
 
@@ -65,13 +68,19 @@ def encode_splits(
     return train, test
 
 
-def model_frames(train: DataFrame, test: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """Encoded splits as stored vector frames with targets and folds."""
+def model_frames(
+    train: DataFrame, test: DataFrame, key: str = KEY, declare_categories: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Encoded splits as stored vector frames with targets and folds.
+
+    By default codes are ordinary numbers to the trees; ``declare_categories`` marks them as categories.
+    """
     train, test = encode_splits(materialize(with_folds(train, key), "train-folds"), test)
+    sizes = training.category_sizes([train, test], categorical()) if declare_categories else {}
     carried = ["y", *TARGETS, *training.FOLD_COLUMNS]
     return (
-        materialize(training.model_frame(train, carried, key=key), "train-vectors"),
-        materialize(training.model_frame(test, [], key=key), "test-vectors"),
+        materialize(training.model_frame(train, carried, key=key, sizes=sizes), "train-vectors"),
+        materialize(training.model_frame(test, [], key=key, sizes=sizes), "test-vectors"),
     )
 
 
@@ -83,7 +92,7 @@ def fit_and_report(
     key: str = KEY,
 ) -> Outcome:
     """Train the three models on feature tables, tune the ensemble, report and predict."""
-    fit_on, predict_on = model_frames(train, test, key)
+    fit_on, predict_on = model_frames(train, test, key, settings.declare_categories)
     s1 = training.stage1(fit_on, predict_on, settings, key=key)
     s2 = training.stage2(fit_on, predict_on, settings, key=key)
     mc = training.multiclass(fit_on, predict_on, settings, key=key)
@@ -96,6 +105,8 @@ def fit_and_report(
         tuning=tuning,
         f1=metrics.weighted_f1(called).first()["f1"],
         nested_f1=ensemble.nested_f1(oof).first()["f1"],
+        classes=metrics.class_distribution(train, LABEL),
+        fold_f1=training.fold_report(fit_on, s1, s2, mc, key),
         report=metrics.classification_report(called),
         confusion=metrics.confusion_matrix(called),
         importances=training.importances(mc),

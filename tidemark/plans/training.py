@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numeric import first_argmax
 from tidemark.operators.ranks import stratified_folds
 from tidemark.plans.encode import dense_matrix
 from tidemark.plans.ensemble import MULTICLASS, with_second_stage
+from tidemark.plans.metrics import binary_f1, weighted_f1
 from tidemark.schemas import CLASSES, KEY, MODEL_FEATURES
 
 # Number of folds, seeds, and the tree settings Spark ML can express.
@@ -43,6 +45,9 @@ class Settings:
     trees: int = 100
     multiclass_depth: int = 10
     parallelism: int = 2
+    # Treat category codes as categories; every category then needs a bin of its own.
+    declare_categories: bool = False
+    bins: int = 32
 
 
 @dataclass(frozen=True)
@@ -81,6 +86,7 @@ def boosted_trees(settings: Settings, depth: int) -> GBTClassifier:
         stepSize=settings.step,
         maxDepth=depth,
         minInstancesPerNode=MIN_ROWS,
+        maxBins=settings.bins,
         subsamplingRate=SUBSAMPLE,
         featureSubsetStrategy=FEATURE_SHARE,
         validationIndicatorCol="is_validation",
@@ -96,20 +102,36 @@ def forest(settings: Settings) -> RandomForestClassifier:
         numTrees=settings.trees,
         maxDepth=settings.multiclass_depth,
         minInstancesPerNode=MIN_ROWS,
+        maxBins=settings.bins,
         subsamplingRate=SUBSAMPLE,
         featureSubsetStrategy="sqrt",
         seed=MODEL_SEED,
     )
 
 
+def category_sizes(frames: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, int]:
+    """Number of codes per encoded column over all frames."""
+    both = reduce(DataFrame.unionByName, [f.select(*columns) for f in frames])
+    return both.agg(*[(F.max(c) + 1).alias(c) for c in columns]).first().asDict()
+
+
 def model_frame(
-    encoded: DataFrame, carried: Sequence[str], features: Sequence[str] = MODEL_FEATURES, key: str = KEY
+    encoded: DataFrame,
+    carried: Sequence[str],
+    features: Sequence[str] = MODEL_FEATURES,
+    key: str = KEY,
+    sizes: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Dense matrix assembled into one vector column, hash-partitioned and sorted by key.
 
-    The fixed layout makes row sampling inside the tree learners repeatable.
+    The fixed layout makes row sampling inside the tree learners repeatable. ``sizes`` declares columns
+    as categories with that many codes.
     """
     dense = dense_matrix(encoded, features, [key, *carried])
+    for column, n in (sizes or {}).items():
+        # The assembler heeds attributes of double columns only.
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": n}}
+        dense = dense.withColumn(column, F.col(column).cast("double")).withMetadata(column, nominal)
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(dense)
     return assembled.select(key, *carried, "features").repartition(key).sortWithinPartitions(key)
 
@@ -263,6 +285,19 @@ def multiclass(train: DataFrame, test: DataFrame, settings: Settings = Settings(
     )
 
 
+def fold_report(train: DataFrame, s1: Scores, s2: Scores, mc: Scores, key: str = KEY) -> DataFrame:
+    """F1 per model and fold: binary for the two stages, weighted for the three-class model."""
+    truth = train.select(key, "y", "is_churned", "is_invol")
+    called = mc.oof.join(truth, key).withColumn("pred", first_argmax([F.col(m) for m in MULTICLASS]))
+    parts = {
+        "stage1": binary_f1(s1.oof.join(truth, key), "is_churned", "s1", by=["fold"]),
+        "stage2": binary_f1(s2.oof.join(truth, key), "is_invol", "s2", by=["fold"]),
+        "multiclass": weighted_f1(called, by=["fold"]),
+    }
+    named = [df.select(F.lit(model).alias("model"), "fold", "f1") for model, df in parts.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
 def importances(scores: Scores) -> DataFrame:
     """Mean importance per feature, largest first; one row per feature, whatever the data size."""
     spark = SparkSession.getActiveSession()
