@@ -268,7 +268,7 @@ _transaction("tx_country_mismatch", transactions.from_rollup, "ta_ctry_mismatch"
 _transaction("tx_last_failed", transactions.from_order, "ta_last_failed")
 _transaction("tx_longest_fail_run", transactions.from_order, "ta_max_consec_fail")
 _transaction("tx_max_retries", transactions.from_value_counts, "ta_max_retries")
-_transaction("tx_modes", transactions.transaction_features, *transactions.MODES)
+_transaction("tx_modes", transactions.from_value_counts, *transactions.MODES)
 
 
 @query

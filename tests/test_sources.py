@@ -48,6 +48,15 @@ def test_namibia_survives_unless_parity(spark, tmp_path):
     assert csv.scan(spark, path, "properties", parity=True).first().country_code is None
 
 
+def test_typed_sources_are_only_cast(spark):
+    rows = [(7, 1.5, "Credits NA", 3), (None, 2.0, "x", 4), (8, float("nan"), "NA", 5)]
+    raw = spark.createDataFrame(
+        rows, "user_id long, purchase_amount_dollars double, purchase_type string, other int"
+    )
+    got = [tuple(r) for r in csv.conform(raw, "purchases").collect()]
+    assert got == [("7", 1.5, "Credits NA"), ("8", None, None)]
+
+
 def test_explicit_time_format(spark, tmp_path):
     path = write(
         tmp_path / "p.csv",

@@ -8,7 +8,7 @@ from conftest import by_key, ts
 from pyspark.sql import functions as F
 
 from tidemark.operators.runs import run_summary
-from tidemark.plans.transactions import transaction_features
+from tidemark.plans.transactions import from_value_counts, transaction_features
 from tidemark.schemas import TABLES, TRANSACTION_FEATURES, names
 
 ATTEMPT = (
@@ -64,6 +64,12 @@ def test_mode_takes_the_smallest_of_equal_counts(spark):
     assert features(spark, rows)["a"]["ta_card_brand"] == "amex"
 
 
+def test_users_without_any_value_stay(spark):
+    rows = [attempt(1, user="a"), attempt(2, user="b", card_brand="visa")]
+    got = by_key(from_value_counts(spark.createDataFrame(rows, ATTEMPT)))
+    assert got["a"]["ta_card_brand"] == "unknown" and got["b"]["ta_card_brand"] == "visa"
+
+
 def test_repeated_amounts_after_rounding(spark):
     amounts = [10.001, 10.004, 9.999, 0.0, -0.001, None, None, None, None]
     rows = [attempt(i, amount_in_usd=x) for i, x in enumerate(amounts)]

@@ -13,7 +13,7 @@ def value_counts(df: DataFrame, key: str, columns: Mapping[str, Column]) -> Data
 
     Grouping sets aggregate partially before the shuffle, so a hot key costs each map task only its
     distinct values. Output: key, one column per input column, n; a row carries the value of exactly
-    one column, or none where the value is missing.
+    one column, or none where the value is missing, so that no key drops out.
     """
     wide = df.select(key, *[expr.alias(name) for name, expr in columns.items()])
     sets = [[key, name] for name in columns]

@@ -162,7 +162,7 @@ def from_rollup(events: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def from_value_counts(generations: DataFrame, key: str = KEY) -> DataFrame:
-    """Active days, busiest day and distinct types; users without any date or type are absent."""
+    """Active days, busiest day and distinct types of every user with events."""
     columns = {"date": F.to_date("created_at"), "type": F.col("generation_type")}
     counted = counts.value_counts(generations, key, columns)
     return counted.groupBy(key).agg(
@@ -182,11 +182,5 @@ def generation_features(
     events = on_arc(generations, properties, key, window)
     counted = events if window == "filter" else generations
     joined = from_rollup(events, key).join(from_value_counts(counted, key), key, "left")
-    days = F.coalesce("gen_days_active", F.lit(0))
-    return joined.withColumns(
-        {
-            "gen_days_active": days,
-            "gen_types_unique": F.coalesce("gen_types_unique", F.lit(0)),
-            "gen_per_active_day": per(F.col("gen_total"), days),
-        }
-    ).select(key, *names(GENERATION_FEATURES))
+    pace = per(F.col("gen_total"), F.col("gen_days_active"))
+    return joined.withColumn("gen_per_active_day", pace).select(key, *names(GENERATION_FEATURES))

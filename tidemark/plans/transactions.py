@@ -62,7 +62,7 @@ def from_rollup(attempts: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def from_value_counts(attempts: DataFrame, key: str = KEY) -> DataFrame:
-    """Repeated amounts and modal card attributes from one unpivoted count."""
+    """Repeated amounts and modal card attributes from one count of values."""
     columns = {c: F.col(c) for c in MODES.values()}
     columns["amount"] = to_cents(F.col("amount_in_usd"))
     counted = counts.value_counts(attempts, key, columns)
@@ -92,10 +92,9 @@ def transaction_features(
     attempts: DataFrame, key: str = KEY, sequence: str = "attempt_id"
 ) -> DataFrame:
     """All 26 payment features, one row per user with attempts."""
-    joined = (
+    return (
         from_rollup(attempts, key)
         .join(from_value_counts(attempts, key), key, "left")
         .join(from_order(attempts, key, sequence), key, "left")
+        .select(key, *names(TRANSACTION_FEATURES))
     )
-    modes = {out: F.coalesce(out, F.lit("unknown")) for out in MODES}
-    return joined.withColumns(modes).select(key, *names(TRANSACTION_FEATURES))

@@ -51,7 +51,7 @@ def split_paths(root: str, split: str, folders: Mapping[str, str] = FOLDERS) ->
     return {t: f"{root}/{folders[split]}/{split}_users{s}.csv" for t, s in SUFFIXES.items()}
 
 
-def _typed(column: T.StructField, parity: bool, timestamp_format: str | None) -> Column:
+def _from_text(column: T.StructField, parity: bool, timestamp_format: str | None) -> Column:
     tokens = NULL_TOKENS
     if column.name in COUNTRY_COLUMNS and not parity:
         tokens = tuple(t for t in tokens if t != "NA")  # the code of Namibia
@@ -59,24 +59,35 @@ def _typed(column: T.StructField, parity: bool, timestamp_format: str | None) ->
     text = F.when(~raw.isin(*tokens), raw)
     if isinstance(column.dataType, T.TimestampNTZType):
         return parse(text, timestamp_format)
-    if isinstance(column.dataType, T.DoubleType):
-        return nan_to_null(text.try_cast("double"))
     return text if isinstance(column.dataType, T.StringType) else text.try_cast(column.dataType)
 
 
+def _typed(
+    column: T.StructField, given: T.DataType, parity: bool, timestamp_format: str | None
+) -> Column:
+    if isinstance(given, T.StringType):
+        value = _from_text(column, parity, timestamp_format)
+    else:
+        value = F.col(f"`{column.name}`").cast(column.dataType)
+    return nan_to_null(value) if isinstance(column.dataType, T.DoubleType) else value
+
+
 def conform(
     raw: DataFrame, table: str, parity: bool = False, timestamp_format: str | None = None
 ) -> DataFrame:
     """Pick the declared columns by name, null the missing-value tokens, convert, drop rows without key.
 
-    Values that do not convert become null. ``parity`` reads "NA" as missing in country columns too.
+    Text that does not convert becomes null; columns that already have a type are only cast, so typed
+    sources such as Parquet pass through here as well. ``parity`` reads "NA" as missing in country columns too.
     The label is optional; any other absent column is an error.
     """
     absent = [c for c in TABLES[table].names if c not in raw.columns and c != LABEL]
     if absent:
         raise ValueError(f"table {table} lacks {', '.join(absent)}")
     fields = [f for f in TABLES[table].fields if f.name in raw.columns]
-    typed = [_typed(f, parity, timestamp_format).alias(f.name) for f in fields]
+    typed = [
+        _typed(f, raw.schema[f.name].dataType, parity, timestamp_format).alias(f.name) for f in fields
+    ]
     carried = [SEQUENCE[table]] if SEQUENCE.get(table) in raw.columns else []
     return raw.select(*typed, *carried).where(F.col(KEY).isNotNull())
 
