@@ -409,8 +409,8 @@ _TEXT = set(categorical()) | set(
 
 
 def _real(expression: str) -> str:
-    """Round to six places, without negative zero."""
-    rounded = f"ROUND(CAST({expression} AS DOUBLE) * 1e6) / 1e6"
+    """Round to seven places, without negative zero."""
+    rounded = f"ROUND(CAST({expression} AS DOUBLE) * 1e7) / 1e7"
     return f"CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END"
 
 
@@ -560,9 +560,9 @@ _oracle(
 
 
 def _cell(column: str) -> str:
-    """A matrix entry: six places, then single precision, missing as -1."""
+    """A matrix entry: seven places, then single precision, missing as -1."""
     single = f"COALESCE(CAST({_real(column)} AS FLOAT), -1)"
-    return f"ROUND(CAST({single} AS DOUBLE) * 1e6) / 1e6 AS {column}"
+    return f"ROUND(CAST({single} AS DOUBLE) * 1e7) / 1e7 AS {column}"
 
 
 _MATRIX = [n for n in names(BASE_FEATURES)] + [n for n, _ in _TE]

@@ -1,6 +1,6 @@
 """Checked queries: each takes a session and a data folder and returns a DataFrame.
 
-Results are shaped for comparison only here: integers as bigint, doubles rounded to six places.
+Results are shaped for comparison only here: integers as bigint, doubles rounded to seven places.
 """
 
 from __future__ import annotations
@@ -48,16 +48,16 @@ SMALL = training.Settings(
 )
 
 
-def six_places(c: Column) -> Column:
+def seven_places(c: Column) -> Column:
     """Scale, round half away from zero, scale back, as the SQL side does."""
-    return F.round(c.cast("double") * 1e6) / 1e6
+    return F.round(c.cast("double") * 1e7) / 1e7
 
 
 def comparable(df: DataFrame) -> DataFrame:
     def shape(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = six_places(c)
+            c = seven_places(c)
         elif isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
             c = c.cast("bigint")
         return c.alias(f.name)
@@ -373,7 +373,7 @@ def feature_matrix(spark, sf_dir):
     train, test = _feature_splits(spark, sf_dir)
     train, test = encode_splits(materialize(with_folds(train), "train-folds"), test)
     rounded = lambda df: df.select(
-        KEY, *[six_places(F.col(f)).alias(f) for f in MODEL_FEATURES]
+        KEY, *[seven_places(F.col(f)).alias(f) for f in MODEL_FEATURES]
     )
     both = rounded(train).unionByName(rounded(test))
     return encode.dense_matrix(both, MODEL_FEATURES, [KEY])
