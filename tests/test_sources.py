@@ -110,6 +110,14 @@ def test_repeated_keys_fail_loudly(spark):
     csv.assert_unique(df.distinct())
 
 
+def test_unknown_labels_fail_loudly(spark):
+    users = spark.createDataFrame([("a", "vol_churn"), ("b", None)], "user_id string, churn_status string")
+    with pytest.raises(ValueError, match="None"):
+        csv.check_contracts({"users": users, "properties": users})
+    csv.check_contracts({"users": users.where("user_id = 'a'"), "properties": users})
+    csv.check_contracts({"users": users.drop("churn_status"), "properties": users})
+
+
 def test_store_hits_misses_and_recovers(spark, tmp_path):
     source, root = write(tmp_path / "in" / "a.csv", "x\n1\n"), str(tmp_path / "store")
     built = []

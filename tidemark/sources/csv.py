@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.nulls import nan_to_null
 from tidemark.functions.time import parse
-from tidemark.schemas import COUNTRY_COLUMNS, KEY, LABEL, SEQUENCE, TABLES, UNIQUE
+from tidemark.schemas import CLASSES, COUNTRY_COLUMNS, KEY, LABEL, SEQUENCE, TABLES, UNIQUE
 
 # Text that stands for a missing value.
 NULL_TOKENS = (
@@ -137,7 +137,17 @@ def assert_unique(df: DataFrame, key: str = KEY) -> None:
         raise ValueError(f"{key} repeats, for example {[r[0] for r in repeated]}")
 
 
+def assert_labels(users: DataFrame) -> None:
+    """Fail on a missing or unknown class, which no fold could hold."""
+    known = F.coalesce(F.col(LABEL).isin(*CLASSES), F.lit(False))
+    odd = users.where(~known).select(LABEL).limit(3).collect()
+    if odd:
+        raise ValueError(f"{LABEL} has values outside {CLASSES}, for example {[r[0] for r in odd]}")
+
+
 def check_contracts(tables: Mapping[str, DataFrame], key: str = KEY) -> None:
-    """Tables with one row per user must not fan out the joins."""
+    """Tables with one row per user must not fan out the joins; labels must be known classes."""
     for table in UNIQUE:
         assert_unique(tables[table], key)
+    if LABEL in tables["users"].columns:
+        assert_labels(tables["users"])
