@@ -28,7 +28,8 @@ BEGINNINGS = (4, 5)
 FACTORS = 4
 FIT_ROWS = 16_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 1.0
+RATE, DECAY = 0.05, 1e-3
 #: Terms in fewer fitted texts have no vector.
 LEAST_TEXTS = 5
 
@@ -74,36 +75,41 @@ class Machine:
 
 
 def train(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, factors: int = FACTORS) -> Machine:
-    """Fit on (label, distinct slots), in the given order."""
+    """Fit on (label, distinct slots), in the given order.
+
+    The bias learns freely, so that clean texts need no negative words. A term takes part in pairs while
+    it has a weight.
+    """
     size = 1 << SLOT_BITS
     texts = np.bincount(np.concatenate([s for _, s in examples]), minlength=size) if examples else np.zeros(size)
     weights, z, n = np.zeros(size), np.zeros(size), np.zeros(size)
-    start = np.random.default_rng(0).normal(0, 0.01, (size, factors))
-    vectors = np.where((texts >= LEAST_TEXTS)[:, None], start, 0.0)
-    squares = np.full((size, factors), 1.0)
+    vectors = np.random.default_rng(0).normal(0, 0.01, (size, factors))
+    vectors[texts < LEAST_TEXTS] = 0
+    squares = np.ones((size, factors))
     positive = sum(y for y, _ in examples)
-    bias = float(np.log((positive + 1) / (len(examples) - positive + 1)))
+    bias, bias_squares = float(np.log((positive + 1) / (len(examples) - positive + 1))), 1.0
     for _ in range(epochs):
         for label, slots in examples:
-            own = vectors[slots]
+            weight = weights[slots]
+            paired = slots[weight != 0]
+            own = vectors[paired]
             total = own.sum(axis=0)
-            margin = bias + weights[slots].sum() + (total @ total - (own * own).sum()) / 2
+            margin = bias + weight.sum() + (total @ total - (own * own).sum()) / 2
             error = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) - label
             if abs(error) < 1e-3:
                 continue
-            before = n[slots]
-            after = before + error * error
-            z[slots] += error - (np.sqrt(after) - np.sqrt(before)) / ALPHA * weights[slots]
+            bias_squares += error * error
+            bias -= error / np.sqrt(bias_squares)
+            before, after = n[slots], n[slots] + error * error
+            z[slots] += error - (np.sqrt(after) - np.sqrt(before)) / ALPHA * weight
             n[slots] = after
             shrunk = np.abs(z[slots]) - L1
-            weights[slots] = np.where(
-                shrunk > 0, -np.sign(z[slots]) * shrunk / ((BETA + np.sqrt(after)) / ALPHA + L2), 0.0
-            )
-            gradient = np.where(own != 0, error * (total - own) + 1e-4 * own, 0.0)
-            squares[slots] += gradient**2
-            vectors[slots] = own - 0.05 * gradient / np.sqrt(squares[slots])
-    # Vectors that learning has hardly moved say nothing.
-    vectors[np.abs(vectors - start).max(axis=1) < 0.01] = 0
+            step = np.sign(z[slots]) * shrunk / ((BETA + np.sqrt(after)) / ALPHA + L2)
+            weights[slots] = np.where(shrunk > 0, -step, 0.0)
+            gradient = np.where(own != 0, error * (total - own) + DECAY * own, 0.0)
+            squares[paired] += gradient**2
+            vectors[paired] = own - RATE * gradient / np.sqrt(squares[paired])
+    vectors[weights == 0] = 0
     return Machine(bias, weights, vectors)
 
 
