@@ -9,8 +9,10 @@ so classes of ASCII characters can be told apart without decoding.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,18 @@ LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np
 
 # Documents handed to Python at once. Rows can be long, so few of them make a batch.
 BATCH_ROWS = "256"
+_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in small batches: their texts may be long."""
+    """Hand rows to Python in small batches: their texts may be long.
+
+    Workers that share the driver's disk also find this package where the driver has found it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
 
 
 def map_text(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.textops import small_batches
 from tidemark.session import materialize, scratch_path
 
 #: Payloads from this size on are stored once.
@@ -185,6 +186,7 @@ def _parse_batch(batches):
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the gzip archives below ``path``, written to the shared folder once parsed."""
+    small_batches(spark)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one archive at a time
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
