@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import textops as X
 from tidemark.llm.fm_index import FIRST, GAP, FMIndex
@@ -31,7 +32,11 @@ SHARD_BYTES = 16 << 20
 SHARD_WORDS = 1 << 19
 
 # Occurrences so far of each row: first word, number of words, window.
-_FOUND = "firsts array<int>, sizes array<int>, windows array<bigint>"
+_FOUND = [
+    T.StructField("_firsts", T.ArrayType(T.IntegerType())),
+    T.StructField("_sizes", T.ArrayType(T.IntegerType())),
+    T.StructField("_windows", T.ArrayType(T.LongType())),
+]
 
 
 def _windows_batch(batch: pa.RecordBatch, size: int):
@@ -218,20 +223,30 @@ def _char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int
     return [(chars(words.starts[a]), chars(words.ends[b - 1])) for a, b in ranges]
 
 
-def _earlier(batch: pa.RecordBatch, row: int) -> list[tuple[int, int, int]]:
-    """Occurrences that earlier blocks have found."""
-    if batch.num_columns == 2:
-        return []
-    return list(zip(*(batch.column(k)[row].as_py() for k in (2, 3, 4))))
+def _earlier(batch: pa.RecordBatch, row: int, width: int) -> list[tuple[int, int, int]]:
+    """Occurrences that earlier blocks have found, from the columns after the first ``width``."""
+    return list(zip(*(column[row].as_py() for column in batch.columns[width:])))
 
 
-def _collect(batch: pa.RecordBatch, counts: np.ndarray, found: list) -> pa.RecordBatch:
-    every = [_earlier(batch, k) + own for k, own in enumerate(found)]
-    columns = [[[o[k] for o in own] for own in every] for k in range(3)]
-    arrays = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), *arrays], ["key", "text", "firsts", "sizes", "windows"]
-    )
+def _collect(width: int, names: list[str]) -> Callable:
+    """Add the occurrences of a block to the columns after the first ``width``."""
+
+    def emit(batch: pa.RecordBatch, counts: np.ndarray, found: list) -> pa.RecordBatch:
+        every = [_earlier(batch, k, width) + own for k, own in enumerate(found)]
+        columns = [[[o[k] for o in own] for own in every] for k in range(3)]
+        arrays = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names)
+
+    return emit
+
+
+def _through(rows: DataFrame, parts: list[Block], at: int) -> DataFrame:
+    """``rows`` with the occurrences of all blocks but the last in three more columns."""
+    width = len(rows.columns)
+    for block in parts[:-1]:
+        schema = T.StructType([*rows.schema.fields[:width], *_FOUND])
+        rows = rows.mapInArrow(_sharded(block, at, _collect(width, schema.names)), schema)
+    return rows
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -241,7 +256,7 @@ def _report(batch: pa.RecordBatch, counts: np.ndarray, found: list) -> pa.Record
     texts = batch.column(1)
     hit, spans, ids, digests = [], [], [], []
     for row, own in enumerate(found):
-        own = _earlier(batch, row) + own
+        own = _earlier(batch, row, 2) + own
         ranges = _cover(own)
         hit.append(sum(b - a for a, b in ranges))
         spans.append(
@@ -284,9 +299,7 @@ def contamination(
     X.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     parts = list(blocks(found, block_windows))
-    for block in parts[:-1]:
-        rows = rows.mapInArrow(_sharded(block, 1, _collect), f"key {kind}, text string, {_FOUND}")
-    hits = rows.mapInArrow(
+    hits = _through(rows, parts, 1).mapInArrow(
         _sharded(parts[-1], 1, _report),
         f"key {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, "
         "windows array<bigint>, hit_set binary",
@@ -319,18 +332,18 @@ def scrub(
     """``docs`` with every removal span cut out of its text; rows without one pass unchanged."""
     found = materialize(windows(benchmark, item, item_text, size), "item-windows")
     X.small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
+    at, width = docs.columns.index(text), len(docs.columns)
 
     def cut(batch: pa.RecordBatch, counts: np.ndarray, hits: list) -> pa.RecordBatch:
-        column = batch.column(at)
-        if not any(hits):
-            return batch
-        texts = column.to_pylist()
-        for row, own in enumerate(hits):
+        every = [_earlier(batch, row, width) + own for row, own in enumerate(hits)]
+        kept = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+        if not any(every):
+            return kept
+        texts, kind = batch.column(at).to_pylist(), batch.column(at).type
+        for row, own in enumerate(every):
             for a, b in reversed(_char_spans(texts[row], _cover(own)) if own else []):
                 texts[row] = texts[row][:a] + texts[row][b:]
-        return batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+        return kept.set_column(at, batch.schema.names[at], pa.array(texts, kind))
 
-    for block in blocks(found, block_windows):
-        docs = docs.mapInArrow(_sharded(block, at, cut), docs.schema)
-    return docs
+    parts = list(blocks(found, block_windows))
+    return _through(docs, parts, at).mapInArrow(_sharded(parts[-1], at, cut), docs.schema)

@@ -12,6 +12,7 @@ are scored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from tidemark.llm import textops as X
 from tidemark.session import materialize
 
-SLOT_BITS = 18
+SLOT_BITS = 24
 #: Lengths in bytes of the beginnings of words.
 BEGINNINGS = (4, 5)
 FACTORS = 4
@@ -54,22 +55,27 @@ def _distinct(rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Machine:
-    """``bias``, a weight per slot and a vector per slot; only terms with either count."""
+    """``bias``, and of each slot that says anything its number, weight and vector, in order."""
 
     bias: float
+    slots: np.ndarray
     weights: np.ndarray
     vectors: np.ndarray
 
-    def __post_init__(self):
-        self.active = (self.weights != 0) | (self.vectors != 0).any(axis=1)
+    @cached_property
+    def active(self) -> np.ndarray:
+        out = np.zeros(1 << SLOT_BITS, bool)
+        out[self.slots] = True
+        return out
 
     def scores(self, piece: X.Piece) -> np.ndarray:
         rows, slots = terms(piece)
         some = self.active[slots]
         rows, slots = _distinct(rows[some], slots[some])
-        total = self.bias + np.bincount(rows, self.weights[slots], piece.rows)
-        for k in range(self.vectors.shape[1]):
-            value = self.vectors[slots, k]
+        at = np.searchsorted(self.slots, slots)
+        total = self.bias + np.bincount(rows, self.weights[at], piece.rows)
+        for factor in self.vectors.T:
+            value = factor[at]
             total += (np.bincount(rows, value, piece.rows) ** 2 - np.bincount(rows, value**2, piece.rows)) / 2
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
@@ -80,37 +86,42 @@ def train(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, factors:
     The bias learns freely, so that clean texts need no negative words. A term takes part in pairs while
     it has a weight.
     """
-    size = 1 << SLOT_BITS
-    texts = np.bincount(np.concatenate([s for _, s in examples]), minlength=size) if examples else np.zeros(size)
-    weights, z, n = np.zeros(size), np.zeros(size), np.zeros(size)
-    vectors = np.random.default_rng(0).normal(0, 0.01, (size, factors))
+    if not examples:
+        return Machine(0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, factors)))
+    bounds = np.cumsum([0, *(len(own) for _, own in examples)])
+    slots, terms_of, texts = np.unique(
+        np.concatenate([own for _, own in examples]), return_inverse=True, return_counts=True
+    )
+    weights, z, n = np.zeros(len(slots)), np.zeros(len(slots)), np.zeros(len(slots))
+    vectors = np.random.default_rng(0).normal(0, 0.01, (len(slots), factors))
     vectors[texts < LEAST_TEXTS] = 0
-    squares = np.ones((size, factors))
+    squares = np.ones((len(slots), factors))
     positive = sum(y for y, _ in examples)
     bias, bias_squares = float(np.log((positive + 1) / (len(examples) - positive + 1))), 1.0
     for _ in range(epochs):
-        for label, slots in examples:
-            weight = weights[slots]
-            paired = slots[weight != 0]
-            own = vectors[paired]
-            total = own.sum(axis=0)
-            margin = bias + weight.sum() + (total @ total - (own * own).sum()) / 2
+        for k, (label, _) in enumerate(examples):
+            own = terms_of[bounds[k] : bounds[k + 1]]
+            weight = weights[own]
+            paired = own[weight != 0]
+            vector = vectors[paired]
+            total = vector.sum(axis=0)
+            margin = bias + weight.sum() + (total @ total - (vector * vector).sum()) / 2
             error = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) - label
             if abs(error) < 1e-3:
                 continue
             bias_squares += error * error
             bias -= error / np.sqrt(bias_squares)
-            before, after = n[slots], n[slots] + error * error
-            z[slots] += error - (np.sqrt(after) - np.sqrt(before)) / ALPHA * weight
-            n[slots] = after
-            shrunk = np.abs(z[slots]) - L1
-            step = np.sign(z[slots]) * shrunk / ((BETA + np.sqrt(after)) / ALPHA + L2)
-            weights[slots] = np.where(shrunk > 0, -step, 0.0)
-            gradient = np.where(own != 0, error * (total - own) + DECAY * own, 0.0)
+            before, after = n[own], n[own] + error * error
+            z[own] += error - (np.sqrt(after) - np.sqrt(before)) / ALPHA * weight
+            n[own] = after
+            shrunk = np.abs(z[own]) - L1
+            step = np.sign(z[own]) * shrunk / ((BETA + np.sqrt(after)) / ALPHA + L2)
+            weights[own] = np.where(shrunk > 0, -step, 0.0)
+            gradient = np.where(vector != 0, error * (total - vector) + DECAY * vector, 0.0)
             squares[paired] += gradient**2
-            vectors[paired] = own - RATE * gradient / np.sqrt(squares[paired])
-    vectors[weights == 0] = 0
-    return Machine(bias, weights, vectors)
+            vectors[paired] = vector - RATE * gradient / np.sqrt(squares[paired])
+    some = weights != 0
+    return Machine(bias, slots[some].astype(np.int64), weights[some], vectors[some])
 
 
 def fit(
@@ -154,29 +165,20 @@ def fit(
             for k, label in enumerate(batch.column(1).to_pylist()):
                 found.append((label, flat[offsets[k] : offsets[k + 1]].copy()))
         machine = train(found)
-        slots = np.flatnonzero(machine.active)
+        lists = [machine.slots, machine.weights, machine.vectors.ravel()]
+        columns = [pa.array([x.tolist()], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in lists]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([machine.bias]),
-                pa.array([slots.tolist()], pa.list_(pa.int32())),
-                pa.array([machine.weights[slots].tolist()], pa.list_(pa.float64())),
-                pa.array([machine.vectors[slots].ravel().tolist()], pa.list_(pa.float64())),
-            ],
-            ["bias", "slots", "weights", "vectors"],
+            [pa.array([machine.bias]), *columns], ["bias", "slots", "weights", "vectors"]
         )
 
     learned = examples.repartition(1).sortWithinPartitions("rank", "label").mapInArrow(
-        learn, "bias double, slots array<int>, weights array<double>, vectors array<double>"
+        learn, "bias double, slots array<bigint>, weights array<double>, vectors array<double>"
     )
     row = materialize(learned, "machine").first()
-    size = 1 << SLOT_BITS
-    machine = Machine(0.0, np.zeros(size), np.zeros((size, FACTORS)))
     if row is None:
-        return machine
-    machine.bias = row["bias"]
-    machine.weights[row["slots"]] = row["weights"]
-    machine.vectors[row["slots"]] = np.array(row["vectors"]).reshape(-1, FACTORS)
-    return Machine(machine.bias, machine.weights.astype(np.float32), machine.vectors.astype(np.float32))
+        return train([])
+    vectors = np.array(row["vectors"], float).reshape(-1, FACTORS)
+    return Machine(row["bias"], np.array(row["slots"], np.int64), np.array(row["weights"], float), vectors)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", columns: list[str] | None = None) -> DataFrame:
