@@ -10,10 +10,11 @@ rare to frequent, the two must meet in the first ``len - 28 + 1`` values of both
 passage that many documents share build lists only for documents that consist of it.
 
 No list is expanded into its pairs. Every member is first compared with the list's most typical member.
-That settles groups of copies. What is left are lists with members of several components; there the
-members outside the largest component are compared with those of other components, and the sketch
-estimate is a condition of that join. Pairs inside one component need no comparison: more links would
-not change it. So no link between components is lost, and copies cost one comparison each.
+That settles groups of copies. What is left are lists with members of several components. Lists with the
+same largest component make a cluster; its members outside that component are compared with all members
+of other components, block against block. A block counts overlaps by inverted lists of its own, so only
+confirmed links leave it. Pairs inside one component need no comparison: more links would not change it. So
+no link between components is lost, and copies cost one comparison each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ SKETCH = 64
 SHARED = 28 / 64
 #: Estimates are off by about 0.05; this is far below 0.75.
 ESTIMATE = 0.5
+#: Bounds of a block when the members of a cluster are compared.
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_sets(piece: X.Piece, size: int) -> list[np.ndarray]:
@@ -120,6 +125,85 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return materialize(links, "near-links")
 
 
+def _overlaps(wanted: np.ndarray, values: np.ndarray, owners: np.ndarray, number: int) -> np.ndarray:
+    """How many of the wanted values each owner has, by the inverted lists (``values`` in order)."""
+    low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, "right")
+    size = high - low
+    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.bincount(owners[at], minlength=number)
+
+
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    values = np.concatenate(sets)
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    return values[order], owners[order]
+
+
+def _compare_blocks(table: pa.Table, k: int, percent: int) -> pa.Table:
+    """Links between the two sides of a block, one for each row of the left side and component."""
+    kind = table.schema.field("node").type
+    sides = []
+    for left in (True, False):
+        own = table.filter(pc.equal(table["left"], left))
+        sets = [np.asarray(x.values) for x in own["shingles"]]
+        sides.append((own["node"].to_pylist(), np.asarray(own["component"]), sets))
+    (nodes, parts, sets), (others, other_parts, other_sets) = sides
+    a, b = [], []
+    if sets and other_sets:
+        sizes = np.array([len(s) for s in other_sets])
+        sketches = np.minimum(sizes, k)
+        few, every = _postings([s[:k] for s in other_sets]), _postings(other_sets)
+        for node, part, own in zip(nodes, parts, sets):
+            possible = (other_parts != part) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+            shared = _overlaps(own[:k], *few, len(others))
+            possible &= (shared > 0) & (shared >= SHARED * np.minimum(sketches, min(k, len(own))))
+            if not possible.any():
+                continue
+            same = _overlaps(own, *every, len(others))
+            linked = np.flatnonzero(possible & (100 * same >= percent * (sizes + len(own) - same)))
+            _, first = np.unique(other_parts[linked], return_index=True)
+            a += [node] * len(first)
+            b += [others[j] for j in linked[first]]
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+
+def _shingled(batch: pa.RecordBatch, shingle: int):
+    keys, texts = batch.columns
+    for piece in X.pieces(texts):
+        sets = shingle_sets(piece, shingle)
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        at = slice(piece.first, piece.first + piece.rows)
+        yield pa.RecordBatch.from_arrays([keys[at], X.lists(np.concatenate(sets), bounds)], ["node", "shingles"])
+
+
+def _between(open_lists: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
+    """Links between components of the same cluster; ``open_lists`` has node, component and main."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    members = open_lists.select("main", "node", "component").distinct()
+    members = materialize(members.join(nodes.select("node", "n"), "node"), "members")
+    blocks = members.groupBy("main").agg(F.count("*").alias("number"), F.sum("n").alias("words"))
+    number = F.greatest(F.ceil(F.col("number") / BLOCK_NODES), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
+    placed = members.join(blocks.select("main", number.alias("blocks")), "main")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.where("component <> main").select("main", "own", every.alias("other"), "node", "component")
+    right = placed.select("main", every.alias("own"), F.col("own").alias("other"), "node", "component")
+    cells = left.withColumn("left", F.lit(True)).union(right.withColumn("left", F.lit(False)))
+
+    wanted = members.select(F.col("node").alias("key")).distinct()
+    sets = X.map_text(
+        texts.join(wanted, "key", "left_semi").select("key", "text"),
+        lambda batch: _shingled(batch, shingle),
+        f"node {kind}, shingles array<bigint>",
+    )
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    found = cells.join(sets, "node").groupBy("main", "own", "other").applyInArrow(
+        lambda table: _compare_blocks(table, k, percent), f"a {kind}, b {kind}"
+    )
+    return materialize(found, "more-links")
+
+
 def _lists(nodes: DataFrame) -> DataFrame:
     """Members (value, node, n, weight) of the inverted lists that the prefix filter leaves."""
     members = nodes.select("node", "n", F.size("sketch").alias("len"), F.explode("sketch").alias("value"))
@@ -187,19 +271,7 @@ def near_duplicates(
     )
     open_lists = materialize(placed.join(largest.where("parts > 1"), "value").drop("parts"), "open-lists")
     if not open_lists.isEmpty():
-        members = open_lists.join(nodes, "node")
-        a, b = members.where("component <> main").alias("a"), members.alias("b")
-        rest = a.join(
-            b,
-            (F.col("a.value") == F.col("b.value"))
-            & (F.col("a.component") != F.col("b.component"))
-            & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-            & _similar_size("a", "b", percent)
-            & _estimated("a", "b", k),
-        )
-        rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        known = hub_pairs.union(hub_pairs.select("b", "a"))
-        more = _confirmed(rest.join(known, ["a", "b"], "left_anti"), texts, shingle, percent)
+        more = _between(open_lists, nodes, texts, shingle, k, percent)
         if not more.isEmpty():
             found = components(links.union(more))
 
