@@ -7,11 +7,11 @@ import pytest
 from conftest import by_key
 from pyspark.sql import functions as F
 
-from tidemark import session
 from tidemark.functions.labels import with_targets
-from tidemark.operators.ranks import hash_folds, position_in_group, stratified_folds
-from tidemark.plans import encode
+from tidemark.operators.ranks import fold_columns, position_in_group, stratified_folds
+from tidemark.plans import encode, training
 from tidemark.schemas import CLASSES
+from tidemark.session import materialize
 
 
 def users(n=600, seed=0):
@@ -44,9 +44,14 @@ def test_folds_are_balanced_and_ignore_layout(spark):
     assert folded.exceptAll(again).isEmpty() and again.exceptAll(folded).isEmpty()
 
 
-def test_hash_folds_cover_the_range(spark):
-    got = spark.range(500).groupBy(hash_folds(F.col("id"), 3).alias("f")).count().collect()
-    assert {r["f"] for r in got} == set(range(5)) and min(r["count"] for r in got) > 60
+def test_several_fold_columns_at_once(spark):
+    df = spark.createDataFrame(users(300), "user_id string, label string, c string")
+    strata = {"f1": (F.col("label"), 42), "f2": (F.col("c"), 7)}
+    got = fold_columns(df, "user_id", strata)
+    one = stratified_folds(df, "user_id", "label", 42).select("user_id", F.col("fold").alias("f1"))
+    two = stratified_folds(df.where("c IS NOT NULL"), "user_id", "c", 7)
+    want = one.join(two.select("user_id", F.col("fold").alias("f2")), "user_id", "left")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()), key=lambda r: r[0])
 
 
 def test_positions_across_chunks(spark, conf):
@@ -74,9 +79,12 @@ def brute(rows, folds):
 
 
 @pytest.fixture(params=["broadcast", "shuffle"])
-def strategy(request, monkeypatch):
+def strategy(request, conf):
     if request.param == "shuffle":
-        monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
+        conf(
+            spark__sql__autoBroadcastJoinThreshold="-1",
+            spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        )
     return request.param
 
 
@@ -120,3 +128,24 @@ def test_dense_matrix_marks_missing_and_nan(spark):
     dense = encode.dense_matrix(df, ["a", "b"], ["user_id"])
     assert tuple(dense.first()) == (1, -1.0, -1.0)
     assert [t for _, t in dense.dtypes] == ["int", "float", "float"]
+
+
+def test_all_encodings_take_two_joins(spark, no_broadcast):
+    rows = users(200, seed=5) + [("odd", "vol_churn", "unknown")]
+    train = materialize(prepared(spark, rows).withColumn("d", F.col("c")), "train")
+    columns = ["c", "d"]
+    codes = encode.vocabulary([encode.fill_categories(train, columns)], columns)
+    stats = encode.target_stats(train, "fold", columns)
+    df = encode.encode_all(train, codes, stats, columns, "fold")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    apart = encode.ordinal_encode(
+        encode.fill_categories(stats.out_of_fold(train), columns), codes, columns
+    ).select(df.columns)
+    assert df.count() == len(rows) and df.exceptAll(apart).isEmpty()
+
+
+def test_folds_take_few_exchanges(spark, no_broadcast):
+    labelled = with_targets(spark.createDataFrame(users(50), "user_id string, churn_status string, c string"))
+    plan = training.fold_table(labelled)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 8 and plan.count("Scan ") <= 3

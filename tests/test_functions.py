@@ -65,8 +65,8 @@ def test_lookup_default(spark):
 
 
 def arc_day(spark, rows, days=14):
-    starts = time.day_starts(F.col("s"), days - 1)
-    return values(spark, "s timestamp_ntz, t timestamp_ntz", rows, time.reached(F.col("t"), starts))
+    day = nulls.clip(time.whole_days(F.col("s"), F.col("t")), lo=0, hi=days - 1)
+    return values(spark, "s timestamp_ntz, t timestamp_ntz", rows, day)
 
 
 def test_days_round_down_and_clamp(spark):

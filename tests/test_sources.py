@@ -2,6 +2,8 @@
 
 import os
 
+import contextlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,61 @@ def test_shared_folder_comes_from_the_session(spark):
     assert session.scratch_path(spark, "x").startswith(named)
 
 
-def test_small_is_a_matter_of_counted_rows(spark, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 9)
-    assert session.is_small(spark.range(9)) and not session.is_small(spark.range(10))
+def test_scratch_is_gone_after_the_run_and_after_a_failure(spark):
+    from pathlib import Path
+
+    folders = []
+    for fail in (False, True):
+        with pytest.raises(ZeroDivisionError) if fail else contextlib.nullcontext():
+            with session.scratch_space(spark) as folder:
+                assert session.materialize(spark.range(3), "x").count() == 3
+                folders.append(Path(folder.removeprefix("file:")))
+                assert folders[-1].exists()
+                1 / (not fail)
+    assert not any(f.exists() for f in folders)
+
+
+def test_parts_in_another_column_order_fail(spark, tmp_path):
+    write(tmp_path / "p" / "a.csv", "user_id,purchase_amount_dollars,purchase_type\nu,1.5,promo\n")
+    write(tmp_path / "p" / "b.csv", "purchase_type,user_id,purchase_amount_dollars\npromo,u,2.5\n")
+    with pytest.raises(Exception, match="(?s)header.*purchase"):
+        csv.scan(spark, str(tmp_path / "p"), "purchases").collect()
+
+
+def test_text_sequences_are_kept_and_numbers_keep_their_order(spark, tmp_path):
+    names = csv.TABLES["transactions"].names
+    lines = [",".join([*names, "attempt_id"])]
+    for user, ids in (("a", ["10", "9", "2"]), ("b", ["ta_77f", "ta_9", "5"])):
+        for i in ids:
+            row = dict.fromkeys(names, "") | {"user_id": user, "transaction_time": "2024-01-01", "is_3d_secure": "true"}
+            row["failure_code"] = "x" if i in ("10", "ta_9") else ""
+            lines.append(",".join([*(row[n] for n in names), i]))
+    from tidemark.plans.transactions import from_order
+
+    df = csv.scan(spark, write(tmp_path / "t.csv", "\n".join(lines) + "\n"), "transactions")
+    assert {r.user_id: r.ta_last_failed for r in from_order(df).collect()} == {"a": 1.0, "b": 1.0}
+
+
+def test_repeated_sequence_fails_loudly(spark):
+    users = spark.createDataFrame([("a",)], "user_id string")
+    quizzes = spark.createDataFrame([("a", 1), ("a", 1)], "user_id string, seq int")
+    with pytest.raises(ValueError, match="seq repeats"):
+        csv.check_contracts({"users": users, "properties": users, "quizzes": quizzes})
+
+
+def test_refused_lines(spark, tmp_path):
+    path = write(tmp_path / "u.csv", "user_id,churn_status\na,vol_churn,extra,fields\n")
+    assert csv.scan(spark, path, "users").count() == 1
+    with pytest.raises(Exception, match="(?i)malformed"):
+        csv.scan(spark, path, "users", mode="FAILFAST").collect()
+
+
+def test_other_options_miss_the_store(spark, tmp_path):
+    source, root = write(tmp_path / "in" / "a.csv", "x\n1\n"), str(tmp_path / "store")
+
+    def get(value, options):
+        build = lambda: spark.createDataFrame([(value,)], "v int")
+        return store.build_or_load(spark, root, "train", [source], build, options).first().v
+
+    assert get(1, {"window": "clip"}) == 1 and get(2, {"window": "filter"}) == 2
+    assert get(3, {"window": "clip"}) == 1

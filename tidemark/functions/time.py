@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,18 +23,6 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(float(MICROS_PER_HOUR))
 
 
-def day_starts(start: Column, days: int) -> list[Column]:
-    """The moments at which day 0, 1, .. ``days`` begin, counted from ``start``."""
-    return [start + F.expr(f"INTERVAL '{d}' DAY") for d in range(days + 1)]
-
-
-def reached(at: Column, starts: Sequence[Column]) -> Column:
-    """Index of the last of several ascending moments that ``at`` has reached; the first one if none.
-
-    Plain comparisons: whole days since ``starts[0]``, rounded down and clamped to the list. Missing if
-    either side is.
-    """
-    out = F.when(at < starts[1], F.lit(0))
-    for d in range(1, len(starts) - 1):
-        out = out.when(at < starts[d + 1], F.lit(d))
-    return out.when(at >= starts[-1], F.lit(len(starts) - 1))
+def whole_days(start: Column, end: Column) -> Column:
+    """Days from ``start`` to ``end``, rounded down, also before the start. Missing if either side is."""
+    return F.floor(micros_between(start, end) / F.lit(float(24 * MICROS_PER_HOUR))).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,41 @@ from tidemark.session import materialize
 _FIRST, _BEFORE = Window.unboundedPreceding, -1
 
 
-def _offsets(rows: DataFrame, group: str, bucket: str) -> DataFrame:
-    """Rows in earlier buckets, per (group, bucket)."""
-    earlier = Window.partitionBy(group).orderBy(bucket).rowsBetween(_FIRST, _BEFORE)
+def _offsets(rows: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
+    """Rows in earlier buckets, per group and bucket."""
+    earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(_FIRST, _BEFORE)
     return (
-        rows.groupBy(group, bucket)
+        rows.groupBy(*group, bucket)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(group, bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+        .select(*group, bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    )
+
+
+def fold_columns(
+    df: DataFrame, key: str, strata: Mapping[str, tuple[Column, int]], folds: int = 5, prefix: int = 3
+) -> DataFrame:
+    """The key and one fold column per entry of ``strata``: its label and seed. No fold without a label.
+
+    Works like ``stratified_folds`` for all entries at once, on narrow rows of one entry each: they are
+    ranked in one shuffle and folded back into one row per key in another.
+    """
+    marks = [
+        F.struct(
+            F.lit(name).alias("fold"),
+            label.cast("string").alias("label"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("hash"),
+        )
+        for name, (label, seed) in strata.items()
+    ]
+    long = df.select(key, F.inline(F.array(*marks))).where(F.col("label").isNotNull())
+    long = long.withColumn("bucket", F.substring("hash", 1, prefix))
+    within = Window.partitionBy("fold", "label", "bucket").orderBy("hash", key)
+    ranked = long.withColumn("rank", F.row_number().over(within)).join(
+        _offsets(long, ["fold", "label"], "bucket"), ["fold", "label", "bucket"]
+    )
+    number = ((F.col("offset") + F.col("rank") - 1) % folds).cast("int")
+    return ranked.groupBy(key).agg(
+        *[F.max(F.when(F.col("fold") == name, number)).alias(name) for name in strata]
     )
 
 
@@ -31,8 +61,7 @@ def stratified_folds(
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, prefix))
-    # At most labels x 16^prefix rows, which is what permits the broadcast.
-    offsets = F.broadcast(_offsets(hashed, label, "_b"))
+    offsets = _offsets(hashed, [label], "_b")
     within = Window.partitionBy(label, "_b").orderBy("_h", key)
     return (
         hashed.withColumn("_rn", F.row_number().over(within))
@@ -53,11 +82,6 @@ def position_in_group(df: DataFrame, group: str, order: str, name: str) -> DataF
     within = Window.partitionBy(group, "_b").orderBy(order)
     return (
         chunked.withColumn("_rn", F.row_number().over(within))
-        .join(_offsets(chunked, group, "_b"), [group, "_b"])
+        .join(_offsets(chunked, [group], "_b"), [group, "_b"])
         .select(*df.columns, (F.col("offset") + F.col("_rn") - 1).cast("int").alias(name))
     )
-
-
-def hash_folds(key: Column, seed: int, folds: int = 5) -> Column:
-    """Fold by hash alone: no shuffle, strata even only on average."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import position_in_group
-from tidemark.schemas import TARGET_ENCODED, TARGETS, categorical
-from tidemark.session import is_small, materialize
+from tidemark.schemas import FOLDS, KEY, TARGET_ENCODED, TARGETS, categorical
+from tidemark.session import materialize
 
 _EVERY_ROW = "_every_row"
 MISSING = -1.0
@@ -26,29 +26,23 @@ class TargetStats:
     columns: tuple[str, ...]
     targets: tuple[str, ...]
 
-    def _attach(self, rows: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
-        small = is_small(lookup)
-        for column in self.columns:
-            encoded = [f"te_{column}_{t}" for t in self.targets]
-            side = lookup.where(F.col("column") == column).select(
-                F.col("value").alias(column),
-                *on,
-                *[F.col(t).alias(name) for t, name in zip(self.targets, encoded)],
-            )
-            rows = rows.join(F.broadcast(side) if small else side, [column, *on], "left")
-            rows = rows.withColumns(
-                {
-                    name: F.coalesce(name, F.lit(self.means[t]))
-                    for t, name in zip(self.targets, encoded)
-                }
-            )
-        return rows
-
-    def out_of_fold(self, rows: DataFrame, fold: str = "fold") -> DataFrame:
-        """Encode training rows by the mean over the other folds.
+    def _attach(self, rows: DataFrame, lookup: DataFrame, on: Sequence[str], key: str) -> DataFrame:
+        found = _spread(rows, lookup, self.columns, self.fields(), on, key)
+        return self.with_means(rows.join(found, key, "left"))
+
+    def fields(self) -> dict[str, tuple[str, Column]]:
+        """Output name of every encoding, with its column and its field of the lookup."""
+        return {f"te_{c}_{t}": (c, F.col(t)) for c in self.columns for t in self.targets}
+
+    def with_means(self, rows: DataFrame) -> DataFrame:
+        """Overall means where a category was missing or not seen."""
+        means = {f"te_{c}_{t}": self.means[t] for c in self.columns for t in self.targets}
+        return rows.withColumns({n: F.coalesce(n, F.lit(mean)) for n, mean in means.items()})
+
+    def fold_means(self, fold: str) -> DataFrame:
+        """Means over the other folds, per (column, value, fold).
 
-        Counts of the other folds are the totals minus the row's own fold. A category unseen there, or
-        missing, gets the overall mean.
+        Counts of the other folds are the totals minus the row's own fold.
         """
         same = Window.partitionBy("column", "value")
         rest = F.sum("n").over(same) - F.col("n")
@@ -57,17 +51,51 @@ class TargetStats:
             inside = F.col(target)
             return F.when(rest > 0, (F.sum(target).over(same) - inside) / rest).alias(target)
 
-        lookup = self.table.select(
+        return self.table.select(
             "column", "value", F.col("fold").alias(fold), *[outside(t) for t in self.targets]
         )
-        return self._attach(rows, materialize(lookup, "te-oof"), [fold])
 
-    def full(self, rows: DataFrame) -> DataFrame:
-        """Encode other rows by the mean over all training rows."""
-        totals = self.table.groupBy("column", "value").agg(
+    def full_means(self) -> DataFrame:
+        """Means over all training rows, per (column, value)."""
+        return self.table.groupBy("column", "value").agg(
             *[(F.sum(t) / F.sum("n")).alias(t) for t in self.targets]
         )
-        return self._attach(rows, materialize(totals, "te-full"), [])
+
+    def out_of_fold(self, rows: DataFrame, fold: str = "fold", key: str = KEY) -> DataFrame:
+        """Encode training rows by the mean over the other folds.
+
+        A category unseen there, or missing, gets the overall mean.
+        """
+        return self._attach(rows, self.fold_means(fold), [fold], key)
+
+    def full(self, rows: DataFrame, key: str = KEY) -> DataFrame:
+        """Encode other rows by the mean over all training rows."""
+        return self._attach(rows, self.full_means(), [], key)
+
+
+def _spread(
+    rows: DataFrame,
+    lookup: DataFrame,
+    columns: Sequence[str],
+    fields: Mapping[str, tuple[str, Column]],
+    on: Sequence[str],
+    key: str,
+    fill: str | None = None,
+) -> DataFrame:
+    """Per key, the wanted lookup fields of all columns at once.
+
+    Only narrow rows (key, column, value) meet the lookup, in one join whatever the number of columns, and
+    are folded back into one row per key. A value shared by many rows is an ordinary skewed join. ``fill``
+    is the value that stands for a missing one; ``given`` in a field tells the two apart.
+    """
+    text = [F.col(c).cast("string").alias(c) for c in columns]
+    long = rows.select(key, *on, *text).unpivot([key, *on], list(columns), "column", "value")
+    long = long.withColumn("given", F.col("value").isNotNull())
+    long = long.na.fill(fill, ["value"]) if fill else long.where("given")
+    found = long.join(lookup, ["column", "value", *on])
+    return found.groupBy(key).agg(
+        *[F.max(F.when(F.col("column") == c, field)).alias(name) for name, (c, field) in fields.items()]
+    )
 
 
 def target_stats(
@@ -109,17 +137,40 @@ def vocabulary(frames: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame
     return materialize(ranked, "vocabulary")
 
 
-def ordinal_encode(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+def ordinal_encode(df: DataFrame, codes: DataFrame, columns: Sequence[str], key: str = KEY) -> DataFrame:
     """Replace each category by its code."""
-    order = df.columns
-    small = is_small(codes)
-    for column in columns:
-        side = codes.where(F.col("column") == column).select(
-            F.col("value").alias(column), F.col("code").alias("_code")
-        )
-        df = df.join(F.broadcast(side) if small else side, column, "left")
-        df = df.drop(column).withColumnRenamed("_code", column)
-    return df.select(*order)
+    fields = {f"code_{c}": (c, F.col("code")) for c in columns}
+    coded = df.join(_spread(df, codes, columns, fields, [], key), key, "left")
+    return coded.select(*[F.col(f"code_{c}").alias(c) if c in columns else c for c in df.columns])
+
+
+def encode_all(
+    rows: DataFrame,
+    codes: DataFrame,
+    stats: TargetStats,
+    columns: Sequence[str],
+    fold: str | None = None,
+    key: str = KEY,
+) -> DataFrame:
+    """Target encodings beside the rows and codes in place of their categories, by one lookup.
+
+    With ``fold`` the means are those of the other folds. A missing category has the code of its own
+    value, and the overall means.
+    """
+    on = [fold] if fold else []
+    means = stats.fold_means(fold) if fold else stats.full_means()
+    every = codes
+    if fold:
+        folds = F.sequence(F.lit(0), F.lit(FOLDS - 1))
+        kind = rows.schema[fold].dataType.simpleString()
+        every = codes.withColumn(fold, F.explode(folds.cast(f"array<{kind}>")))
+    lookup = materialize(every.join(means, ["column", "value", *on], "left"), "encodings")
+    fields = {f"code_{c}": (c, F.col("code")) for c in columns}
+    fields |= {n: (c, F.when(F.col("given"), field)) for n, (c, field) in stats.fields().items()}
+    found = _spread(rows, lookup, columns, fields, on, key, UNKNOWN)
+    coded = stats.with_means(rows.join(found, key, "left"))
+    kept = [F.col(f"code_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns]
+    return coded.select(*kept, *stats.fields())
 
 
 def dense_matrix(df: DataFrame, features: Sequence[str], carried: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import nulls
 from tidemark.functions.nulls import is_true, per, sum_or_zero, when_any
 from tidemark.functions.text import starts_with
-from tidemark.functions.time import day_starts, hours_between, reached
+from tidemark.functions.time import hours_between, parse, whole_days
 from tidemark.operators import arc, counts
 from tidemark.schemas import (
     ARC_BUCKETS,
@@ -43,22 +43,18 @@ def on_arc(
     """Attach the subscription start and the arc day to every event.
 
     ``clip`` moves events outside the arc to its first or last day; ``filter`` keeps only events inside.
-    The start of each arc day is computed once per user, so an event needs comparisons only. The join
-    carries no hint: Catalyst broadcasts a start table below its size threshold, and beyond it
-    AQE splits the partitions of hot users, after which the aggregate above runs partial-first.
+    The lookup side is only the key and the start, so that it stays small enough to broadcast for as
+    long as possible. The join carries no hint: beyond the threshold AQE splits the partitions of
+    hot users, after which the aggregate above runs partial-first.
     """
-    start = F.col("subscription_start_date").cast("timestamp_ntz")
-    days = {f"day_start_{d}": at for d, at in enumerate(day_starts(start, ARC_DAYS))}
-    starts = properties.select(
-        key, start.alias("sub_start"), *[at.alias(name) for name, at in days.items()]
-    )
+    starts = properties.select(key, parse(F.col("subscription_start_date")).alias("sub_start"))
     events = generations.join(starts, key, "left")
-    at, marks = F.col("created_at"), [F.col(name) for name in days]
+    day = whole_days(F.col("sub_start"), F.col("created_at"))
     if window == "filter":
-        events = events.where((at >= marks[0]) & (at < marks[ARC_DAYS]))
+        events = events.where(day.between(0, ARC_DAYS - 1))
     elif window != "clip":
         raise ValueError(f"window must be 'clip' or 'filter', not {window!r}")
-    return events.withColumn("day", reached(at, marks[:ARC_DAYS])).drop(*days)
+    return events.withColumn("day", nulls.clip(day, lo=0, hi=ARC_DAYS - 1))
 
 
 DAYS = [f"day_{d}" for d in range(ARC_DAYS)]

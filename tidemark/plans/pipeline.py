@@ -50,7 +50,7 @@ def with_folds(train: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def encode_splits(
-    train: DataFrame, test: DataFrame, shared_folds: bool = False
+    train: DataFrame, test: DataFrame, shared_folds: bool = False, key: str = KEY
 ) -> tuple[DataFrame, DataFrame]:
     """Add target encodings and replace categories by codes; ``train`` carries targets and folds.
 
@@ -61,11 +61,10 @@ def encode_splits(
     codes = encode.vocabulary([encode.fill_categories(s, columns) for s in (train, test)], columns)
     fold = "fold_mc" if shared_folds else "fold_te"
     stats = encode.target_stats(train, fold)
-    encoded = stats.out_of_fold(train, fold), stats.full(test)
-    train, test = [
-        encode.ordinal_encode(encode.fill_categories(s, columns), codes, columns) for s in encoded
-    ]
-    return train, test
+    return (
+        encode.encode_all(train, codes, stats, columns, fold, key),
+        encode.encode_all(test, codes, stats, columns, key=key),
+    )
 
 
 def model_frames(
@@ -75,7 +74,7 @@ def model_frames(
 
     By default codes are ordinary numbers to the trees; ``declare_categories`` marks them as categories.
     """
-    train, test = encode_splits(materialize(with_folds(train, key), "train-folds"), test)
+    train, test = encode_splits(materialize(with_folds(train, key), "train-folds"), test, key=key)
     sizes = training.category_sizes([train, test], categorical()) if declare_categories else {}
     carried = ["y", *TARGETS, *training.FOLD_COLUMNS]
     return (

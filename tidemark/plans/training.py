@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import first_argmax
-from tidemark.operators.ranks import stratified_folds
+from tidemark.operators.ranks import fold_columns
 from tidemark.plans.encode import dense_matrix
 from tidemark.plans.ensemble import MULTICLASS, with_second_stage
 from tidemark.plans.metrics import binary_f1, weighted_f1
-from tidemark.schemas import CLASSES, KEY, MODEL_FEATURES
+from tidemark.schemas import CLASSES, FOLDS, KEY, MODEL_FEATURES
 
-# Number of folds, seeds, and the tree settings Spark ML can express.
-FOLDS = 5
+# Seeds, and the tree settings Spark ML can express.
 ENCODING_SEED = 0
 MODEL_SEED = 42
 SUBSAMPLE = 0.8
@@ -142,13 +141,14 @@ def fold_table(labelled: DataFrame, key: str = KEY) -> DataFrame:
     Ranking only the key and its labels keeps the wide feature rows out of every sort. Users who did
     not churn have no stage-2 fold.
     """
-    narrow = labelled.select(key, "y", "is_churned", "is_invol")
-    folds = stratified_folds(narrow, key, "y", ENCODING_SEED, FOLDS, name="fold_te")
-    folds = stratified_folds(folds, key, "is_churned", MODEL_SEED, FOLDS, name="fold_s1")
-    folds = stratified_folds(folds, key, "y", MODEL_SEED, FOLDS, name="fold_mc")
-    churned = narrow.where(F.col("is_churned") == 1)
-    second = stratified_folds(churned, key, "is_invol", MODEL_SEED, FOLDS, name="fold_s2")
-    return folds.join(second.select(key, "fold_s2"), key, "left").select(key, *FOLD_COLUMNS)
+    churned = F.when(F.col("is_churned") == 1, F.col("is_invol"))
+    strata = {
+        "fold_te": (F.col("y"), ENCODING_SEED),
+        "fold_s1": (F.col("is_churned"), MODEL_SEED),
+        "fold_mc": (F.col("y"), MODEL_SEED),
+        "fold_s2": (churned, MODEL_SEED),
+    }
+    return fold_columns(labelled, key, strata, FOLDS)
 
 
 def _weighted(train: DataFrame, label: str, fold: str, scheme: str | None) -> Callable[[int], DataFrame]:

@@ -13,6 +13,7 @@ LABEL = "churn_status"
 CLASSES = ("not_churned", "vol_churn", "invol_churn")
 PLAN_TIERS = {"Basic": 1, "Creator": 2, "Pro": 3, "Ultimate": 4}
 ARC_DAYS = 14
+FOLDS = 5
 ARC_BUCKETS = {"q1": (0, 3), "q2": (4, 6), "q3": (7, 10), "q4": (11, 13)}
 LATE_FROM_DAY = 7
 LAST_DAYS_FROM = 11
@@ -92,75 +93,130 @@ class Feature(NamedTuple):
     missing: str
 
 
-def _features(text: str) -> list[Feature]:
-    """Parse lines of ``<missing>: name name ...`` into features, in order."""
-    out = []
-    for line in text.strip().splitlines():
-        missing, names = line.split(":")
-        out += [Feature(name, missing.strip()) for name in names.split()]
-    return out
-
-
 # Output column names and how each treats a user without source rows.
-PROPERTY_FEATURES = _features(
-    """
-    unknown: prop_plan prop_country
-    null: prop_tier prop_dow prop_month prop_day
-    """
-)
-GENERATION_FEATURES = _features(
-    """
-    zero: gen_total gen_completed gen_failed gen_nsfw gen_canceled gen_credit_total
-    null: gen_credit_mean gen_credit_max gen_credit_std
-    zero: gen_days_active
-    null: gen_types_unique
-    zero: gen_max_in_day
-    null: gen_span_hours
-    zero: gen_completion_rate gen_fail_rate gen_nsfw_rate gen_cancel_rate
-    zero: gen_video_count gen_image_count gen_video_ratio gen_per_active_day
-    null: gen_duration_mean gen_duration_max gen_duration_sum gen_duration_std
-    zero: gen_q1_count gen_q1_credits gen_q1_compl gen_q2_count gen_q2_credits gen_q2_compl
-    zero: gen_q3_count gen_q3_credits gen_q3_compl gen_q4_count gen_q4_credits gen_q4_compl
-    zero: gen_credit_early gen_credit_late
-    null: gen_credit_vel_ratio
-    zero: gen_early_count gen_late_count
-    null: gen_activity_slope gen_peak_day gen_activity_cliff
-    zero: gen_last3_count gen_last3_frac
-    null: gen_first_latency_h gen_compl_trend gen_video_credit_ratio
-    """
-)
-PURCHASE_FEATURES = _features(
-    """
-    zero: purch_count purch_total
-    null: purch_mean purch_types
-    zero: purch_credit_packs
-    """
-)
-QUIZ_FEATURES = _features(
-    """
-    unknown: q_source q_flow_type q_team_size q_experience q_usage_plan q_frustration q_first_feature q_role
-    zero: qf_cost qf_incon qf_limited qf_prompt qf_other
-    """
-)
-TRANSACTION_FEATURES = _features(
-    """
-    zero: ta_total ta_failed_count ta_success_count ta_fail_rate ta_card_declined ta_cvc_fail ta_expired
-    null: ta_auth_req
-    zero: ta_is_prepaid ta_is_virtual
-    null: ta_is_business ta_is_3ds ta_3ds_auth ta_amount_total ta_amount_mean ta_amount_max ta_last_failed
-    zero: ta_ctry_mismatch ta_max_consec_fail ta_max_retries
-    null: ta_cvc_pass
-    unknown: ta_card_funding ta_card_brand ta_payment_method ta_bank_country ta_card_country
-    """
-)
-PRESENCE_FEATURES = _features("never: has_gen has_tx has_purch")
-COMPOSITE_FEATURES = _features(
-    """
-    never: invol_risk vol_risk engagement
-    null: plan_x_engagement
-    never: gen_front_ratio gen_back_ratio
-    """
-)
+PROPERTY_FEATURES = [
+    Feature("prop_plan", "unknown"),
+    Feature("prop_country", "unknown"),
+    Feature("prop_tier", "null"),
+    Feature("prop_dow", "null"),
+    Feature("prop_month", "null"),
+    Feature("prop_day", "null"),
+]
+GENERATION_FEATURES = [
+    Feature("gen_total", "zero"),
+    Feature("gen_completed", "zero"),
+    Feature("gen_failed", "zero"),
+    Feature("gen_nsfw", "zero"),
+    Feature("gen_canceled", "zero"),
+    Feature("gen_credit_total", "zero"),
+    Feature("gen_credit_mean", "null"),
+    Feature("gen_credit_max", "null"),
+    Feature("gen_credit_std", "null"),
+    Feature("gen_days_active", "zero"),
+    Feature("gen_types_unique", "null"),
+    Feature("gen_max_in_day", "zero"),
+    Feature("gen_span_hours", "null"),
+    Feature("gen_completion_rate", "zero"),
+    Feature("gen_fail_rate", "zero"),
+    Feature("gen_nsfw_rate", "zero"),
+    Feature("gen_cancel_rate", "zero"),
+    Feature("gen_video_count", "zero"),
+    Feature("gen_image_count", "zero"),
+    Feature("gen_video_ratio", "zero"),
+    Feature("gen_per_active_day", "zero"),
+    Feature("gen_duration_mean", "null"),
+    Feature("gen_duration_max", "null"),
+    Feature("gen_duration_sum", "null"),
+    Feature("gen_duration_std", "null"),
+    Feature("gen_q1_count", "zero"),
+    Feature("gen_q1_credits", "zero"),
+    Feature("gen_q1_compl", "zero"),
+    Feature("gen_q2_count", "zero"),
+    Feature("gen_q2_credits", "zero"),
+    Feature("gen_q2_compl", "zero"),
+    Feature("gen_q3_count", "zero"),
+    Feature("gen_q3_credits", "zero"),
+    Feature("gen_q3_compl", "zero"),
+    Feature("gen_q4_count", "zero"),
+    Feature("gen_q4_credits", "zero"),
+    Feature("gen_q4_compl", "zero"),
+    Feature("gen_credit_early", "zero"),
+    Feature("gen_credit_late", "zero"),
+    Feature("gen_credit_vel_ratio", "null"),
+    Feature("gen_early_count", "zero"),
+    Feature("gen_late_count", "zero"),
+    Feature("gen_activity_slope", "null"),
+    Feature("gen_peak_day", "null"),
+    Feature("gen_activity_cliff", "null"),
+    Feature("gen_last3_count", "zero"),
+    Feature("gen_last3_frac", "zero"),
+    Feature("gen_first_latency_h", "null"),
+    Feature("gen_compl_trend", "null"),
+    Feature("gen_video_credit_ratio", "null"),
+]
+PURCHASE_FEATURES = [
+    Feature("purch_count", "zero"),
+    Feature("purch_total", "zero"),
+    Feature("purch_mean", "null"),
+    Feature("purch_types", "null"),
+    Feature("purch_credit_packs", "zero"),
+]
+QUIZ_FEATURES = [
+    Feature("q_source", "unknown"),
+    Feature("q_flow_type", "unknown"),
+    Feature("q_team_size", "unknown"),
+    Feature("q_experience", "unknown"),
+    Feature("q_usage_plan", "unknown"),
+    Feature("q_frustration", "unknown"),
+    Feature("q_first_feature", "unknown"),
+    Feature("q_role", "unknown"),
+    Feature("qf_cost", "zero"),
+    Feature("qf_incon", "zero"),
+    Feature("qf_limited", "zero"),
+    Feature("qf_prompt", "zero"),
+    Feature("qf_other", "zero"),
+]
+TRANSACTION_FEATURES = [
+    Feature("ta_total", "zero"),
+    Feature("ta_failed_count", "zero"),
+    Feature("ta_success_count", "zero"),
+    Feature("ta_fail_rate", "zero"),
+    Feature("ta_card_declined", "zero"),
+    Feature("ta_cvc_fail", "zero"),
+    Feature("ta_expired", "zero"),
+    Feature("ta_auth_req", "null"),
+    Feature("ta_is_prepaid", "zero"),
+    Feature("ta_is_virtual", "zero"),
+    Feature("ta_is_business", "null"),
+    Feature("ta_is_3ds", "null"),
+    Feature("ta_3ds_auth", "null"),
+    Feature("ta_amount_total", "null"),
+    Feature("ta_amount_mean", "null"),
+    Feature("ta_amount_max", "null"),
+    Feature("ta_last_failed", "null"),
+    Feature("ta_ctry_mismatch", "zero"),
+    Feature("ta_max_consec_fail", "zero"),
+    Feature("ta_max_retries", "zero"),
+    Feature("ta_cvc_pass", "null"),
+    Feature("ta_card_funding", "unknown"),
+    Feature("ta_card_brand", "unknown"),
+    Feature("ta_payment_method", "unknown"),
+    Feature("ta_bank_country", "unknown"),
+    Feature("ta_card_country", "unknown"),
+]
+PRESENCE_FEATURES = [
+    Feature("has_gen", "never"),
+    Feature("has_tx", "never"),
+    Feature("has_purch", "never"),
+]
+COMPOSITE_FEATURES = [
+    Feature("invol_risk", "never"),
+    Feature("vol_risk", "never"),
+    Feature("engagement", "never"),
+    Feature("plan_x_engagement", "null"),
+    Feature("gen_front_ratio", "never"),
+    Feature("gen_back_ratio", "never"),
+]
 BASE_FEATURES = (
     PROPERTY_FEATURES
     + GENERATION_FEATURES

@@ -1,9 +1,10 @@
-"""Session settings, shared scratch tables and the size check behind every broadcast."""
+"""Session settings and shared scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# Lookup tables above this many rows are joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 500_000
+# Folders of the scratch spaces that are open, innermost last.
+_spaces: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,22 +33,38 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for tables that outlive one plan: the one named by ``spark.checkpoint.dir``.
 
-    Only a local master falls back to a temporary folder; on a cluster such a folder would be
-    visible to a single machine, so its absence is an error there.
+    Only a local master falls back to a folder in the warehouse; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder in whatever file system it is in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables written inside the block are removed after it, also if it fails."""
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _spaces.append(folder)
+    try:
+        yield folder
+    finally:
+        _spaces.remove(folder)
+        remove(spark, folder)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _spaces[-1] if _spaces else shared_dir(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,10 +76,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a lookup table may be broadcast: its rows are counted first.
-
-    Meant for materialized tables, where the count is answered from Parquet footers.
-    """
-    return df.count() <= BROADCAST_MAX_ROWS

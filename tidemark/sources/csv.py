@@ -111,30 +111,45 @@ def scan(
     parity: bool = False,
     timestamp_format: str | None = None,
     multi_line: bool = False,
+    mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """One typed input table; every value is read as text first, so no inference pass is needed.
 
     Tables whose row order matters get a sequence column from the file position unless they have one.
-    ``multi_line`` admits line breaks inside quotes at the price of unsplittable files.
+    ``multi_line`` admits line breaks inside quotes at the price of unsplittable files. Lines with too many
+    or too few fields are cut or padded; ``mode="FAILFAST"`` refuses them.
     """
-    raw = spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path)
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "mode": mode}
+    named = spark.read.options(**options).csv(path).columns
+    text = T.StructType([T.StructField(name, T.StringType()) for name in named])
+    # Every file is held against these names, so parts in another column order fail.
+    raw = spark.read.options(**options, enforceSchema=False).schema(text).csv(path)
     if table in SEQUENCE and SEQUENCE[table] not in raw.columns:
         raw = _with_file_order(raw, SEQUENCE[table])
     elif table in SEQUENCE:
-        raw = raw.withColumn(SEQUENCE[table], F.col(SEQUENCE[table]).cast("long"))
+        raw = raw.withColumn(SEQUENCE[table], _orderable(F.col(SEQUENCE[table])))
     return conform(raw, table, parity, timestamp_format)
 
 
-def load_split(spark: SparkSession, root: str, split: str, **options) -> dict[str, DataFrame]:
-    """All six tables of a split."""
-    return {t: scan(spark, p, t, **options) for t, p in split_paths(root, split).items()}
+def _orderable(sequence: Column) -> Column:
+    """A sequence given as text: whole numbers in their order, then other text in its own."""
+    number = sequence.try_cast("long")
+    return F.struct(number.isNull().alias("is_text"), number.alias("number"), sequence.alias("text"))
 
 
-def assert_unique(df: DataFrame, key: str = KEY) -> None:
+def load_split(
+    spark: SparkSession, root: str, split: str, folders: Mapping[str, str] = FOLDERS, **options
+) -> dict[str, DataFrame]:
+    """All six tables of a split; ``options`` are those of ``scan``."""
+    return {t: scan(spark, p, t, **options) for t, p in split_paths(root, split, folders).items()}
+
+
+def assert_unique(df: DataFrame, *keys: str) -> None:
     """Fail if a key repeats; runs one partially aggregated count."""
-    repeated = df.groupBy(key).count().where("count > 1").select(key).limit(3).collect()
+    keys = keys or (KEY,)
+    repeated = df.groupBy(*keys).count().where("count > 1").select(*keys).limit(3).collect()
     if repeated:
-        raise ValueError(f"{key} repeats, for example {[r[0] for r in repeated]}")
+        raise ValueError(f"{', '.join(keys)} repeats, for example {[tuple(r) for r in repeated]}")
 
 
 def assert_labels(users: DataFrame) -> None:
@@ -146,8 +161,12 @@ def assert_labels(users: DataFrame) -> None:
 
 
 def check_contracts(tables: Mapping[str, DataFrame], key: str = KEY) -> None:
-    """Tables with one row per user must not fan out the joins; labels must be known classes."""
+    """Tables with one row per user must not fan out the joins, the sequence of a user's rows must order
+    them, and labels must be known classes."""
     for table in UNIQUE:
         assert_unique(tables[table], key)
+    for table, sequence in SEQUENCE.items():
+        if table in tables:
+            assert_unique(tables[table], key, sequence)
     if LABEL in tables["users"].columns:
         assert_labels(tables["users"])

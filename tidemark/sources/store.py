@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,13 @@ from pyspark.sql import functions as F
 FEATURE_VERSION = "1"
 
 
-def fingerprint(spark: SparkSession, paths: Sequence[str], version: str = FEATURE_VERSION) -> str:
-    """Digest of names, sizes and times of all input files, from their listing alone."""
+def fingerprint(
+    spark: SparkSession,
+    paths: Sequence[str],
+    version: str = FEATURE_VERSION,
+    options: Mapping | None = None,
+) -> str:
+    """Digest of names, sizes and times of all input files, from their listing alone, and of ``options``."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -27,7 +33,8 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], version: str = FEATUR
         F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("digest"),
     ).first()
     digest = (found["digest"] or 0) & (2**64 - 1)
-    return f"v{version}-{found['n']}-{found['bytes'] or 0}-{digest:016x}"
+    built = hashlib.sha256(json.dumps(options or {}, sort_keys=True, default=str).encode()).hexdigest()
+    return f"v{version}-{found['n']}-{found['bytes'] or 0}-{digest:016x}-{built[:16]}"
 
 
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
@@ -45,13 +52,15 @@ def build_or_load(
     split: str,
     paths: Sequence[str],
     build: Callable[[], DataFrame],
+    options: Mapping | None = None,
 ) -> DataFrame:
-    """The feature table of a split, built only if these very inputs have not been built before.
+    """The feature table of a split, built only if these very inputs have not been built before with these
+    very options.
 
     A table lives under its fingerprint and becomes valid with its manifest, which is written last; a
     build that dies half-way is simply redone. Changed inputs or a new feature version miss the cache.
     """
-    mark = fingerprint(spark, paths)
+    mark = fingerprint(spark, paths, options=options)
     manifest, table = f"{root}/manifest/{mark}-{split}", f"{root}/features/{mark}"
     if _read_if_there(spark, manifest) is None:
         built = build()
