@@ -20,6 +20,7 @@ from tidemark.llm import (
     warc,
 )
 from tidemark.llm.oracles import ORACLES
+from tidemark.session import configure
 
 __all__ = ["ORACLES", "QUERIES", "URL_RULES", "fold", "table"]
 
@@ -34,7 +35,8 @@ URL_RULES = (
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table, in a session that splits skewed joins even if that costs another shuffle."""
+    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def fold(key: str, number: int) -> Column:
