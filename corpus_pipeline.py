@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, near_dup, packing, toxicity
 from tidemark.llm.queries import fold, table
-from tidemark.session import materialize
+from tidemark.session import configure, materialize
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -28,11 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites share."""
+    configure(spark)
     return _sized(line_dedup.remove_boilerplate(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; of repeated rows one."""
+    configure(spark)
     gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return left.dropDuplicates(["doc_id", "text"])
