@@ -47,7 +47,7 @@ SELECT o_orderkey AS attempt_id, o_custkey AS user_id, o_orderdate AS transactio
     "purchases": """
 SELECT o_custkey AS user_id, l_extendedprice AS purchase_amount_dollars,
   CASE p_type WHEN 'PROMO' THEN 'Credits pack' WHEN 'ECONOMY' THEN 'credit_topup' WHEN 'SMALL' THEN NULL ELSE p_type END AS purchase_type
-  FROM $lineitem JOIN $orders ON l_orderkey = o_orderkey JOIN $part ON l_partkey = p_partkey WHERE o_custkey % 5 <> 2 AND l_linenumber <= 2""",
+  FROM $lineitem JOIN $orders ON l_orderkey = o_orderkey JOIN $part ON l_partkey = p_partkey WHERE o_custkey % 5 <> 2""",
     "quizzes": """
 SELECT c_custkey AS user_id, seq,
   CASE WHEN (c_custkey + seq) % 8 = 0 THEN NULL ELSE concat('src', CAST((c_custkey + seq) % 5 AS STRING)) END AS source,

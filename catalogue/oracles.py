@@ -9,7 +9,49 @@ from __future__ import annotations
 import re
 
 from catalogue import fixtures
-from tidemark.schemas import BASE_FEATURES, TARGET_ENCODED, TARGETS, categorical, names, zero_filled
+
+# Column names, stated here so that the engine cannot vouch for itself.
+_FEATURES = """
+    prop_plan prop_country prop_tier prop_dow prop_month prop_day gen_total gen_completed gen_failed
+    gen_nsfw gen_canceled gen_credit_total gen_credit_mean gen_credit_max gen_credit_std
+    gen_days_active gen_types_unique gen_max_in_day gen_span_hours gen_completion_rate gen_fail_rate
+    gen_nsfw_rate gen_cancel_rate gen_video_count gen_image_count gen_video_ratio gen_per_active_day
+    gen_duration_mean gen_duration_max gen_duration_sum gen_duration_std gen_q1_count gen_q1_credits
+    gen_q1_compl gen_q2_count gen_q2_credits gen_q2_compl gen_q3_count gen_q3_credits gen_q3_compl
+    gen_q4_count gen_q4_credits gen_q4_compl gen_credit_early gen_credit_late gen_credit_vel_ratio
+    gen_early_count gen_late_count gen_activity_slope gen_peak_day gen_activity_cliff
+    gen_last3_count gen_last3_frac gen_first_latency_h gen_compl_trend gen_video_credit_ratio
+    purch_count purch_total purch_mean purch_types purch_credit_packs q_source q_flow_type
+    q_team_size q_experience q_usage_plan q_frustration q_first_feature q_role qf_cost qf_incon
+    qf_limited qf_prompt qf_other ta_total ta_failed_count ta_success_count ta_fail_rate
+    ta_card_declined ta_cvc_fail ta_expired ta_auth_req ta_is_prepaid ta_is_virtual ta_is_business
+    ta_is_3ds ta_3ds_auth ta_amount_total ta_amount_mean ta_amount_max ta_last_failed
+    ta_ctry_mismatch ta_max_consec_fail ta_max_retries ta_cvc_pass ta_card_funding ta_card_brand
+    ta_payment_method ta_bank_country ta_card_country has_gen has_tx has_purch invol_risk vol_risk
+    engagement plan_x_engagement gen_front_ratio gen_back_ratio
+""".split()
+_ZERO_FILLED = """
+    gen_total gen_completed gen_failed gen_nsfw gen_canceled gen_credit_total gen_days_active
+    gen_max_in_day gen_completion_rate gen_fail_rate gen_nsfw_rate gen_cancel_rate gen_video_count
+    gen_image_count gen_video_ratio gen_per_active_day gen_q1_count gen_q1_credits gen_q1_compl
+    gen_q2_count gen_q2_credits gen_q2_compl gen_q3_count gen_q3_credits gen_q3_compl gen_q4_count
+    gen_q4_credits gen_q4_compl gen_credit_early gen_credit_late gen_early_count gen_late_count
+    gen_last3_count gen_last3_frac purch_count purch_total purch_credit_packs qf_cost qf_incon
+    qf_limited qf_prompt qf_other ta_total ta_failed_count ta_success_count ta_fail_rate
+    ta_card_declined ta_cvc_fail ta_expired ta_is_prepaid ta_is_virtual ta_ctry_mismatch
+    ta_max_consec_fail ta_max_retries
+""".split()
+_CATEGORICAL = """
+    prop_plan prop_country q_source q_flow_type q_team_size q_experience q_usage_plan q_frustration
+    q_first_feature q_role ta_card_funding ta_card_brand ta_payment_method ta_bank_country
+    ta_card_country
+""".split()
+_TARGETS = """
+    is_churned is_vol is_invol
+""".split()
+_TARGET_ENCODED = """
+    prop_country prop_plan q_source q_frustration q_role q_usage_plan q_first_feature
+""".split()
 
 PIECES: dict[str, str] = {f"fx_{view}": fixtures.duckdb_sql(view) for view in fixtures.VIEWS}
 
@@ -196,7 +238,7 @@ FROM fx_users u LEFT JOIN property_user p ON u.user_id = p.user_id
 
 PIECES["filled"] = (
     "\nSELECT * REPLACE ("
-    + ", ".join(f"COALESCE({c}, 0) AS {c}" for c in zero_filled())
+    + ", ".join(f"COALESCE({c}, 0) AS {c}" for c in _ZERO_FILLED)
     + ") FROM joined"
 )
 
@@ -231,35 +273,35 @@ PIECES["folds"] = f"""
 SELECT *, {_fold("y", 0, "fold_te")}, {_fold("is_churned", 42, "fold_s1")}, {_fold("y", 42, "fold_mc")}
 FROM labelled"""
 
-PIECES["train_rows"] = "\nSELECT l.*, " + ", ".join(TARGET_ENCODED) + """
+PIECES["train_rows"] = "\nSELECT l.*, " + ", ".join(_TARGET_ENCODED) + """
 FROM folds l LEFT JOIN property_user p ON l.user_id = p.user_id LEFT JOIN quiz_user q ON l.user_id = q.user_id
 WHERE split = 'train'"""
-PIECES["test_rows"] = "\nSELECT l.user_id, " + ", ".join(TARGET_ENCODED) + """
+PIECES["test_rows"] = "\nSELECT l.user_id, " + ", ".join(_TARGET_ENCODED) + """
 FROM folds l LEFT JOIN property_user p ON l.user_id = p.user_id LEFT JOIN quiz_user q ON l.user_id = q.user_id
 WHERE split = 'test'"""
 PIECES["overall"] = (
-    "\nSELECT " + ", ".join(f"AVG({t}) AS all_{t}" for t in TARGETS) + " FROM train_rows"
+    "\nSELECT " + ", ".join(f"AVG({t}) AS all_{t}" for t in _TARGETS) + " FROM train_rows"
 )
-for _c in TARGET_ENCODED:
-    _avg = ", ".join(f"AVG(t.{t}) AS te_{_c}_{t}" for t in TARGETS)
+for _c in _TARGET_ENCODED:
+    _avg = ", ".join(f"AVG(t.{t}) AS te_{_c}_{t}" for t in _TARGETS)
     PIECES[f"oof_{_c}"] = f"""
 SELECT r.user_id, {_avg} FROM train_rows r LEFT JOIN train_rows t ON t.{_c} = r.{_c} AND t.fold_te <> r.fold_te GROUP BY r.user_id"""
     PIECES[f"full_{_c}"] = f"""
 SELECT r.user_id, {_avg} FROM test_rows r LEFT JOIN train_rows t ON t.{_c} = r.{_c} GROUP BY r.user_id"""
 
-_TE = [(f"te_{c}_{t}", t) for c in TARGET_ENCODED for t in TARGETS]
+_TE = [(f"te_{c}_{t}", t) for c in _TARGET_ENCODED for t in _TARGETS]
 _TE_FILLED = ", ".join(f"COALESCE({name}, all_{t}) AS {name}" for name, t in _TE)
 PIECES["te_train"] = f"""
-SELECT r.user_id, r.fold_te AS fold, {_TE_FILLED} FROM train_rows r {" ".join(f"JOIN oof_{c} USING (user_id)" for c in TARGET_ENCODED)}, overall"""
+SELECT r.user_id, r.fold_te AS fold, {_TE_FILLED} FROM train_rows r {" ".join(f"JOIN oof_{c} USING (user_id)" for c in _TARGET_ENCODED)}, overall"""
 PIECES["te_test"] = f"""
-SELECT r.user_id, {_TE_FILLED} FROM test_rows r {" ".join(f"JOIN full_{c} USING (user_id)" for c in TARGET_ENCODED)}, overall"""
+SELECT r.user_id, {_TE_FILLED} FROM test_rows r {" ".join(f"JOIN full_{c} USING (user_id)" for c in _TARGET_ENCODED)}, overall"""
 
-for _c in categorical():
+for _c in _CATEGORICAL:
     PIECES[f"code_{_c}"] = f"""
 SELECT user_id, DENSE_RANK() OVER (ORDER BY COALESCE({_c}, 'unknown')) - 1 AS {_c} FROM joined"""
 PIECES["codes"] = (
     "\nSELECT * FROM (SELECT user_id FROM fx_users) u "
-    + " ".join(f"JOIN code_{c} USING (user_id)" for c in categorical())
+    + " ".join(f"JOIN code_{c} USING (user_id)" for c in _CATEGORICAL)
 )
 
 # Scores derived from the user key, in place of model output.
@@ -403,14 +445,14 @@ _INTEGER = set(
     pred_not pred_vol pred_invol
     """.split()
 )
-_TEXT = set(categorical()) | set(
+_TEXT = set(_CATEGORICAL) | set(
     "churn_status split label name actual scheme prop_country reasons action predicted table_name".split()
 )
 
 
 def _real(expression: str) -> str:
     """Round to seven places, without negative zero."""
-    rounded = f"ROUND(CAST({expression} AS DOUBLE) * 1e7) / 1e7"
+    rounded = f"ROUND(CAST({expression} AS DOUBLE) * 1e7 + 0.01) / 1e7"
     return f"CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END"
 
 
@@ -441,7 +483,7 @@ def _with(sql: str) -> str:
     active: list[str] = []
     visit(sql)
     ctes = ",\n".join(f"{name} AS ({PIECES[name]})" for name in needed)
-    return f"WITH {ctes}\n{sql}" if needed else sql
+    return f"WITH {ctes}\n{sql}" if needed else sql  # an sql that begins with a comma adds pieces of its own
 
 
 ORACLES: dict[str, str] = {}
@@ -475,7 +517,7 @@ _oracle(
     "src_csv_roundtrip",
     " UNION ALL ".join(_probe(s, t, m, x) for s in ("train", "test") for t, m, x in _PROBES),
 )
-_slice("feature_cache_roundtrip", "features", ["churn_status", *names(BASE_FEATURES)])
+_slice("feature_cache_roundtrip", "features", ["churn_status", *_FEATURES])
 _slice("prop_features", "property_user", "prop_plan prop_country prop_tier prop_dow prop_month prop_day")
 _slice(
     "gen_core",
@@ -536,9 +578,9 @@ _COMPOSITE = "invol_risk vol_risk engagement plan_x_engagement gen_front_ratio g
 _slice(
     "assemble_features",
     "joined",
-    ["churn_status", *[f for f in names(BASE_FEATURES) if f not in _COMPOSITE]],
+    ["churn_status", *[f for f in _FEATURES if f not in _COMPOSITE]],
 )
-_slice("zero_fill", "filled", zero_filled())
+_slice("zero_fill", "filled", _ZERO_FILLED)
 _slice("risk_composites", "features", ["has_gen", "has_tx", "has_purch", *_COMPOSITE])
 PIECES["folds_s2"] = f"""
 SELECT user_id, {_fold("is_invol", 42, "fold_s2")} FROM labelled WHERE is_churned = 1"""
@@ -554,7 +596,7 @@ _slice("target_encode_test", "te_test", [n for n, _ in _TE])
 _oracle(
     "ordinal_encode",
     "SELECT CAST(user_id AS BIGINT) AS user_id, "
-    + ", ".join(_shape(c, integer=True) for c in categorical())
+    + ", ".join(_shape(c, integer=True) for c in _CATEGORICAL)
     + " FROM codes",
 )
 
@@ -562,13 +604,13 @@ _oracle(
 def _cell(column: str) -> str:
     """A matrix entry: seven places, then single precision, missing as -1."""
     single = f"COALESCE(CAST({_real(column)} AS FLOAT), -1)"
-    return f"ROUND(CAST({single} AS DOUBLE) * 1e7) / 1e7 AS {column}"
+    return f"ROUND(CAST({single} AS DOUBLE) * 1e7 + 0.01) / 1e7 AS {column}"
 
 
-_MATRIX = [n for n in names(BASE_FEATURES)] + [n for n, _ in _TE]
+_MATRIX = [*_FEATURES] + [n for n, _ in _TE]
 PIECES["te_all"] = "\nSELECT * EXCLUDE (fold) FROM te_train UNION ALL BY NAME SELECT * FROM te_test"
 PIECES["matrix"] = f"""
-SELECT f.* EXCLUDE ({", ".join(categorical())}), c.* EXCLUDE (user_id), t.* EXCLUDE (user_id)
+SELECT f.* EXCLUDE ({", ".join(_CATEGORICAL)}), c.* EXCLUDE (user_id), t.* EXCLUDE (user_id)
 FROM features f JOIN codes c ON f.user_id = c.user_id JOIN te_all t ON f.user_id = t.user_id"""
 _oracle(
     "feature_matrix",
@@ -714,24 +756,197 @@ def _listed(rules: dict[str, str]) -> str:
     return "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for t, c in rules.items()) + ")"
 
 
+_ANSWERS = {
+    "show how to save credits and offer the basic plan": "qf_cost = 1",
+    "prompting guide and templates": "qf_incon = 1",
+    "show progress and remind of credit packs": "qf_limited = 1",
+}
 _oracle(
     "churn_reasons",
     f"""
-SELECT CAST(user_id AS BIGINT) AS user_id, predicted,
+SELECT CAST(user_id AS BIGINT) AS user_id, predicted, {_real("certain")} AS probability,
   CAST(CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, '; ')) END AS BIGINT) AS n_reasons, reasons,
-  CASE predicted WHEN 'not_churned' THEN 'none' WHEN 'vol_churn' THEN 'day-7 intervention' ELSE 'renewal warning and new payment method' END AS action
+  CASE predicted WHEN 'not_churned' THEN 'none' WHEN 'vol_churn' THEN concat_ws('; ', 'day-7 intervention', NULLIF(answers, ''))
+    ELSE 'renewal warning and new payment method' END AS action
 FROM (
-  SELECT user_id, churn_status AS predicted,
-    CASE churn_status WHEN 'invol_churn' THEN {_listed(_PAYMENT)} WHEN 'vol_churn' THEN {_listed(_BEHAVIOUR)} ELSE '' END AS reasons
-  FROM features
+  SELECT user_id, predicted, certain, {_listed(_ANSWERS)} AS answers,
+    CASE predicted WHEN 'invol_churn' THEN {_listed(_PAYMENT)} WHEN 'vol_churn' THEN {_listed(_BEHAVIOUR)} ELSE '' END AS reasons
+  FROM (SELECT f.*, GREATEST(b0, b1, b2) AS certain,
+    CASE pred WHEN 0 THEN 'not_churned' WHEN 1 THEN 'vol_churn' ELSE 'invol_churn' END AS predicted
+    FROM features f JOIN final USING (user_id)) c
 ) r""",
 )
+PIECES["week"] = """
+SELECT user_id, COUNT(*) AS week_days, CASE WHEN COUNT(*) = 1 THEN 0.0 ELSE regr_slope(cnt, day) END AS week_slope
+FROM gen_day WHERE day < 7 GROUP BY user_id"""
 _oracle(
     "intervention_triggers",
     """
-SELECT CAST(user_id AS BIGINT) AS user_id,
+SELECT CAST(f.user_id AS BIGINT) AS user_id,
   CAST(COALESCE(ta_is_prepaid = 1 AND ta_failed_count > 0, FALSE) AS BIGINT) AS renewal_warning,
-  CAST(COALESCE(gen_activity_slope < 0 AND gen_days_active <= 5, FALSE) AS BIGINT) AS day7_intervention,
+  CAST(COALESCE(week_slope < 0 AND week_days <= 3, FALSE) AS BIGINT) AS day7_intervention,
   CAST(COALESCE(gen_first_latency_h <= 0.5, FALSE) AS BIGINT) AS quick_start
-FROM features""",
+FROM features f LEFT JOIN week w ON f.user_id = w.user_id""",
+)
+
+# --- rows read back from CSV, and the features built from them
+_ROWS = {
+    "users": "CAST(f.user_id AS VARCHAR) AS user_id, CASE WHEN u.split = 'train' THEN f.churn_status END AS churn_status",
+    "generations": "CAST(f.user_id AS VARCHAR) AS user_id, CAST(created_at AS TIMESTAMP) AS created_at, status, "
+    "generation_type, {credit_cost}, {duration}",
+    "properties": "CAST(f.user_id AS VARCHAR) AS user_id, CAST(subscription_start_date AS TIMESTAMP) AS "
+    "subscription_start_date, subscription_plan, country_code",
+    "purchases": "CAST(f.user_id AS VARCHAR) AS user_id, {purchase_amount_dollars}, purchase_type",
+    "quizzes": "CAST(f.user_id AS VARCHAR) AS user_id, source, flow_type, team_size, experience, usage_plan, frustration, "
+    "first_feature, role, CAST(seq AS BIGINT) AS seq",
+    "transactions": "CAST(f.user_id AS VARCHAR) AS user_id, CAST(transaction_time AS TIMESTAMP) AS transaction_time, "
+    "failure_code, CAST(is_prepaid AS VARCHAR) AS is_prepaid, CAST(is_virtual AS VARCHAR) AS is_virtual, "
+    "CAST(is_business AS VARCHAR) AS is_business, CAST(is_3d_secure AS BIGINT) AS is_3d_secure, "
+    "CAST(is_3d_secure_authenticated AS BIGINT) AS is_3d_secure_authenticated, card_country, billing_address_country, "
+    "bank_country, {amount_in_usd}, cvc_check, card_funding, card_brand, payment_method_type, "
+    "CAST(attempt_id AS BIGINT) AS attempt_id",
+}
+for _t, _columns in _ROWS.items():
+    _doubles = ("credit_cost", "duration", "purchase_amount_dollars", "amount_in_usd")
+    _columns = _columns.format(**{c: f"{_real(c)} AS {c}" for c in _doubles})
+    _oracle(
+        f"src_{_t}",
+        f"SELECT {_columns}, u.split AS split FROM fx_{_t} f JOIN fx_users u ON f.user_id = u.user_id",
+    )
+_slice("csv_features", "features", _FEATURES)
+
+# --- models of one split
+PIECES["fold_ids"] = "\nSELECT UNNEST(range(5)) AS k"
+
+
+def _weights(label: str, scheme: str | None) -> str:
+    """Weight of each class in the rows outside fold k, from ``seen`` (k, label, ...)."""
+    value = {
+        "unbalanced": "MAX(n) OVER (PARTITION BY k) / n",
+        "balanced": "SUM(n) OVER (PARTITION BY k) / (COUNT(*) OVER (PARTITION BY k) * n)",
+        None: "1.0",
+    }[scheme]
+    return f"SELECT k, {label}, n, {value} AS w FROM (SELECT k, {label}, COUNT(*) AS n FROM seen GROUP BY ALL) c"
+
+
+def _split_model(name: str, feature: str, label: str, fold: str, scheme: str | None, rows: str, leaf: str, outputs: dict) -> None:
+    """Scores of a single split on ``feature``: ``leaf`` gives the sums per side, ``outputs`` the scores.
+
+    A side with fewer than 15 rows is no split, and then both sides have the sums of all rows.
+    """
+    sums = [part.split(" AS ")[1] for part in leaf.split(", ")]
+    pooled = ", ".join(f"CASE WHEN apart THEN {s} ELSE SUM({s}) OVER (PARTITION BY k) END AS {s}" for s in sums)
+    means = ", ".join(f"{_real(f'AVG({c})')} AS {c}" for c in outputs)
+    own = ", ".join(f"{_real(c)} AS {c}" for c in outputs)
+    scores = ", ".join(f"{e} AS {c}" for c, e in outputs.items())
+    _oracle(
+        name,
+        f"""
+, t AS (SELECT l.user_id, l.{label}, l.{fold} AS fold, f.{feature} AS x FROM {rows} l JOIN features f ON l.user_id = f.user_id),
+seen AS (SELECT * FROM t, fold_ids WHERE fold <> k),
+weights AS ({_weights(label, scheme)}),
+sides AS (SELECT k, x, COUNT(*) AS n, {leaf} FROM seen JOIN weights USING (k, {label}) GROUP BY k, x),
+leaves AS (SELECT k, x, {pooled} FROM (SELECT *, MIN(n) OVER (PARTITION BY k) >= 15 AS apart FROM sides) a),
+merged AS (SELECT * FROM leaves),
+scored AS (SELECT k, x, {scores} FROM merged)
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(fold AS BIGINT) AS fold, {own}, 'oof' AS part
+FROM t JOIN scored s ON t.fold = s.k AND t.x = s.x
+UNION ALL
+SELECT CAST(u.user_id AS BIGINT), NULL, {means}, 'test'
+FROM features u JOIN scored s ON u.{feature} = s.x WHERE u.split = 'test' GROUP BY u.user_id""".lstrip(),
+    )
+
+
+def _margin(a: str, b: str) -> str:
+    """Probability after one boosting round: the leaf's weighted mean of labels -1 and 1."""
+    return f"1 / (1 + exp(-2 * {a} / {b}))"
+
+
+PIECES["train_folds"] = "\nSELECT * FROM folds LEFT JOIN folds_s2 USING (user_id) WHERE split = 'train'"
+PIECES["churned_folds"] = "\nSELECT * FROM train_folds WHERE is_churned = 1"
+_split_model(
+    "stage1_model", "qf_cost", "is_churned", "fold_s1", "unbalanced", "train_folds",
+    "SUM(w * (2 * is_churned - 1)) AS a, SUM(w) AS b", {"s1": _margin("a", "b")},
+)
+_split_model(
+    "stage2_model", "has_purch", "is_invol", "fold_s2", None, "churned_folds",
+    "SUM(w * (2 * is_invol - 1)) AS a, SUM(w) AS b", {"s2": _margin("a", "b")},
+)
+_RESTS = [_margin(f"a{c}", "b") for c in range(3)]
+_split_model(
+    "multiclass_model", "qf_cost", "y", "fold_mc", "balanced", "train_folds",
+    ", ".join(f"SUM(CASE WHEN y = {c} THEN w ELSE -w END) AS a{c}" for c in range(3)) + ", SUM(w) AS b",
+    {f"m{c}": f"({_RESTS[c]}) / ({' + '.join(f'({r})' for r in _RESTS)})" for c in range(3)},
+)
+_split_model(
+    "multiclass_forest_model", "has_purch", "y", "fold_mc", "balanced", "train_folds",
+    ", ".join(f"SUM(CASE WHEN y = {c} THEN w ELSE 0 END) AS a{c}" for c in range(3)) + ", SUM(w) AS b",
+    {f"m{c}": f"a{c} / b" for c in range(3)},
+)
+# A forest makes one leaf of two sides with the same majority class.
+_MAJOR = "CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END"
+_ONE_LEAF = ", ".join(
+    f"CASE WHEN MIN({_MAJOR}) OVER (PARTITION BY k) = MAX({_MAJOR}) OVER (PARTITION BY k) "
+    f"THEN SUM({c}) OVER (PARTITION BY k) ELSE {c} END AS {c}"
+    for c in ("a0", "a1", "a2", "b")
+)
+ORACLES["multiclass_forest_model"] = ORACLES["multiclass_forest_model"].replace(
+    "merged AS (SELECT * FROM leaves)", f"merged AS (SELECT k, x, {_ONE_LEAF} FROM leaves)"
+)
+
+
+def _structure(name: str, fold: str, rows: str) -> None:
+    counted = "CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) AS BIGINT) AS users, 1::BIGINT AS in_range, 1::BIGINT AS sums_to_one"
+    _oracle(
+        name,
+        f"""
+SELECT 'oof' AS part, CAST({fold} AS BIGINT) AS fold, {counted} FROM {rows} GROUP BY {fold}
+UNION ALL SELECT 'test', NULL, {counted} FROM fx_users WHERE split = 'test'""",
+    )
+
+
+_structure("stage1_structure", "fold_s1", "train_folds")
+_structure("stage2_structure", "fold_s2", "churned_folds")
+_structure("multiclass_structure", "fold_mc", "train_folds")
+_NAMED = ", ".join(f"('{c}')" for c in _MATRIX)
+_oracle(
+    "feature_importance",
+    f"SELECT feature, 1::BIGINT AS not_negative, 1::BIGINT AS sums_to_one FROM (VALUES {_NAMED}) v(feature)",
+)
+_oracle("top_importances", "SELECT 'qf_cost' AS feature, 1.0::DOUBLE AS importance")
+_FOLD_WEIGHTS = {"unbalanced": ("is_churned", "fold_s1"), "balanced": ("y", "fold_mc")}
+_oracle(
+    "class_weights_by_fold",
+    " UNION ALL ".join(
+        f"""
+SELECT '{scheme}' AS scheme, CAST(k AS BIGINT) AS fold, CAST({label} AS BIGINT) AS class_id, CAST(n AS BIGINT) AS n, {_real("w")} AS weight
+FROM ({_weights(label, scheme).replace("seen", f"(SELECT * FROM train_folds, fold_ids WHERE {fold} <> k) s")}) {scheme}"""
+        for scheme, (label, fold) in _FOLD_WEIGHTS.items()
+    ),
+)
+
+
+def _binary(label: str, score: str, rows: str) -> str:
+    return f"""
+SELECT fold, CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / np) * (tp / ns) / (tp / np + tp / ns) END AS f1 FROM (
+  SELECT fold, COUNT(*) FILTER (WHERE {score} > 0.5) AS np, SUM({label}) AS ns,
+    COUNT(*) FILTER (WHERE {score} > 0.5 AND {label} = 1) AS tp FROM {rows} GROUP BY fold) c"""
+
+
+_M_CALLED = "SELECT fold, y, CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS pred FROM oof"
+_CHURNED_OOF = "(SELECT *, CASE WHEN y = 2 THEN 1 ELSE 0 END AS is_invol FROM oof WHERE is_churned = 1) d"
+_oracle(
+    "fold_report",
+    " UNION ALL ".join(
+        f"SELECT '{model}' AS model, CAST(fold AS BIGINT) AS fold, {_real('f1')} AS f1 FROM ({sql}) {model}"
+        for model, sql in {
+            "stage1": _binary("is_churned", "s1", "oof"),
+            "stage2": _binary("is_invol", "s2", _CHURNED_OOF),
+            "multiclass": _f1(_M_CALLED, "fold"),
+        }.items()
+    ),
+)
+_oracle(
+    "predicted_distribution",
+    f"SELECT churn_status, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT {_CLASS} FROM final) c GROUP BY churn_status",
 )

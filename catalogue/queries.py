@@ -6,7 +6,8 @@ Results are shaped for comparison only here: integers as bigint, doubles rounded
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import lru_cache, reduce
+from dataclasses import replace
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -27,8 +28,10 @@ from tidemark.schemas import (
     LABEL,
     MODEL_FEATURES,
     PRESENCE_FEATURES,
+    SEQUENCE,
     TABLES,
     TARGET_ENCODED,
+    TARGETS,
     TE_FEATURES,
     categorical,
     names,
@@ -42,15 +45,30 @@ from tidemark.sources.store import build_or_load
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Small models: the check is that every stage runs over all users.
-SMALL = training.Settings(
-    rounds=3, stage1_depth=3, stage2_depth=3, trees=6, multiclass_depth=4, parallelism=3
+# One tree of one split without any sampling, so that SQL can compute every score.
+EXACT = training.Settings(
+    rounds=1,
+    stage1_depth=1,
+    stage2_depth=1,
+    multiclass_depth=1,
+    trees=1,
+    subsample=1.0,
+    feature_share="all",
+    forest_share="all",
+    bootstrap=False,
+    parallelism=5,
 )
+# Few and shallow trees on all features and users; what is checked holds for trees of any size.
+SHALLOW = training.Settings(rounds=3, stage1_depth=3, stage2_depth=3, multiclass_depth=3, parallelism=5)
 
 
 def seven_places(c: Column) -> Column:
-    """Scale, round half away from zero, scale back, as the SQL side does."""
-    return F.round(c.cast("double") * 1e7) / 1e7
+    """Scale, round, scale back, as the SQL side does.
+
+    Means of cents often end in a 5 at the eighth place, where the order of a sum would decide; a hundredth
+    of the last place moves the rounding point away from them.
+    """
+    return F.round(c.cast("double") * 1e7 + 0.01) / 1e7
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -122,7 +140,7 @@ def src_csv_roundtrip(spark, sf_dir):
         "generations": (F.col("credit_cost"), F.col("status")),
         "properties": (F.dayofmonth("subscription_start_date").cast("double"), F.col("country_code")),
         "purchases": (F.col("purchase_amount_dollars"), F.col("purchase_type")),
-        "quizzes": (F.col("seq").cast("double"), F.col("frustration")),
+        "quizzes": (F.col("seq.number").cast("double"), F.col("frustration")),
         "transactions": (F.col("amount_in_usd"), F.col("failure_code")),
     }
     parts = []
@@ -143,6 +161,39 @@ def src_csv_roundtrip(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _scanned(name: str) -> None:
+    """Register the typed rows of one table of both splits, after writing and scanning CSV."""
+
+    def fn(spark, sf_dir):
+        root = scratch_path(spark, "csv")
+        _write_splits(_tables(spark, sf_dir), root, ("train", "test"))
+        parts = []
+        for split in ("train", "test"):
+            df = load_split(spark, root, split)[name].withColumn("split", F.lit(split))
+            if name in SEQUENCE:
+                df = df.withColumn(SEQUENCE[name], F.col(f"{SEQUENCE[name]}.number"))
+            parts.append(df)
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+    register(f"src_{name}", fn)
+
+
+for _name in TABLES:
+    _scanned(_name)
+
+
+@query
+def csv_features(spark, sf_dir):
+    """The 109 features built from the CSV folders of both splits."""
+    root = scratch_path(spark, "csv")
+    _write_splits(_tables(spark, sf_dir), root, ("train", "test"))
+    parts = []
+    for split in ("train", "test"):
+        built = feature_table(load_split(spark, root, split))
+        parts.append(built.select(F.col(KEY).cast("bigint").alias(KEY), *names(BASE_FEATURES)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def feature_cache_roundtrip(spark, sf_dir):
     """The finished feature table, built once and read back from the store."""
@@ -346,13 +397,12 @@ def target_encode_test(spark, sf_dir):
     return stats.full(test).select(KEY, *TE_FEATURES)
 
 
-@lru_cache(maxsize=4)
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(feature_table(_tables(spark, sf_dir)), "features")
 
 
 def _feature_splits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Feature tables of both splits, built once per session."""
+    """Feature tables of both splits, stored once for the query."""
     stored = stored_features(spark, sf_dir)
     split = lambda s: stored.where(F.col("split") == s).drop("split")
     return split("train"), split("test").drop(LABEL)
@@ -390,6 +440,19 @@ def class_weights(spark, sf_dir):
     return label(binary, "unbalanced", "is_churned").unionByName(label(three, "balanced", "y"))
 
 
+@query
+def class_weights_by_fold(spark, sf_dir):
+    """The weights that the fits of each fold use."""
+    users = _train_users(spark, sf_dir)
+    rows = users.join(training.fold_table(users), KEY)
+    parts = []
+    for scheme, label, fold in (("unbalanced", "is_churned", "fold_s1"), ("balanced", "y", "fold_mc")):
+        known = training.class_weights(rows, label, scheme, fold)
+        named = F.lit(scheme).alias("scheme"), F.col(fold).alias("fold"), F.col(label).alias("class_id")
+        parts.append(known.select(*named, "n", "weight"))
+    return parts[0].unionByName(parts[1])
+
+
 # --- ensemble and metrics on scores derived from the user table ----------------------------------
 
 
@@ -447,6 +510,17 @@ def fold_f1(spark, sf_dir):
     return metrics.binary_f1(_oof(spark, sf_dir), "is_churned", "s1", by=["fold"])
 
 
+@query
+def fold_report(spark, sf_dir):
+    """F1 of the two stages and the three-class scores per fold."""
+    rows = _scores(spark, sf_dir, "train").withColumn("is_invol", (F.col("y") == 2).cast("int"))
+    scores = lambda df, *c: training.Scores(df.select(KEY, "fold", *c), df, [], ())
+    churned = rows.where(F.col("is_churned") == 1)
+    return training.fold_report(
+        rows, scores(rows, "s1"), scores(churned, "s2"), scores(rows, *ensemble.MULTICLASS)
+    )
+
+
 @query
 def classification_report(spark, sf_dir):
     return metrics.classification_report(_called(spark, sf_dir))
@@ -500,7 +574,15 @@ def submission(spark, sf_dir):
 
 @query
 def predictions_proba(spark, sf_dir):
-    return ensemble.probability_table(_tuned_test(spark, sf_dir))
+    """Test probabilities and classes, through the CSV sink."""
+    table, path = ensemble.probability_table(_tuned_test(spark, sf_dir)), scratch_path(spark, "proba")
+    write_csv(table, path)
+    return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+@query
+def predicted_distribution(spark, sf_dir):
+    return metrics.class_distribution(ensemble.submission(_tuned_test(spark, sf_dir)), LABEL)
 
 
 @query
@@ -512,13 +594,19 @@ def nested_f1(spark, sf_dir):
 # --- models --------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=4)
-def _stored_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return model_frames(*_feature_splits(spark, sf_dir))
+def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return model_frames(*_feature_splits(spark, sf_dir))[:2]
 
 
-def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return _stored_frames(spark, sf_dir)
+def _one_feature(spark, sf_dir, feature: str) -> tuple[DataFrame, DataFrame]:
+    """Vector frames of both splits with a single feature."""
+    train, test = _feature_splits(spark, sf_dir)
+    train = with_folds(train.select(KEY, LABEL, feature))
+    carried = ["y", *TARGETS, *training.FOLD_COLUMNS]
+    return (
+        materialize(training.model_frame(train, carried, [feature]), "train-vectors"),
+        materialize(training.model_frame(test, [], [feature]), "test-vectors"),
+    )
 
 
 def _both(scores: training.Scores) -> DataFrame:
@@ -527,25 +615,60 @@ def _both(scores: training.Scores) -> DataFrame:
     return oof.unionByName(test)
 
 
-@query
-def stage1_model(spark, sf_dir):
-    return _both(training.stage1(*_frames(spark, sf_dir), SMALL))
+def _exact(name: str, fit: Callable[..., training.Scores], feature: str, settings=EXACT) -> None:
+    """Register a model of one split on one feature with two values."""
 
+    def fn(spark, sf_dir):
+        return _both(fit(*_one_feature(spark, sf_dir, feature), settings, features=[feature]))
 
-@query
-def stage2_model(spark, sf_dir):
-    return _both(training.stage2(*_frames(spark, sf_dir), SMALL))
+    register(name, fn)
 
 
-@query
-def multiclass_model(spark, sf_dir):
-    return _both(training.multiclass(*_frames(spark, sf_dir), SMALL))
+_exact("stage1_model", training.stage1, "qf_cost")
+_exact("stage2_model", training.stage2, "has_purch")
+_exact("multiclass_model", training.multiclass, "qf_cost")
+_exact("multiclass_forest_model", training.multiclass, "has_purch", replace(EXACT, three_class="forest"))
+
+
+def _structure(name: str, fit: Callable[..., training.Scores], outputs: Sequence[str]) -> None:
+    """Register what holds for a model on all features: who is scored, and in which range."""
+
+    def fn(spark, sf_dir):
+        rows = _both(fit(*_frames(spark, sf_dir), SHALLOW))
+        total = reduce(lambda x, y: x + y, [F.col(c) for c in outputs])
+        within = reduce(lambda x, y: x & y, [F.col(c).between(0, 1) for c in outputs])
+        whole = (F.abs(total - 1) < 1e-9) if len(outputs) > 1 else F.lit(True)
+        return rows.groupBy("part", "fold").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.countDistinct(KEY).alias("users"),
+            F.min(within.cast("int")).alias("in_range"),
+            F.min(whole.cast("int")).alias("sums_to_one"),
+        )
+
+    register(name, fn)
+
+
+_structure("stage1_structure", training.stage1, ["s1"])
+_structure("stage2_structure", training.stage2, ["s2"])
+_structure("multiclass_structure", training.multiclass, ensemble.MULTICLASS)
 
 
 @query
 def feature_importance(spark, sf_dir):
-    """Top features of the three-class model by mean importance."""
-    scores = training.multiclass(*_frames(spark, sf_dir), SMALL)
+    """Importances of all 130 features of the three-class model, through the CSV sink."""
+    table = training.importances(training.multiclass(*_frames(spark, sf_dir), SHALLOW))
+    path = scratch_path(spark, "importances")
+    write_csv(table.coalesce(1), path)
+    back = spark.read.schema(table.schema).option("header", True).csv(path)
+    total = back.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    rows = back.select("feature", (F.col("importance") >= 0).alias("not_negative"))
+    return rows.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query
+def top_importances(spark, sf_dir):
+    """Ranks of the top features of a model with a known importance: all of it on its one feature."""
+    scores = training.multiclass(*_one_feature(spark, sf_dir, "qf_cost"), EXACT, features=["qf_cost"])
     return training.top_features(training.importances(scores))
 
 
@@ -579,10 +702,14 @@ def top_risk_countries(spark, sf_dir):
 
 @query
 def churn_reasons(spark, sf_dir):
+    """Reasons and actions of the test users, for the class called by the tuned scores."""
     features = _labelled_features(spark, sf_dir)
-    return analytics.churn_reasons(features, LABEL, analytics.top_risk_countries(features))
+    certain = F.greatest("p0", "p1", "p2").alias("certain")
+    called = _tuned_test(spark, sf_dir).select(KEY, decode(F.col("pred")).alias("called"), certain)
+    risky = analytics.top_risk_countries(features)
+    return analytics.churn_reasons(features.join(called, KEY), "called", risky, probability="certain")
 
 
 @query
 def intervention_triggers(spark, sf_dir):
-    return analytics.intervention_triggers(_labelled_features(spark, sf_dir))
+    return analytics.intervention_triggers(_labelled_features(spark, sf_dir), _events(spark, sf_dir))

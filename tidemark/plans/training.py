@@ -35,18 +35,51 @@ FOLD_COLUMNS = ("fold_te", "fold_s1", "fold_mc", "fold_s2")
 
 @dataclass(frozen=True)
 class Settings:
-    """Tree sizes and rounds; fewer rounds at a larger step stand in for many small ones."""
+    """Tree sizes and rounds; fewer rounds at a larger step stand in for many small ones.
+
+    ``three_class`` is "boosted" (one model per class against the rest) or "forest".
+    """
 
     rounds: int = 60
     step: float = 0.1
     stage1_depth: int = 8
     stage2_depth: int = 7
+    three_class: str = "boosted"
+    multiclass_depth: int = 7
     trees: int = 100
-    multiclass_depth: int = 10
+    subsample: float = SUBSAMPLE
+    feature_share: str = FEATURE_SHARE
+    forest_share: str = "sqrt"
+    bootstrap: bool = True
     parallelism: int = 2
-    # Treat category codes as categories; every category then needs a bin of its own.
+    # Treat category codes as categories; ``bins`` then grows to the largest of them.
     declare_categories: bool = False
-    bins: int = 32
+    bins: int = 128
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """The model of a fold, or one model per class against the rest."""
+
+    members: tuple
+
+    def score(self, rows: DataFrame, outputs: Sequence[tuple[str, int]], prefix: str = "") -> DataFrame:
+        """``rows`` with the wanted class probabilities; those of several members are scaled to sum to one."""
+        columns = rows.columns
+        for i, member in enumerate(self.members):
+            member = member.copy()
+            member.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c")
+            rows = member.transform(rows).withColumn(f"_p{i}", vector_to_array("_p")).drop("_p", "_r", "_c")
+        if len(self.members) == 1:
+            values = {name: F.col("_p0")[c] for name, c in outputs}
+        else:
+            every = [F.col(f"_p{i}")[1] for i in range(len(self.members))]
+            total = reduce(lambda a, b: a + b, every)
+            values = {name: every[c] / total for name, c in outputs}
+        return rows.select(*columns, *[value.alias(f"{prefix}{name}") for name, value in values.items()])
+
+    def importances(self):
+        return sum(m.featureImportances.toArray() for m in self.members) / len(self.members)
 
 
 @dataclass(frozen=True)
@@ -55,26 +88,37 @@ class Scores:
 
     oof: DataFrame
     test: DataFrame
-    models: list
+    models: list[Fitted]
     features: tuple[str, ...]
 
 
-def class_weights(df: DataFrame, label: str, scheme: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and weight per class.
+def class_weights(
+    df: DataFrame, label: str, scheme: str | None, fold: str | None = None, folds: int = FOLDS
+) -> DataFrame:
+    """Rows and weight per class; with ``fold``, per fold over the rows of all other folds.
 
     ``balanced`` is n / (classes x rows of the class). ``unbalanced`` lifts the rarer classes to the
-    size of the largest one.
+    size of the largest one. Without a scheme all weights are 1.
     """
-    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.col("n")
-    if scheme == "balanced":
-        weight = F.sum("n").over(group) / (F.count(F.lit(1)).over(group) * n)
-    elif scheme == "unbalanced":
-        weight = F.max("n").over(group) / n
+    if fold is None:
+        counts, group = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), Window.partitionBy(F.lit(0))
     else:
+        inside = [F.count_if(F.col(fold) == k).alias(f"_{k}") for k in range(folds)]
+        totals = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *inside)
+        outside = [
+            F.struct(F.lit(k).alias(fold), (F.col("_n") - F.col(f"_{k}")).alias("n")) for k in range(folds)
+        ]
+        counts = totals.select(F.inline(F.array(*outside)), label).where("n > 0").select(fold, label, "n")
+        group = Window.partitionBy(fold)
+    n = F.col("n")
+    weights = {
+        "balanced": F.sum("n").over(group) / (F.count(F.lit(1)).over(group) * n),
+        "unbalanced": F.max("n").over(group) / n,
+        None: F.lit(1.0),
+    }
+    if scheme not in weights:
         raise ValueError(f"unknown scheme {scheme!r}")
-    return counts.withColumn("weight", weight)
+    return counts.withColumn("weight", weights[scheme])
 
 
 def boosted_trees(settings: Settings, depth: int) -> GBTClassifier:
@@ -86,8 +130,8 @@ def boosted_trees(settings: Settings, depth: int) -> GBTClassifier:
         maxDepth=depth,
         minInstancesPerNode=MIN_ROWS,
         maxBins=settings.bins,
-        subsamplingRate=SUBSAMPLE,
-        featureSubsetStrategy=FEATURE_SHARE,
+        subsamplingRate=settings.subsample,
+        featureSubsetStrategy=settings.feature_share,
         validationIndicatorCol="is_validation",
         validationTol=1e-6,
         seed=MODEL_SEED,
@@ -95,15 +139,16 @@ def boosted_trees(settings: Settings, depth: int) -> GBTClassifier:
 
 
 def forest(settings: Settings) -> RandomForestClassifier:
-    """Three-class model; boosting in Spark ML is binary only."""
+    """Three-class model in one."""
     return RandomForestClassifier(
         featuresCol="features",
         numTrees=settings.trees,
         maxDepth=settings.multiclass_depth,
         minInstancesPerNode=MIN_ROWS,
         maxBins=settings.bins,
-        subsamplingRate=SUBSAMPLE,
-        featureSubsetStrategy="sqrt",
+        subsamplingRate=settings.subsample,
+        featureSubsetStrategy=settings.forest_share,
+        bootstrap=settings.bootstrap,
         seed=MODEL_SEED,
     )
 
@@ -123,7 +168,7 @@ def model_frame(
 ) -> DataFrame:
     """Dense matrix assembled into one vector column, hash-partitioned and sorted by key.
 
-    The fixed layout makes row sampling inside the tree learners repeatable. ``sizes`` declares columns
+    The layout makes row sampling inside the tree learners repeatable on the same cluster. ``sizes`` declares columns
     as categories with that many codes.
     """
     dense = dense_matrix(encoded, features, [key, *carried])
@@ -153,21 +198,14 @@ def fold_table(labelled: DataFrame, key: str = KEY) -> DataFrame:
 
 def _weighted(train: DataFrame, label: str, fold: str, scheme: str | None) -> Callable[[int], DataFrame]:
     """Training frame of a fold with the class weights of its training rows."""
-    if scheme is None:
-        return lambda k: train.withColumn("weight", F.lit(1.0))
     # folds x classes rows
-    counts = train.groupBy(fold, label).agg(F.count(F.lit(1)).alias("n")).collect()
+    known = class_weights(train, label, scheme, fold).collect()
 
     def frame(k: int) -> DataFrame:
-        rows: dict[float, int] = {}
-        for r in counts:
-            if r[fold] != k:
-                rows[r[label]] = rows.get(r[label], 0) + r["n"]
-        top, total = max(rows.values()), sum(rows.values())
         weight: Column = F.lit(1.0)
-        for c, n in rows.items():
-            value = top / n if scheme == "unbalanced" else total / (len(rows) * n)
-            weight = F.when(F.col(label) == c, F.lit(value)).otherwise(weight)
+        for r in known:
+            if r[fold] == k:
+                weight = F.when(F.col(label) == r[label], F.lit(r["weight"])).otherwise(weight)
         return train.withColumn("weight", weight)
 
     return frame
@@ -182,38 +220,38 @@ def cross_validate(
     outputs: Sequence[tuple[str, int]],
     scheme: str | None = None,
     early_stop: bool = True,
+    against_rest: int = 0,
     features: Sequence[str] = MODEL_FEATURES,
     key: str = KEY,
     parallelism: int = 2,
 ) -> Scores:
     """Fit one model per fold, score its held-out rows, and average all models on ``test``.
 
-    ``outputs`` names the (column, class) probabilities to keep. Fits are independent jobs submitted
-    from a few driver threads. Averaging chains the models over the test rows, which needs no shuffle.
+    ``outputs`` names the (column, class) probabilities to keep. ``against_rest`` fits a binary model for
+    each of that many classes. Fits are independent jobs submitted from a few driver threads. Averaging
+    chains the models over the test rows, which needs no shuffle.
     """
     spark: SparkSession = train.sparkSession
     frame = _weighted(train, label, fold, scheme)
 
-    def fit(k: int):
+    def fit(k: int) -> Fitted:
         rows = frame(k).withColumn("is_validation", F.col(fold) == k)
         rows = rows if early_stop else rows.where(~F.col("is_validation"))
-        return estimator.copy({estimator.labelCol: label, estimator.weightCol: "weight"}).fit(rows)
+        if not against_rest:
+            named = {estimator.labelCol: label, estimator.weightCol: "weight"}
+            return Fitted((estimator.copy(named).fit(rows),))
+        named = {estimator.labelCol: "_is", estimator.weightCol: "weight"}
+        each = [rows.withColumn("_is", (F.col(label) == c).cast("double")) for c in range(against_rest)]
+        return Fitted(tuple(estimator.copy(named).fit(own) for own in each))
 
     with ThreadPool(parallelism) as pool:
         models = pool.map(inheritable_thread_target(spark)(fit), range(FOLDS))
 
-    def score(k: int, rows: DataFrame) -> DataFrame:
-        model = models[k].copy()
-        model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c")
-        scored = model.transform(rows).withColumn("_p", vector_to_array("_p"))
-        return scored.withColumns({f"_{k}_{name}": F.col("_p")[c] for name, c in outputs}).drop(
-            "_p", "_r", "_c"
-        )
-
+    wanted = [name for name, _ in outputs]
     held_out = [
-        score(k, train.where(F.col(fold) == k)).select(
-            key, F.lit(k).alias("fold"), *[F.col(f"_{k}_{name}").alias(name) for name, _ in outputs]
-        )
+        models[k]
+        .score(train.where(F.col(fold) == k).select(key, "features"), outputs)
+        .select(key, F.lit(k).alias("fold"), *wanted)
         for k in range(FOLDS)
     ]
     oof = reduce(DataFrame.unionByName, held_out)
@@ -221,16 +259,12 @@ def cross_validate(
 
 
 def mean_scores(
-    models: Sequence, rows: DataFrame, outputs: Sequence[tuple[str, int]], key: str = KEY
+    models: Sequence[Fitted], rows: DataFrame, outputs: Sequence[tuple[str, int]], key: str = KEY
 ) -> DataFrame:
     """Mean class probabilities of several models on the same rows."""
+    rows = rows.select(key, "features")
     for k, model in enumerate(models):
-        model = model.copy()
-        model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c")
-        scored = model.transform(rows).withColumn("_p", vector_to_array("_p"))
-        rows = scored.withColumns({f"_{k}_{name}": F.col("_p")[c] for name, c in outputs}).drop(
-            "_p", "_r", "_c"
-        )
+        rows = model.score(rows, outputs, f"_{k}_")
 
     def mean(name: str) -> Column:
         total = reduce(lambda a, b: a + b, [F.col(f"_{k}_{name}") for k in range(len(models))])
@@ -271,15 +305,19 @@ def stage2(train: DataFrame, test: DataFrame, settings: Settings = Settings(), *
 
 def multiclass(train: DataFrame, test: DataFrame, settings: Settings = Settings(), **options) -> Scores:
     """All three classes at once, with balanced class weights."""
+    if settings.three_class not in ("boosted", "forest"):
+        raise ValueError(f"three_class must be 'boosted' or 'forest', not {settings.three_class!r}")
+    boosted = settings.three_class == "boosted"
     return cross_validate(
-        forest(settings),
+        boosted_trees(settings, settings.multiclass_depth) if boosted else forest(settings),
         train,
         test,
         "y",
         "fold_mc",
         [(f"m{c}", c) for c in range(len(CLASSES))],
         scheme="balanced",
-        early_stop=False,
+        early_stop=boosted,
+        against_rest=len(CLASSES) if boosted else 0,
         parallelism=settings.parallelism,
         **options,
     )
@@ -301,7 +339,7 @@ def fold_report(train: DataFrame, s1: Scores, s2: Scores, mc: Scores, key: str =
 def importances(scores: Scores) -> DataFrame:
     """Mean importance per feature, largest first; one row per feature, whatever the data size."""
     spark = SparkSession.getActiveSession()
-    per_model = [m.featureImportances.toArray() for m in scores.models]
+    per_model = [m.importances() for m in scores.models]
     mean = sum(per_model) / len(per_model)
     rows = [(name, float(value)) for name, value in zip(scores.features, mean)]
     schema = T.StructType(
