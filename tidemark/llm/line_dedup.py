@@ -52,6 +52,8 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     )
     # The number of sites is at most the number of occurrences.
     often = often.where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1)))
+    # As a table, so that the join below can split the rows of a very frequent line.
+    often = materialize(often, "frequent-lines")
     seen = lines.select("line", "site").join(often.select("line"), "line")
     sketches = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     sketches = materialize(sketches, "line-sites")

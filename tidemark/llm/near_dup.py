@@ -208,6 +208,8 @@ def _lists(nodes: DataFrame) -> DataFrame:
     """Members (value, node, n, weight) of the inverted lists that the prefix filter leaves."""
     members = nodes.select("node", "n", F.size("sketch").alias("len"), F.explode("sketch").alias("value"))
     shared = members.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # As a table, so that the join can split the documents of a very frequent value.
+    shared = materialize(shared, "shared")
     known = members.join(shared, "value")
     # At most k rows a node. Values of a single document come first in the order and count as passed.
     own = Window.partitionBy("node")

@@ -258,7 +258,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     suffixes = own.select("key", F.explode(F.arrays_zip("at", "seed", "around")).alias("s")).select("key", "s.*")
 
     seeds = suffixes.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    candidates = materialize(suffixes.join(seeds.select("seed"), "seed"), "candidates")
+    # As a table, so that the join can split the rows of a very frequent seed.
+    seeds = materialize(seeds.select("seed"), "seeds")
+    candidates = materialize(suffixes.join(seeds, "seed"), "candidates")
     alike = candidates.groupBy("seed", "around").agg(
         F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("at", "key").alias("lo_at")
     )
@@ -290,6 +292,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rest = materialize(rest, "contexts")
     near = materialize(_neighbours(rest, kind), "matches")
     missed = rest.join(near.select("key", "at").distinct(), ["key", "at"], "left_anti").select("seed").distinct()
+    missed = materialize(missed, "missed")
     counted = _windows(rest.join(missed, "seed", "left_semi"))
 
     found = settled.union(near).union(counted)
