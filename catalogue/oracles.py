@@ -446,7 +446,7 @@ _INTEGER = set(
     """.split()
 )
 _TEXT = set(_CATEGORICAL) | set(
-    "churn_status split label name actual scheme prop_country reasons action predicted table_name".split()
+    "churn_status split label name actual scheme prop_country reasons action predicted table_name feature".split()
 )
 
 
@@ -913,7 +913,14 @@ _oracle(
     "feature_importance",
     f"SELECT feature, 1::BIGINT AS not_negative, 1::BIGINT AS sums_to_one FROM (VALUES {_NAMED}) v(feature)",
 )
-_oracle("top_importances", "SELECT 'qf_cost' AS feature, 1.0::DOUBLE AS importance")
+_shares = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, AVG(CASE WHEN {c} <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS importance FROM features"
+    for c in _ZERO_FILLED
+)
+_oracle(
+    "top_importances",
+    f"SELECT feature, {_real('importance')} AS importance FROM ({_shares}) s ORDER BY s.importance DESC, feature LIMIT 20",
+)
 _FOLD_WEIGHTS = {"unbalanced": ("is_churned", "fold_s1"), "balanced": ("y", "fold_mc")}
 _oracle(
     "class_weights_by_fold",

@@ -667,9 +667,10 @@ def feature_importance(spark, sf_dir):
 
 @query
 def top_importances(spark, sf_dir):
-    """Ranks of the top features of a model with a known importance: all of it on its one feature."""
-    scores = training.multiclass(*_one_feature(spark, sf_dir, "qf_cost"), EXACT, features=["qf_cost"])
-    return training.top_features(training.importances(scores))
+    """The report of the top features, over the share of users with a value in place of model output."""
+    shares = [F.avg((F.col(c) != 0).cast("double")).alias(c) for c in zero_filled()]
+    ranked = stored_features(spark, sf_dir).agg(*shares).unpivot([], zero_filled(), "feature", "importance")
+    return training.top_features(ranked)
 
 
 # --- analytics -----------------------------------------------------------------------------------
