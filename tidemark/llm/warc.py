@@ -191,7 +191,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one archive at a time
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     try:
-        return materialize(files.mapInArrow(_parse_batch, _RECORD), "records")
+        return materialize(files.mapInArrow(_parse_batch, _RECORD), "records", "zstd")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
