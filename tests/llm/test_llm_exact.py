@@ -376,6 +376,44 @@ def test_copies_keep_their_lines(spark):
     assert all("rights" not in r.text for r in found if r.doc_id >= 100)
 
 
+def test_short_texts_lose_boilerplate_that_is_most_of_them(spark):
+    foot = "\n".join(prose(k, 12) for k in range(3))
+    data = [(k, f"{prose(100 + k, 4)}\n{foot}", "en", f"s{k}", 0) for k in range(12)]
+    data += [(50, foot, "en", "s1", 0), (51, f"{foot}\n{prose(1, 40)}", "en", None, 0)]
+    found = {r.doc_id: r for r in line_dedup.boilerplate_report(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert all(found[k].n_removed == 3 for k in found)
+    assert all(found[k].text == prose(100 + k, 4) for k in range(12))
+    assert found[50].text == "" and found[51].text == prose(1, 40)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.sampled_from("abcdef"), st.integers(0, 2)), max_size=40))
+def test_only_copies_keep_lines_that_spread_by_copies(spark, places):
+    """Texts on some of six sites, against the definition."""
+    data = [(k, f"line {group}\ntext {own} of {group}", "en", site, 0) for k, (own, site, group) in enumerate(places)]
+    found = line_dedup.boilerplate_report(spark.createDataFrame(data, SCHEMA), min_sites=3).collect()
+    on = defaultdict(set)
+    for own, site, group in places:
+        on[group, own].add(site)
+    for r in found:
+        own, _, group = places[r.doc_id]
+        texts = [sites for (g, _), sites in on.items() if g == group]
+        sites = set().union(*texts)
+        alone = set().union(*(s for s in texts if len(s) == 1))
+        wide = len(alone) + sum(len(s) > 1 for s in texts) >= 3
+        gone = len(sites) >= 3 and (wide or len(on[group, own]) == 1)
+        # The second line is the text's own, so only its copies have it.
+        assert r.n_removed == gone and r.text.endswith(f"text {own} of {group}")
+
+
+def test_a_passage_of_a_copied_page_goes_from_other_texts(spark):
+    quote = prose(1, 30)
+    data = [(k, f"{quote}\n{prose(2, 50)}", "en", f"s{k}", 0) for k in range(12)]
+    data += [(50, f"{prose(3, 50)}\n{quote}", "en", "s50", 0)]
+    found = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert found[50] == prose(3, 50) and all(found[k] == data[k][1] for k in range(12))
+
+
 hosts = st.lists(st.sampled_from(["a", "b", "com", "net", "x1"]), min_size=1, max_size=4).map(".".join)
 paths = st.sampled_from(["", "/", "/en", "/en/", "/en/x", "/es/"])
 

@@ -1,16 +1,21 @@
 """Removal of boilerplate lines that many sites share, with DataFrame functions only.
 
-The spread of a line is the number of distinct sites it occurs on. Lines with enough occurrences get a
-HyperLogLog sketch of their sites; partial sketches merge by aggregation, so a line that occurs everywhere
-costs one sketch a task. Lines whose estimate is near the threshold get an exact distinct count.
+A line on at least ``min_sites`` distinct sites is removed wherever it occurs, also if nothing else of the
+text is left. One case stays: a text that has equal copies on several sites keeps the lines that are on so
+many sites by copies only. For those each copied text counts once, beside the sites that have the line in
+a text of their own. So copies of a page do not make its lines boilerplate and empty the page.
 
-Boilerplate stands around a text. Lines of more than ``max_words`` words are text, and a document
-made up of shared lines by more than ``max_share`` of its characters is a copy; both are left to the
-operators for passages and copies.
+Lines with enough occurrences get HyperLogLog sketches of their sites; partial sketches merge by
+aggregation, so a line that occurs everywhere costs two sketches a task. Lines whose estimate is near the
+threshold get an exact distinct count.
+
+Lines of more than ``max_words`` words are text and left to the operators for passages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,6 @@ from tidemark.session import materialize
 
 MIN_SITES = 10
 MAX_WORDS = 40
-MAX_SHARE = 0.5
 #: 2 ** LG_K registers: a standard error of 1.6 %. Estimates within MARGIN of the threshold are checked.
 LG_K = 12
 MARGIN = 0.15
@@ -30,7 +34,7 @@ def _digest(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, site: str, text: str, max_words: int) -> DataFrame:
-    """Lines that can be boilerplate: document, its text's digest, position, site, size and digest."""
+    """Lines that can be boilerplate: document, its text's digest, position, site and digest."""
     rows = docs.select(
         F.col(key).alias("key"),
         _digest(F.col(text)).alias("whole"),
@@ -40,13 +44,30 @@ def _lines(docs: DataFrame, key: str, site: str, text: str, max_words: int) -> D
     line = F.btrim("raw", F.lit(_BLANK))
     rows = rows.withColumn("line", line).where("line <> ''")
     rows = rows.where(F.size(F.split("line", "[ \t]+")) <= max_words)
-    return rows.select(
-        "key", "whole", "at", "site", F.length("raw").alias("size"), _digest(F.col("line")).alias("line")
+    return rows.select("key", "whole", "at", "site", _digest(F.col("line")).alias("line"))
+
+
+def _sketched(site: Column) -> Column:
+    return F.hll_sketch_estimate(F.hll_sketch_agg(site, LG_K))
+
+
+def _counts(rows: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """``line``, its ``sites``, and ``places``, where copied texts count once. ``count`` counts distinct sites."""
+    rows = rows.where("site IS NOT NULL")
+    sites = rows.groupBy("line").agg(count(F.col("site")).alias("sites"))
+    texts = rows.groupBy("line", "whole").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
+    copied = F.col("lo") != F.col("hi")
+    texts = texts.groupBy("line").agg(
+        count(F.when(~copied, F.col("lo"))).alias("own"), F.count_if(copied).alias("copied")
     )
+    return sites.join(texts, "line").select("line", "sites", (F.col("own") + F.col("copied")).alias("places"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """The ``line`` digests found on at least ``min_sites`` distinct sites. Null is no site."""
+    """The ``line`` digests found on at least ``min_sites`` distinct sites. Null is no site.
+
+    ``wide`` says that this holds too where copied texts count once.
+    """
     often = lines.groupBy("line").agg(
         F.count("site").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi")
     )
@@ -54,38 +75,36 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     often = often.where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1)))
     # As a table, so that the join below can split the rows of a very frequent line.
     often = materialize(often, "frequent-lines")
-    seen = lines.select("line", "site").join(often.select("line"), "line")
-    sketches = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
-    sketches = materialize(sketches, "line-sites")
+    seen = lines.select("line", "whole", "site").join(often.select("line"), "line")
+    sketches = materialize(_counts(seen, _sketched), "line-sites")
     low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
-    sure = sketches.where(F.col("sites") > high).select("line")
-    near = sketches.where(F.col("sites").between(low, high)).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites"))
-    return sure.union(exact.where(F.col("sites") >= min_sites).select("line"))
+    sure = (F.col("sites") > high) & ~F.col("places").between(low, high)
+    near = sketches.where((F.col("sites") >= low) & ~sure).select("line")
+    exact = _counts(lines.join(near, "line", "left_semi"), F.count_distinct)
+    counts = sketches.where(sure).union(exact.where(F.col("sites") >= min_sites))
+    return counts.select("line", (F.col("places") >= min_sites).alias("wide"))
 
 
-def _marked(
-    docs: DataFrame, key: str, site: str, text: str, min_sites: int, max_words: int, max_share: float
-) -> DataFrame:
+def _removed(lines: DataFrame, spread: DataFrame) -> DataFrame:
+    """The rows of ``lines`` that go."""
+    found = lines.join(spread, "line")
+    narrow = found.where("NOT wide")
+    texts = narrow.groupBy("line", "whole").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
+    copied = texts.where("lo <> hi").select("line", "whole")
+    return found.where("wide").union(narrow.join(copied, ["line", "whole"], "left_anti").select(found.columns))
+
+
+def _marked(docs: DataFrame, key: str, site: str, text: str, min_sites: int, max_words: int) -> DataFrame:
     """``row`` with the input columns, ``lines`` of the text, and ``drop``, positions to remove or null."""
     lines = materialize(_lines(docs, key, site, text, max_words), "lines")
     spread = materialize(spread_lines(lines, min_sites), "spread-lines")
-    drops = lines.join(spread, "line").groupBy("key", "whole").agg(
-        F.collect_set(F.struct("at", "size")).alias("drop")
-    )
+    drops = _removed(lines, spread).groupBy("key", "whole").agg(F.collect_set("at").alias("drop"))
     drops = drops.select(F.col("key").alias("k"), F.col("whole").alias("w"), "drop")
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     rows = rows.withColumn("key", F.col(f"row.{key}")).withColumn("whole", _digest(F.col("text")))
     same = F.col("key").eqNullSafe(F.col("k")) & (F.col("whole") == F.col("w"))
     marked = rows.join(drops, same, "left")
-    removed = F.aggregate("drop", F.lit(0), lambda n, x: n + x["size"])
-    few = removed <= max_share * F.length("text")
-    return marked.select(
-        "row",
-        "text",
-        F.split("text", "\n").alias("lines"),
-        F.when(few, F.transform("drop", lambda x: x["at"])).alias("drop"),
-    )
+    return marked.select("row", "text", F.split("text", "\n").alias("lines"), "drop")
 
 
 def _kept_text() -> Column:
@@ -102,15 +121,14 @@ def remove_boilerplate(
     text: str = "text",
     min_sites: int = MIN_SITES,
     max_words: int = MAX_WORDS,
-    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """``docs`` with the same rows and columns, where boilerplate lines are taken out of the text.
 
     Null texts stay null and empty ones empty. Rows without a site do not count for the spread, but lose
-    the lines too. Repeated rows stay repeated; a document never loses its last text by this, since at
-    most ``max_share`` of it goes.
+    the lines too. Repeated rows stay repeated. A text of nothing but boilerplate becomes empty; its row
+    stays.
     """
-    marked = _marked(docs, key, site, text, min_sites, max_words, max_share)
+    marked = _marked(docs, key, site, text, min_sites, max_words)
     cleaned = F.col("row").withField(text, _kept_text())
     return marked.select(cleaned.alias("row")).select("row.*")
 
@@ -122,10 +140,9 @@ def boilerplate_report(
     text: str = "text",
     min_sites: int = MIN_SITES,
     max_words: int = MAX_WORDS,
-    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """One row per document: ``key``, ``n_lines``, ``n_removed`` and the text that is left. Null has 0 lines."""
-    marked = _marked(docs, key, site, text, min_sites, max_words, max_share)
+    marked = _marked(docs, key, site, text, min_sites, max_words)
     return marked.select(
         F.col(f"row.{key}").alias(key),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
