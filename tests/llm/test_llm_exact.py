@@ -414,6 +414,15 @@ def test_a_passage_of_a_copied_page_goes_from_other_texts(spark):
     assert found[50] == prose(3, 50) and all(found[k] == data[k][1] for k in range(12))
 
 
+def test_long_lines_are_judged_by_their_sites(spark):
+    notice = prose(1, 93)
+    data = [(k, f"{prose(100 + k, 60)}\n{notice}", "en", f"s{k}", 0) for k in range(11)]
+    data += [(50 + k, f"{prose(200 + k, 60)}\n{prose(2, 93)}", "en", f"s{k}", 0) for k in range(9)]
+    found = line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA)).collect()
+    assert all(r.text == prose(100 + r.doc_id, 60) for r in found if r.doc_id < 50)
+    assert all(r.text == data[r.doc_id - 39][1] for r in found if r.doc_id >= 50)
+
+
 hosts = st.lists(st.sampled_from(["a", "b", "com", "net", "x1"]), min_size=1, max_size=4).map(".".join)
 paths = st.sampled_from(["", "/", "/en", "/en/", "/en/x", "/es/"])
 

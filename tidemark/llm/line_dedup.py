@@ -8,8 +8,6 @@ a text of their own. So copies of a page do not make its lines boilerplate and e
 Lines with enough occurrences get HyperLogLog sketches of their sites; partial sketches merge by
 aggregation, so a line that occurs everywhere costs two sketches a task. Lines whose estimate is near the
 threshold get an exact distinct count.
-
-Lines of more than ``max_words`` words are text and left to the operators for passages.
 """
 
 from __future__ import annotations
@@ -22,7 +20,6 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 MIN_SITES = 10
-MAX_WORDS = 40
 #: 2 ** LG_K registers: a standard error of 1.6 %. Estimates within MARGIN of the threshold are checked.
 LG_K = 12
 MARGIN = 0.15
@@ -33,8 +30,8 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _lines(docs: DataFrame, key: str, site: str, text: str, max_words: int) -> DataFrame:
-    """Lines that can be boilerplate: document, its text's digest, position, site and digest."""
+def _lines(docs: DataFrame, key: str, site: str, text: str) -> DataFrame:
+    """Lines of any length that are not blank: document, its text's digest, position, site and digest."""
     rows = docs.select(
         F.col(key).alias("key"),
         _digest(F.col(text)).alias("whole"),
@@ -43,7 +40,6 @@ def _lines(docs: DataFrame, key: str, site: str, text: str, max_words: int) -> D
     )
     line = F.btrim("raw", F.lit(_BLANK))
     rows = rows.withColumn("line", line).where("line <> ''")
-    rows = rows.where(F.size(F.split("line", "[ \t]+")) <= max_words)
     return rows.select("key", "whole", "at", "site", _digest(F.col("line")).alias("line"))
 
 
@@ -94,9 +90,9 @@ def _removed(lines: DataFrame, spread: DataFrame) -> DataFrame:
     return found.where("wide").union(narrow.join(copied, ["line", "whole"], "left_anti").select(found.columns))
 
 
-def _marked(docs: DataFrame, key: str, site: str, text: str, min_sites: int, max_words: int) -> DataFrame:
+def _marked(docs: DataFrame, key: str, site: str, text: str, min_sites: int) -> DataFrame:
     """``row`` with the input columns, ``lines`` of the text, and ``drop``, positions to remove or null."""
-    lines = materialize(_lines(docs, key, site, text, max_words), "lines")
+    lines = materialize(_lines(docs, key, site, text), "lines")
     spread = materialize(spread_lines(lines, min_sites), "spread-lines")
     drops = _removed(lines, spread).groupBy("key", "whole").agg(F.collect_set("at").alias("drop"))
     drops = drops.select(F.col("key").alias("k"), F.col("whole").alias("w"), "drop")
@@ -120,7 +116,6 @@ def remove_boilerplate(
     site: str = "source",
     text: str = "text",
     min_sites: int = MIN_SITES,
-    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """``docs`` with the same rows and columns, where boilerplate lines are taken out of the text.
 
@@ -128,7 +123,7 @@ def remove_boilerplate(
     the lines too. Repeated rows stay repeated. A text of nothing but boilerplate becomes empty; its row
     stays.
     """
-    marked = _marked(docs, key, site, text, min_sites, max_words)
+    marked = _marked(docs, key, site, text, min_sites)
     cleaned = F.col("row").withField(text, _kept_text())
     return marked.select(cleaned.alias("row")).select("row.*")
 
@@ -139,10 +134,9 @@ def boilerplate_report(
     site: str = "source",
     text: str = "text",
     min_sites: int = MIN_SITES,
-    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """One row per document: ``key``, ``n_lines``, ``n_removed`` and the text that is left. Null has 0 lines."""
-    marked = _marked(docs, key, site, text, min_sites, max_words)
+    marked = _marked(docs, key, site, text, min_sites)
     return marked.select(
         F.col(f"row.{key}").alias(key),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
