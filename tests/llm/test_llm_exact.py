@@ -341,6 +341,25 @@ def test_pairs_of_terms_are_learned(spark):
     assert np.mean([(s >= 0.5) == y for s, y in held]) >= 0.97
 
 
+def test_pairs_are_learned_whose_terms_say_nothing_alone():
+    """Toxic with exactly one of two terms, each in half of all texts: no linear weight tells them apart."""
+    rng, examples = random.Random(1), []
+    for _ in range(5000):
+        own, one, two = {rng.randrange(100, 3100) for _ in range(60)}, rng.random() < 0.5, rng.random() < 0.5
+        own |= {1} if one else set()
+        own |= {2} if two else set()
+        examples.append((int(one != two), np.array(sorted(own))))
+    machine = toxicity.train(examples[:3000])
+
+    def margin(own):
+        at = np.flatnonzero(np.isin(machine.slots, own))
+        vector = machine.vectors[at]
+        total = vector.sum(axis=0)
+        return machine.bias + machine.weights[at].sum() + (total @ total - (vector * vector).sum()) / 2
+
+    assert np.mean([(margin(own) >= 0) == label for label, own in examples[3000:]]) >= 0.9
+
+
 def test_toxicity_reads_the_whole_text(spark):
     rows = toxic_rows(800, 2)
     table = spark.createDataFrame([(k, t, "en", "s", 0) for k, t, _ in rows], SCHEMA)

@@ -4,8 +4,9 @@ Terms are words and the beginnings of words. Each has a weight and a short vecto
 adds the weights of its terms and, for every pair of terms, the product of their vectors. So a pair can
 say what neither word says, such as an insult beside the name of a group.
 
-Weights are learned by FTRL with an L1 term, which leaves words that say nothing at exactly zero. The
-machine is fitted on at most ``fit_rows`` labelled rows chosen by a hash of the key, in one task; all rows
+Weights are learned by FTRL with an L1 term, which leaves words that say nothing at exactly zero. Vectors
+are learned the same way, as steps away from small random ones, whatever the weight of their term: a pair
+whose terms say nothing alone is learned too, and a term whose pairs say nothing does not move. The machine is fitted on at most ``fit_rows`` labelled rows chosen by a hash of the key, in one task; all rows
 are scored.
 """
 
@@ -30,7 +31,8 @@ FACTORS = 4
 FIT_ROWS = 16_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 1.0
-RATE, DECAY = 0.05, 1e-3
+#: The same for vectors.
+PAIR_ALPHA, PAIR_L1, PAIR_L2 = 0.3, 2.0, 1.0
 #: Terms in fewer fitted texts have no vector.
 LEAST_TEXTS = 5
 
@@ -80,11 +82,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
+def _moved(z: np.ndarray, n: np.ndarray, alpha: float, l1: float, l2: float) -> np.ndarray:
+    """The FTRL step away from the start, for sums ``z`` of gradients and ``n`` of their squares."""
+    shrunk = np.abs(z) - l1
+    return np.where(shrunk > 0, -np.sign(z) * shrunk / ((BETA + np.sqrt(n)) / alpha + l2), 0.0)
+
+
 def train(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, factors: int = FACTORS) -> Machine:
     """Fit on (label, distinct slots), in the given order.
 
-    The bias learns freely, so that clean texts need no negative words. A term takes part in pairs while
-    it has a weight.
+    The bias learns freely, so that clean texts need no negative words. Every term of enough texts takes
+    part in pairs. Kept are the terms with a weight or a vector that has moved.
     """
     if not examples:
         return Machine(0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, factors)))
@@ -95,14 +103,14 @@ def train(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, factors:
     weights, z, n = np.zeros(len(slots)), np.zeros(len(slots)), np.zeros(len(slots))
     vectors = np.random.default_rng(0).normal(0, 0.01, (len(slots), factors))
     vectors[texts < LEAST_TEXTS] = 0
-    squares = np.ones((len(slots), factors))
+    start, pair_z, pair_n = vectors.copy(), np.zeros(vectors.shape), np.zeros(vectors.shape)
     positive = sum(y for y, _ in examples)
     bias, bias_squares = float(np.log((positive + 1) / (len(examples) - positive + 1))), 1.0
     for _ in range(epochs):
         for k, (label, _) in enumerate(examples):
             own = terms_of[bounds[k] : bounds[k + 1]]
             weight = weights[own]
-            paired = own[weight != 0]
+            paired = own[texts[own] >= LEAST_TEXTS]
             vector = vectors[paired]
             total = vector.sum(axis=0)
             margin = bias + weight.sum() + (total @ total - (vector * vector).sum()) / 2
@@ -114,13 +122,13 @@ def train(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, factors:
             before, after = n[own], n[own] + error * error
             z[own] += error - (np.sqrt(after) - np.sqrt(before)) / ALPHA * weight
             n[own] = after
-            shrunk = np.abs(z[own]) - L1
-            step = np.sign(z[own]) * shrunk / ((BETA + np.sqrt(after)) / ALPHA + L2)
-            weights[own] = np.where(shrunk > 0, -step, 0.0)
-            gradient = np.where(vector != 0, error * (total - vector) + DECAY * vector, 0.0)
-            squares[paired] += gradient**2
-            vectors[paired] = vector - RATE * gradient / np.sqrt(squares[paired])
-    some = weights != 0
+            weights[own] = _moved(z[own], after, ALPHA, L1, L2)
+            gradient = error * (total - vector)
+            before, after = pair_n[paired], pair_n[paired] + gradient**2
+            pair_z[paired] += gradient - (np.sqrt(after) - np.sqrt(before)) / PAIR_ALPHA * (vector - start[paired])
+            pair_n[paired] = after
+            vectors[paired] = start[paired] + _moved(pair_z[paired], after, PAIR_ALPHA, PAIR_L1, PAIR_L2)
+    some = (weights != 0) | (vectors != start).any(axis=1)
     return Machine(bias, slots[some].astype(np.int64), weights[some], vectors[some])
 
 
