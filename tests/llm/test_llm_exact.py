@@ -171,6 +171,19 @@ def test_a_suffix_that_matches_a_third_text_on_the_left_is_found(spark):
     assert {r.doc_id for r in found} == set(repeated_words(texts))
 
 
+def test_blocks_that_recombine_give_whole_spans(spark):
+    """Every two texts with a side in common share 20 words there beside the 30 in the middle."""
+    lefts, rights = ([prose(20 * k + side, 20) for k in range(3)] for side in (1, 2))
+    # A middle whose start is the first position that is retained.
+    middle, texts = prose(1354, 30), []
+    for k in range(9):
+        texts.append(" ".join([lefts[k // 3], middle, rights[k % 3], prose(300 + k, 25)]))
+    found = suffix_repeats.repeats(docs(spark, texts)).collect()
+    want, got = repeated_words(texts), covered(found, [t.split() for t in texts])
+    assert set(got) == set(want) == set(range(9))
+    assert all((got[k] == want[k]).all() for k in want)
+
+
 def test_neighbours_meet_across_partitions(spark, conf):
     conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="64")
     passage = prose(8, 52)

@@ -8,8 +8,8 @@ Only suffixes whose first ``SEED`` words occur in another document go on. Those
 ``SIDE`` words on either side are settled by grouping: in sorted order they would be neighbours. The others are
 sorted by what follows, range-partitioned so that a frequent passage spreads over tasks, neighbours are
 compared, and matches are extended left and right. A suffix may match a third one better on the left than
-its neighbours; for suffixes without a match so far, all windows of ``LEAST`` words around the seed are
-counted. No step looks at pairs other than neighbours.
+its neighbours; where a seed has more than two of these suffixes, all windows of ``LEAST`` words around it
+are counted. No step looks at pairs other than neighbours.
 """
 
 from __future__ import annotations
@@ -206,6 +206,8 @@ def _windows(suffixes: DataFrame) -> DataFrame:
     code = F.xxhash64("seed", "d", F.slice("left", F.lit(1), d), F.slice("right", F.lit(1), SIDE - d))
     each = each.select("key", "at", "d", "seed", code.alias("code"))
     both = each.groupBy("seed", "code").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    # As a table, so that the join can split the rows of a very frequent window.
+    both = materialize(both, "windows")
     return each.join(both, ["seed", "code"]).select(
         "key",
         "at",
@@ -291,9 +293,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
     rest = materialize(rest, "contexts")
     near = materialize(_neighbours(rest, kind), "matches")
-    missed = rest.join(near.select("key", "at").distinct(), ["key", "at"], "left_anti").select("seed").distinct()
-    missed = materialize(missed, "missed")
-    counted = _windows(rest.join(missed, "seed", "left_semi"))
+    # Two suffixes are neighbours; of more, any two may share most on the left.
+    many = materialize(rest.groupBy("seed").count().where("count > 2").select("seed"), "many")
+    counted = _windows(rest.join(many, "seed", "left_semi"))
 
     found = settled.union(near).union(counted)
     found = found.select(
