@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -49,11 +48,3 @@ def no_broadcast(conf):
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
     )
-
-
-def ts(text):
-    return None if text is None else dt.datetime.fromisoformat(text)
-
-
-def by_key(df, key="user_id"):
-    return {r[key]: r.asDict() for r in df.collect()}

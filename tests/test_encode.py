@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import by_key
+from helpers import by_key
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import with_targets

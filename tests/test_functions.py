@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import ts
+from helpers import ts
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels, nulls, numeric, text, time

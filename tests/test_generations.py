@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by_key, ts
+from helpers import by_key, ts
 
 from tidemark.plans.generations import from_rollup, generation_features, on_arc
 from tidemark.schemas import GENERATION_FEATURES, names

@@ -1,4 +1,4 @@
-from conftest import by_key, ts
+from helpers import by_key, ts
 
 from tidemark.plans.profile import property_features, purchase_features, quiz_features
 from tidemark.schemas import PROPERTY_FEATURES, PURCHASE_FEATURES, QUIZ_FEATURES, names

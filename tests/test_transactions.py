@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import by_key, ts
+from helpers import by_key, ts
 from pyspark.sql import functions as F
 
 from tidemark.operators.runs import run_summary
