@@ -1,5 +1,9 @@
 """Every checked query against its SQL on the smallest data, and the shape of the entry points."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -8,6 +12,7 @@ import check
 from catalogue.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parent.parent
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +38,25 @@ def test_every_oracle_has_a_query():
 def test_query_matches_its_sql(spark, con, name):
     verdict = check.compare(spark, con, name, SMALL)
     assert verdict.startswith(("ok", "rows")) and "TYPES" not in verdict, verdict
+
+
+@pytest.mark.parametrize("taken_out", [["tidemark.llm"], ["corpus_pipeline"], ["tidemark.llm", "corpus_pipeline"]])
+def test_entry_works_without_the_optional_parts(taken_out):
+    script = f"""
+import sys
+
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name in {taken_out}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+from catalogue.queries import QUERIES
+assert set(QUERIES) <= set(entry.queries())
+assert "pipeline" not in entry.queries()
+assert any(n.startswith("op1_") for n in entry.queries()) == ("tidemark.llm" not in {taken_out})
+assert set(entry.oracle_sql()) <= set(entry.queries())
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
