@@ -403,11 +403,19 @@ def test_copies_keep_their_lines(spark):
     page = "\n".join(prose(k, 12) for k in range(6))
     data = [(k, page, "en", f"s{k}", 0) for k in range(30)]
     data += [(100 + k, f"{prose(k, 40)}\nall rights reserved", "en", f"s{k}", 0) for k in range(30)]
-    found = line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA)).collect()
+    found = line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA), keep_copies=True).collect()
     assert all(r.text == page for r in found if r.doc_id < 100)
     assert all("rights" not in r.text for r in found if r.doc_id >= 100)
 
 
+def test_lines_spread_by_copies_go_unless_copies_are_kept(spark):
+    page = "\n".join(prose(k, 12) for k in range(6))
+    data = [(k, page, "en", f"s{k % 12}", 0) for k in range(30)]
+    data += [(100 + k, f"{page}\n{prose(k, 40)}", "en", f"s{k % 9}", 0) for k in range(30)]
+    found = line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA)).collect()
+    assert all(r.text == ("" if r.doc_id < 100 else prose(r.doc_id - 100, 40)) for r in found)
+
+
 def test_short_texts_lose_boilerplate_that_is_most_of_them(spark):
     foot = "\n".join(prose(k, 12) for k in range(3))
     data = [(k, f"{prose(100 + k, 4)}\n{foot}", "en", f"s{k}", 0) for k in range(12)]
@@ -423,7 +431,7 @@ def test_short_texts_lose_boilerplate_that_is_most_of_them(spark):
 def test_only_copies_keep_lines_that_spread_by_copies(spark, places):
     """Texts on some of six sites, against the definition."""
     data = [(k, f"line {group}\ntext {own} of {group}", "en", site, 0) for k, (own, site, group) in enumerate(places)]
-    found = line_dedup.boilerplate_report(spark.createDataFrame(data, SCHEMA), min_sites=3).collect()
+    found = line_dedup.boilerplate_report(spark.createDataFrame(data, SCHEMA), min_sites=3, keep_copies=True).collect()
     on = defaultdict(set)
     for own, site, group in places:
         on[group, own].add(site)
@@ -442,7 +450,7 @@ def test_a_passage_of_a_copied_page_goes_from_other_texts(spark):
     quote = prose(1, 30)
     data = [(k, f"{quote}\n{prose(2, 50)}", "en", f"s{k}", 0) for k in range(12)]
     data += [(50, f"{prose(3, 50)}\n{quote}", "en", "s50", 0)]
-    found = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA)).collect()}
+    found = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA), keep_copies=True).collect()}
     assert found[50] == prose(3, 50) and all(found[k] == data[k][1] for k in range(12))
 
 

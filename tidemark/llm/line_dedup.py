@@ -1,9 +1,12 @@
 """Removal of boilerplate lines that many sites share, with DataFrame functions only.
 
 A line on at least ``min_sites`` distinct sites is removed wherever it occurs, also if nothing else of the
-text is left. One case stays: a text that has equal copies on several sites keeps the lines that are on so
-many sites by copies only. For those each copied text counts once, beside the sites that have the line in
-a text of their own. So copies of a page do not make its lines boilerplate and empty the page.
+text is left.
+
+``keep_copies`` is for tables that still hold copies and are rid of them later: a text that has equal copies
+on several sites then keeps the lines that are on so many sites by copies only. For those each copied text counts
+once, beside the sites that have the line in a text of their own. So copies of a page do not make its
+lines boilerplate and empty the page.
 
 Lines with enough occurrences get HyperLogLog sketches of their sites; partial sketches merge by
 aggregation, so a line that occurs everywhere costs two sketches a task. Lines whose estimate is near the
@@ -47,10 +50,15 @@ def _sketched(site: Column) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(site, LG_K))
 
 
-def _counts(rows: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
-    """``line``, its ``sites``, and ``places``, where copied texts count once. ``count`` counts distinct sites."""
+def _counts(rows: DataFrame, count: Callable[[Column], Column], keep_copies: bool) -> DataFrame:
+    """``line``, its ``sites``, and ``places``, where copied texts count once with ``keep_copies``.
+
+    ``count`` counts distinct sites.
+    """
     rows = rows.where("site IS NOT NULL")
     sites = rows.groupBy("line").agg(count(F.col("site")).alias("sites"))
+    if not keep_copies:
+        return sites.withColumn("places", F.col("sites"))
     texts = rows.groupBy("line", "whole").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
     copied = F.col("lo") != F.col("hi")
     texts = texts.groupBy("line").agg(
@@ -59,10 +67,10 @@ def _counts(rows: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
     return sites.join(texts, "line").select("line", "sites", (F.col("own") + F.col("copied")).alias("places"))
 
 
-def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
+def spread_lines(lines: DataFrame, min_sites: int, keep_copies: bool = False) -> DataFrame:
     """The ``line`` digests found on at least ``min_sites`` distinct sites. Null is no site.
 
-    ``wide`` says that this holds too where copied texts count once.
+    ``wide`` says that this holds too where copied texts count once; without ``keep_copies`` it always does.
     """
     often = lines.groupBy("line").agg(
         F.count("site").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi")
@@ -72,29 +80,31 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     # As a table, so that the join below can split the rows of a very frequent line.
     often = materialize(often, "frequent-lines")
     seen = lines.select("line", "whole", "site").join(often.select("line"), "line")
-    sketches = materialize(_counts(seen, _sketched), "line-sites")
+    sketches = materialize(_counts(seen, _sketched, keep_copies), "line-sites")
     low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
     sure = (F.col("sites") > high) & ~F.col("places").between(low, high)
     near = sketches.where((F.col("sites") >= low) & ~sure).select("line")
-    exact = _counts(lines.join(near, "line", "left_semi"), F.count_distinct)
+    exact = _counts(lines.join(near, "line", "left_semi"), F.count_distinct, keep_copies)
     counts = sketches.where(sure).union(exact.where(F.col("sites") >= min_sites))
     return counts.select("line", (F.col("places") >= min_sites).alias("wide"))
 
 
-def _removed(lines: DataFrame, spread: DataFrame) -> DataFrame:
+def _removed(lines: DataFrame, spread: DataFrame, keep_copies: bool) -> DataFrame:
     """The rows of ``lines`` that go."""
     found = lines.join(spread, "line")
+    if not keep_copies:
+        return found
     narrow = found.where("NOT wide")
     texts = narrow.groupBy("line", "whole").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
     copied = texts.where("lo <> hi").select("line", "whole")
     return found.where("wide").union(narrow.join(copied, ["line", "whole"], "left_anti").select(found.columns))
 
 
-def _marked(docs: DataFrame, key: str, site: str, text: str, min_sites: int) -> DataFrame:
+def _marked(docs: DataFrame, key: str, site: str, text: str, min_sites: int, keep_copies: bool) -> DataFrame:
     """``row`` with the input columns, ``lines`` of the text, and ``drop``, positions to remove or null."""
     lines = materialize(_lines(docs, key, site, text), "lines")
-    spread = materialize(spread_lines(lines, min_sites), "spread-lines")
-    drops = _removed(lines, spread).groupBy("key", "whole").agg(F.collect_set("at").alias("drop"))
+    spread = materialize(spread_lines(lines, min_sites, keep_copies), "spread-lines")
+    drops = _removed(lines, spread, keep_copies).groupBy("key", "whole").agg(F.collect_set("at").alias("drop"))
     drops = drops.select(F.col("key").alias("k"), F.col("whole").alias("w"), "drop")
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     rows = rows.withColumn("key", F.col(f"row.{key}")).withColumn("whole", _digest(F.col("text")))
@@ -116,14 +126,16 @@ def remove_boilerplate(
     site: str = "source",
     text: str = "text",
     min_sites: int = MIN_SITES,
+    keep_copies: bool = False,
 ) -> DataFrame:
     """``docs`` with the same rows and columns, where boilerplate lines are taken out of the text.
 
     Null texts stay null and empty ones empty. Rows without a site do not count for the spread, but lose
     the lines too. Repeated rows stay repeated. A text of nothing but boilerplate becomes empty; its row
-    stays.
+    stays. An empty table gives no rows. ``keep_copies`` spares lines that are widespread by copies of a whole
+    text only.
     """
-    marked = _marked(docs, key, site, text, min_sites)
+    marked = _marked(docs, key, site, text, min_sites, keep_copies)
     cleaned = F.col("row").withField(text, _kept_text())
     return marked.select(cleaned.alias("row")).select("row.*")
 
@@ -134,9 +146,14 @@ def boilerplate_report(
     site: str = "source",
     text: str = "text",
     min_sites: int = MIN_SITES,
+    keep_copies: bool = False,
 ) -> DataFrame:
-    """One row per document: ``key``, ``n_lines``, ``n_removed`` and the text that is left. Null has 0 lines."""
-    marked = _marked(docs, key, site, text, min_sites)
+    """One row per document: ``key``, ``n_lines``, ``n_removed`` and the text that is left.
+
+    Null has 0 lines and stays null, an empty text one empty line. Repeated rows stay repeated, an empty
+    table gives no rows, other columns are not read.
+    """
+    marked = _marked(docs, key, site, text, min_sites, keep_copies)
     return marked.select(
         F.col(f"row.{key}").alias(key),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),

@@ -55,11 +55,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS raw,
   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 m AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l),
-s AS (SELECT * FROM m WHERE line <> '' AND len(regexp_split_to_array(line, '[ \t]+')) <= 40),
+s AS (SELECT * FROM m WHERE line <> ''),
 wide AS (SELECT line FROM s GROUP BY line HAVING count(DISTINCT source) >= 10),
-x AS (SELECT r, i, length(raw) AS size FROM s WHERE line IN (SELECT line FROM wide)),
-few AS (SELECT r FROM x JOIN d USING (r) GROUP BY r, text HAVING sum(size) <= 0.5 * length(text)),
-gone AS (SELECT r, i FROM x WHERE r IN (SELECT r FROM few)),
+gone AS (SELECT r, i FROM s WHERE line IN (SELECT line FROM wide)),
 g AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
 kept AS (SELECT r, string_agg(raw, chr(10) ORDER BY i) AS text FROM m
   WHERE (r, i) NOT IN (SELECT (r, i) FROM gone) GROUP BY r)
