@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites share."""
+    """All documents, without the lines that many sites share; copies are left to the next stage."""
     configure(spark)
-    return _sized(line_dedup.remove_boilerplate(docs))
+    return _sized(line_dedup.remove_boilerplate(docs, keep_copies=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
