@@ -8,6 +8,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = (
     "key", "row", "score", "kept", "node", "n", "at", "drop", "whole", "lines", "label", "rank", "value", "spans",
     "digest", "size", "host", "path", "entry", "order", "page", "payload", "capture", "ids", "open",
+    "tree", "place", "leaf", "claim", "folded", "proof", "word", "w1", "code", "a", "l", "doc", "near", "floor",
 )
 
 

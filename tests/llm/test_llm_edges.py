@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
+    bpe,
+    collocations,
     decontam,
     host_quality,
     langid,
     line_dedup,
+    merkle,
     near_dup,
     packing,
     suffix_repeats,
@@ -17,7 +20,7 @@ from tidemark.llm import (
     url_filter,
     warc,
 )
-from tidemark.llm.queries import URL_RULES
+from tidemark.llm.queries import MANIFEST_COLUMNS, URL_RULES
 
 N = len(edge_rows())
 
@@ -50,17 +53,21 @@ def operators(spark, benchmark, labels):
         "toxicity": tox,
         "near": near_dup.near_duplicates,
         "lines": line_dedup.boilerplate_report,
+        "phrases": lambda docs: collocations.collocations(docs, least=2),
+        "tokens": lambda docs: bpe.decode(bpe.encode(docs)),
+        "manifest": lambda docs: merkle.verify(docs, MANIFEST_COLUMNS, {"text": F.upper("text")}),
     }
 
 
 NAMES = ["quality", "language", "repeats", "packing", "decontamination", "toxicity", "near", "lines"]
+NAMES += ["phrases", "tokens", "manifest"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_edge_rows_give_defined_rows_whatever_else_the_table_holds(operators, edges, clashing, name):
     plain = operators[name](edges)
     found = plain.collect()
-    if name not in ("repeats", "packing"):
+    if name not in ("repeats", "packing", "phrases"):
         assert len(found) == N
     if name != "packing":
         assert rows(operators[name](clashing(edges))) == sorted(tuple(map(str, r)) for r in found)

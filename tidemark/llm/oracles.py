@@ -107,6 +107,77 @@ f AS (SELECT x.r, rules.host || rules.path AS rule, verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM x LEFT JOIN (SELECT * FROM f WHERE n = 1) USING (r)"""
 
+_MERKLE = """
+WITH RECURSIVE n AS (SELECT row_number() OVER () AS r, *, CAST(doc_id AS VARCHAR) AS id FROM documents),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda d: ord(d)::BIGINT)),
+  lambda c, d: list_reduce(list_prepend(xor(c, d), range(8)),
+    lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) AS crc FROM n),
+t AS (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM c),
+l AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS claim
+  FROM (SELECT *, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head FROM t)),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY source) AS m FROM l),
+low(source, level, pos, h, m) AS (
+  SELECT source, 0, pos, leaf, m FROM p
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (m + 2) // 3
+  FROM low WHERE m > 1 GROUP BY source, level, pos // 3, m),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS m
+  FROM low WHERE m = 1),
+high(level, pos, h, m) AS (
+  SELECT 0, pos, subroot, m FROM s
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (m + 2) // 3
+  FROM high WHERE m > 1 GROUP BY level, pos // 3, m),
+lows AS (SELECT source, level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM low WHERE m > 1 GROUP BY ALL),
+highs AS (SELECT level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM high WHERE m > 1 GROUP BY ALL),
+climb(r, source, level, pos, h, proof) AS (
+  SELECT r, source, 0, pos, claim, '' FROM p
+  UNION ALL
+  SELECT r, c.source, c.level + 1, c.pos // 3,
+    sha256(array_to_string(hs[:c.pos % 3], '') || c.h || array_to_string(hs[c.pos % 3 + 2:], '')),
+    proof || array_to_string(hs[:c.pos % 3], '') || array_to_string(hs[c.pos % 3 + 2:], '')
+  FROM climb c JOIN (SELECT source, level, run, hs FROM lows) x
+    ON c.source IS NOT DISTINCT FROM x.source AND c.level = x.level AND c.pos // 3 = x.run),
+done AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climb GROUP BY r),
+up(r, level, pos, h, proof) AS (
+  SELECT p.r, 0, s.pos, done.h, done.proof FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN done ON p.r = done.r
+  UNION ALL
+  SELECT r, u.level + 1, u.pos // 3,
+    sha256(array_to_string(hs[:u.pos % 3], '') || u.h || array_to_string(hs[u.pos % 3 + 2:], '')),
+    proof || array_to_string(hs[:u.pos % 3], '') || array_to_string(hs[u.pos % 3 + 2:], '')
+  FROM up u JOIN highs x ON u.level = x.level AND u.pos // 3 = x.run),
+ends AS (SELECT r, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM up GROUP BY r),
+root AS (SELECT h AS root FROM high WHERE m = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, ends.h AS folded_root, ends.h = root AS verified
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN ends ON p.r = ends.r, root"""
+
+_PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+sums AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(ws[:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(ws[j + 1:], ' ')),
+best AS (SELECT lang, phrase, a, l, r, score::BIGINT AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+parts AS (SELECT lang, a, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c))),
+covered AS (SELECT lang, phrase, max(a) AS longest FROM parts GROUP BY ALL),
+left_over AS (SELECT best.* FROM best LEFT JOIN covered USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sums USING (lang) WHERE rank <= 2000"""
+
 #: Fitted models, token ids, repeated passages and linked components have no SQL; tests hold them
 #: against brute force.
 ORACLES = {
@@ -115,4 +186,6 @@ ORACLES = {
     "op8_warc": _WARC,
     "op9_line_dedup": _LINES,
     "op10_url_filter": _URLS,
+    "op11_collocations": _PHRASES,
+    "op13_merkle_manifest": _MERKLE,
 }

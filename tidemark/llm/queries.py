@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    bpe,
+    collocations,
     decontam,
     host_quality,
     langid,
     line_dedup,
+    merkle,
     near_dup,
     packing,
     suffix_repeats,
@@ -33,6 +36,9 @@ URL_RULES = (
     ("net", "/fr/", "block"),
 )
 
+#: The columns that a leaf of the manifest hashes, in this order.
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table, in a session that splits skewed joins even if that costs another shuffle."""
@@ -108,6 +114,26 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = bpe.decode(bpe.encode(table(spark, folder, "documents"), packed=True))
+    return tokens.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.coalesce(fold("doc_id", 2) == 0, F.lit(False))
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(table(spark, folder, "documents"), MANIFEST_COLUMNS, {"text": text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -121,5 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_line_dedup,
         op10_url_filter,
+        op11_collocations,
+        op12_bpe,
+        op13_merkle_manifest,
     )
 }
