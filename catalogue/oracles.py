@@ -957,3 +957,64 @@ _oracle(
     "predicted_distribution",
     f"SELECT churn_status, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT {_CLASS} FROM final) c GROUP BY churn_status",
 )
+
+_slice("assemble_bucketed", "joined", ["churn_status", *[f for f in _FEATURES if f not in _COMPOSITE]])
+_slice("gen_incremental", "gen_features", [f for f in _FEATURES if f.startswith("gen_") and f not in _COMPOSITE])
+
+# Means outside both folds of a row, and those of all rows outside both.
+_OUTSIDE = "t.fold_te <> r.fold_te AND t.fold_mc <> r.fold_mc"
+PIECES["outside"] = (
+    "\nSELECT r.fold_te, r.fold_mc, "
+    + ", ".join(f"AVG(t.{t}) AS out_{t}" for t in _TARGETS)
+    + f" FROM (SELECT DISTINCT fold_te, fold_mc FROM train_rows) r LEFT JOIN train_rows t ON {_OUTSIDE} GROUP BY ALL"
+)
+for _c in _TARGET_ENCODED:
+    _avg = ", ".join(f"AVG(t.{t}) AS te_{_c}_{t}" for t in _TARGETS)
+    PIECES[f"nested_{_c}"] = f"""
+SELECT r.user_id, {_avg} FROM train_rows r LEFT JOIN train_rows t ON t.{_c} = r.{_c} AND {_OUTSIDE} GROUP BY r.user_id"""
+PIECES["te_nested"] = f"""
+SELECT r.user_id, r.fold_te, r.fold_mc, {", ".join(f"COALESCE({name}, out_{t}) AS {name}" for name, t in _TE)}
+FROM train_rows r {" ".join(f"JOIN nested_{c} USING (user_id)" for c in _TARGET_ENCODED)}
+  JOIN outside o ON o.fold_te = r.fold_te AND o.fold_mc = r.fold_mc"""
+_slice("target_encode_nested", "te_nested", ["fold_te", "fold_mc", *[n for n, _ in _TE]])
+
+_oracle(
+    "importance_splits",
+    f"""
+, t AS (SELECT l.user_id, l.is_churned, l.fold_s1 AS fold, f.qf_cost AS x FROM train_folds l JOIN features f ON l.user_id = f.user_id),
+seen AS (SELECT * FROM t, fold_ids WHERE fold <> k),
+weights AS ({_weights("is_churned", "unbalanced")}),
+sides AS (SELECT k, x, COUNT(*) AS n, SUM(w * (2 * is_churned - 1)) AS a, SUM(w) AS b FROM seen JOIN weights USING (k, is_churned) GROUP BY k, x),
+roots AS (SELECT k, SUM(n) AS n, COUNT(*) = 2 AND MIN(n) >= 15 AS apart, SUM(a * a / b) / SUM(b) - (SUM(a) / SUM(b)) ** 2 AS gain FROM sides GROUP BY k)
+SELECT 'qf_cost' AS feature, {_real("COUNT(*) FILTER (WHERE apart) / 5")} AS importance, CAST(COUNT(*) FILTER (WHERE apart) AS BIGINT) AS splits,
+  CAST(COALESCE(SUM(n) FILTER (WHERE apart), 0) AS BIGINT) AS rows, {_real("COALESCE(SUM(gain * n) FILTER (WHERE apart), 0)")} AS gain FROM roots""".lstrip(),
+)
+_oracle(
+    "best_rounds",
+    """
+, c AS (SELECT user_id % 5 AS fold, event_id % 40 + 1 AS round, AVG(credit_cost) AS loss FROM fx_generations GROUP BY ALL),
+m AS (SELECT *, MIN(loss) OVER (PARTITION BY fold ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM c),
+b AS (SELECT fold, round, MAX(CASE WHEN loss < COALESCE(least, 'infinity'::DOUBLE) THEN round END)
+  OVER (PARTITION BY fold ORDER BY round) AS best FROM m),
+p AS (SELECT UNNEST([1, 3, 8, 100]) AS patience),
+s AS (SELECT fold, patience, MIN(round) FILTER (WHERE round - best >= patience) AS stop, MAX(round) AS last FROM b, p GROUP BY fold, patience)
+SELECT CAST(s.fold AS BIGINT) AS fold, 0::BIGINT AS member, CAST(best AS BIGINT) AS rounds, CAST(patience AS BIGINT) AS patience
+FROM s JOIN b ON s.fold = b.fold AND b.round = COALESCE(stop, last)""".lstrip(),
+)
+_REJECTED = {
+    "broken line": ("NULL", "event_id % 59 = 11", "COUNT(*)"),
+    "no key": ("'user_id'", "event_id % 53 = 7", "0"),
+    "not converted": ("'created_at'", "event_id % 37 = 5", "COUNT(*)"),
+    "not converted ": ("'credit_cost'", "event_id % 41 = 3", "COUNT(*)"),
+}
+_oracle(
+    "src_rejects",
+    "SELECT *, CAST(SUM(n) OVER (PARTITION BY reason) AS BIGINT) AS counted, (SELECT COUNT(*) FROM fx_generations) AS n_rows, "
+    "(SELECT COUNT(*) FROM fx_generations WHERE event_id % 53 <> 7) AS n_kept FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{reason.strip()}' AS reason, {column} AS column_name, COUNT(*) AS n, "
+        f"COUNT(*) FILTER (WHERE event_id % 53 <> 7) AS with_key, {texts} AS with_text FROM fx_generations WHERE {rule} HAVING COUNT(*) > 0"
+        for reason, (column, rule, texts) in _REJECTED.items()
+    )
+    + ") r",
+)

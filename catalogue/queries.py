@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from catalogue import fixtures
 from tidemark.functions.labels import decode, with_targets
 from tidemark.operators.ranks import stratified_folds
-from tidemark.plans import analytics, encode, ensemble, generations, metrics, profile, training, transactions
+from tidemark.plans import analytics, boosting, encode, ensemble, generations, metrics, profile, training, transactions
+from tidemark.plans.incremental import incremental_features
 from tidemark.plans.assemble import feature_table, join_sources, with_composites, zero_fill
 from tidemark.plans.pipeline import encode_splits, model_frames, with_folds
 from tidemark.schemas import (
@@ -38,7 +39,8 @@ from tidemark.schemas import (
     zero_filled,
 )
 from tidemark.session import configure, materialize, scratch_path
-from tidemark.sources.csv import load_split, split_paths
+from tidemark.sources.csv import load_split, scan, split_paths, store_checked
+from tidemark.sources.layout import bucket_name, store_bucketed
 from tidemark.sources.sinks import write_csv
 from tidemark.sources.store import build_or_load
 
@@ -213,6 +215,37 @@ def feature_cache_roundtrip(spark, sf_dir):
     return stored.select(KEY, LABEL, *names(BASE_FEATURES))
 
 
+@query
+def src_rejects(spark, sf_dir):
+    """Events written as CSV lines, some of them spoilt, and what the scan makes of these: reasons as kept and as counted."""
+    events = _table(spark, sf_dir, "generations")
+    number = F.col("event_id")
+    spoilt = events.select(number.alias("n"), *[F.col(c).cast("string").alias(c) for c in events.columns])
+    n = F.col("n")
+    spoilt = spoilt.withColumns({
+        KEY: F.when(n % 53 != 7, F.col(KEY)),
+        "created_at": F.when(n % 37 == 5, "not a date").otherwise(F.col("created_at")),
+        "credit_cost": F.when(n % 41 == 3, "x1").otherwise(F.col("credit_cost")),
+    })
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in events.columns])
+    line = F.when(n % 59 == 11, F.concat(line, F.lit(",one,more"))).otherwise(line)
+    # The names stand before the first line of every file.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = spoilt.select(line.alias("line"), first.alias("first"))
+    named = F.array(F.lit(",".join(events.columns)), F.col("line"))
+    path = scratch_path(spark, "spoilt")
+    lines.select(F.explode(F.when(F.col("first"), named).otherwise(F.array("line")))).write.text(path)
+
+    checked = store_checked(scan(spark, path, "generations", checked=True), "checked")
+    observed = {"broken line": "broken", "no key": "keyless", "not converted": "unread"}
+    counted = F.element_at(F.create_map(*[F.lit(x) for r, c in observed.items() for x in (r, checked.counts[c])]), F.col("reason"))
+    return checked.rejects.groupBy("reason", F.col("column").alias("column_name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(KEY).alias("with_key"), F.count("text").alias("with_text")
+    ).withColumn("counted", counted).withColumn("n_rows", F.lit(checked.counts["rows"])).withColumn(
+        "n_kept", F.lit(checked.rows.count())
+    )
+
+
 # --- features ------------------------------------------------------------------------------------
 
 
@@ -280,6 +313,20 @@ _generation("gen_completion_trend", "gen_compl_trend")
 _generation("gen_video_credit_ratio", "gen_video_credit_ratio")
 
 
+@query
+def gen_incremental(spark, sf_dir):
+    """All generation features from the states of four files, of which the last comes after a first build."""
+    events, properties = _table(spark, sf_dir, "generations"), _table(spark, sf_dir, "properties")
+    root, store = scratch_path(spark, "event-files"), scratch_path(spark, "states")
+    paths = [f"{root}/{k}" for k in range(4)]
+    for k, path in enumerate(paths):
+        events.where(F.col("event_id") % 4 == k).write.parquet(path)
+    read = lambda files: spark.read.parquet(*files)
+    for wanted in (paths[:3], paths):
+        found = incremental_features(spark, store, wanted, properties, read)
+    return found
+
+
 @query
 def gen_window_filter(spark, sf_dir):
     """The arc restricted to events inside it instead of clipping them to its ends."""
@@ -339,6 +386,14 @@ def assemble_features(spark, sf_dir):
     return join_sources(_tables(spark, sf_dir)).select(KEY, LABEL, *features)
 
 
+@query
+def assemble_bucketed(spark, sf_dir):
+    """The same from tables stored in buckets of their user."""
+    features = [f for f in names(BASE_FEATURES) if f not in names(COMPOSITE_FEATURES)]
+    stored = {t: store_bucketed(df, bucket_name(t), buckets=8) for t, df in _tables(spark, sf_dir).items()}
+    return join_sources(stored, bucketed=True).select(KEY, LABEL, *features)
+
+
 def _zero_filled(spark, sf_dir):
     return zero_fill(join_sources(_tables(spark, sf_dir))).select(KEY, *zero_filled())
 
@@ -397,6 +452,16 @@ def target_encode_test(spark, sf_dir):
     return stats.full(test).select(KEY, *TE_FEATURES)
 
 
+@query
+def target_encode_nested(spark, sf_dir):
+    """Encodings that leave out a row's fold of the encoding and its fold of the three-class model."""
+    rows = materialize(_categories(spark, sf_dir), "categories")
+    train = with_targets(rows.where(F.col("split") == "train"))
+    folded = train.join(training.fold_table(train).select(KEY, "fold_te", "fold_mc"), KEY)
+    stats = encode.target_stats(folded, "fold_te", second="fold_mc")
+    return stats.nested(folded, "fold_te", "fold_mc").select(KEY, "fold_te", "fold_mc", *TE_FEATURES)
+
+
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(feature_table(_tables(spark, sf_dir)), "features")
 
@@ -665,6 +730,25 @@ def feature_importance(spark, sf_dir):
     return rows.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+@query
+def importance_splits(spark, sf_dir):
+    """Splits, rows and gain per feature over the nodes of saved models of one split on one feature."""
+    scores = training.stage1(*_one_feature(spark, sf_dir, "qf_cost"), EXACT, features=["qf_cost"])
+    return scores.split_importances().select("feature", "importance", "splits", "rows", "gain")
+
+
+@query
+def best_rounds(spark, sf_dir):
+    """Rounds kept with patience, over curves of mean event costs in place of held-out losses."""
+    events = _table(spark, sf_dir, "generations")
+    round_ = (F.col("event_id") % 40 + 1).cast("int")
+    fold = (F.col(KEY) % 5).cast("int")
+    curves = events.groupBy(fold.alias("fold"), round_.alias("round")).agg(F.avg("credit_cost").alias("loss"))
+    curves = materialize(curves.withColumn("member", F.lit(0)), "curves")
+    parts = [boosting.best_rounds(curves, p).withColumn("patience", F.lit(p)) for p in (1, 3, 8, 100)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def top_importances(spark, sf_dir):
     """The report of the top features, over the share of users with a value in place of model output."""

@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def value_counts(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
+def value_counts(df: DataFrame, key: str, columns: Mapping[str, Column], bucketed: bool = False) -> DataFrame:
     """Rows per (key, value) of each column, in one scan and one shuffle.
 
     Grouping sets aggregate partially before the shuffle, so a hot key costs each map task only its
     distinct values. Output: key, one column per input column, n; a row carries the value of exactly
     one column, or none where the value is missing, so that no key drops out.
+
+    Grouping sets forget how their input is laid out. With ``bucketed`` every row is unfolded instead, which keeps the buckets of
+    a table stored by the key, so that nothing is shuffled.
     """
+    if bucketed:
+        own = [F.struct(*[(x if c == name else F.lit(None)).alias(c) for c, x in columns.items()]) for name in columns]
+        return df.select(key, F.inline(F.array(*own))).groupBy(key, *columns).agg(F.count(F.lit(1)).alias("n"))
     wide = df.select(key, *[expr.alias(name) for name, expr in columns.items()])
     sets = [[key, name] for name in columns]
     return wide.groupingSets(sets, key, *columns).agg(F.count(F.lit(1)).alias("n"))

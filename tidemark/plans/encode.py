@@ -19,7 +19,10 @@ UNKNOWN = "unknown"
 
 @dataclass(frozen=True)
 class TargetStats:
-    """Row and target counts per (column, value, fold), and the overall target means."""
+    """Row and target counts per (column, value, fold), and the overall target means.
+
+    With a second fold column the counts are per (column, value, fold, second).
+    """
 
     table: DataFrame
     means: dict[str, float]
@@ -55,6 +58,40 @@ class TargetStats:
             "column", "value", F.col("fold").alias(fold), *[outside(t) for t in self.targets]
         )
 
+    def nested_means(self, fold: str, second: str) -> DataFrame:
+        """Means over the rows outside both folds, per (column, value, fold, second).
+
+        From the totals of a value go those of its fold and of its second fold, and what both share comes back. There are
+        at most as many rows of a value as pairs of folds.
+        """
+        value = ["column", "value"]
+        every, own, other = (Window.partitionBy(*value, *more) for more in ([], ["fold"], ["second"]))
+
+        def outside(name: str) -> Column:
+            return F.sum(name).over(every) - F.sum(name).over(own) - F.sum(name).over(other) + F.col(name)
+
+        rest = outside("n")
+        means = [F.when(rest > 0, outside(t) / rest).alias(t) for t in self.targets]
+        return self.table.select(*value, F.col("fold").alias(fold), F.col("second").alias(second), *means)
+
+    def nested(self, rows: DataFrame, fold: str, second: str, key: str = KEY) -> DataFrame:
+        """Encode training rows by the mean outside both of their folds; a category that is missing or has no row there gets
+        the mean of all rows outside both."""
+        lookup = self.nested_means(fold, second)
+        found = _spread(rows, lookup, self.columns, self.fields(), [fold, second], key)
+        return self.with_nested_means(rows.join(found, key, "left"), fold, second)
+
+    def with_nested_means(self, rows: DataFrame, fold: str, second: str) -> DataFrame:
+        """The means of all rows outside both folds where a category was missing or not seen."""
+        pairs = self.nested_means(fold, second).where(F.col("column") == _EVERY_ROW).collect()  # one row a pair of folds
+        place = F.concat_ws("-", fold, second)
+        out = {}
+        for target in self.targets:
+            known = [F.lit(x) for r in pairs for x in (f"{r[fold]}-{r[second]}", r[target])]
+            mean = F.element_at(F.create_map(*known), place) if known else F.lit(None)
+            out |= {f"te_{c}_{target}": F.coalesce(f"te_{c}_{target}", mean, F.lit(self.means[target])) for c in self.columns}
+        return rows.withColumns(out)
+
     def full_means(self) -> DataFrame:
         """Means over all training rows, per (column, value)."""
         return self.table.groupBy("column", "value").agg(
@@ -103,15 +140,19 @@ def target_stats(
     fold: str = "fold",
     columns: Sequence[str] = TARGET_ENCODED,
     targets: Sequence[str] = TARGETS,
+    second: str | None = None,
 ) -> TargetStats:
-    """Count all columns at once: one scan, one partially aggregated shuffle of narrow rows."""
-    wide = train.select(
-        F.col(fold).alias("fold"), *targets, *columns, F.lit(_EVERY_ROW).alias(_EVERY_ROW)
-    )
-    long = wide.unpivot(["fold", *targets], [*columns, _EVERY_ROW], "column", "value")
+    """Count all columns at once: one scan, one partially aggregated shuffle of narrow rows.
+
+    ``second`` names another fold column for means that leave out both folds of a row.
+    """
+    folds = [F.col(fold).alias("fold")] + ([F.col(second).alias("second")] if second else [])
+    by = ["fold", "second"][: len(folds)]
+    wide = train.select(*folds, *targets, *columns, F.lit(_EVERY_ROW).alias(_EVERY_ROW))
+    long = wide.unpivot([*by, *targets], [*columns, _EVERY_ROW], "column", "value")
     counted = (
         long.where(F.col("value").isNotNull())
-        .groupBy("column", "value", "fold")
+        .groupBy("column", "value", *by)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in targets])
     )
     table = materialize(counted, "te-counts")
@@ -151,24 +192,26 @@ def encode_all(
     columns: Sequence[str],
     fold: str | None = None,
     key: str = KEY,
+    second: str | None = None,
 ) -> DataFrame:
     """Target encodings beside the rows and codes in place of their categories, by one lookup.
 
-    With ``fold`` the means are those of the other folds. A missing category has the code of its own
-    value, and the overall means.
+    With ``fold`` the means are those of the other folds, with ``second`` those outside both. A missing category
+    has the code of its own value, and the overall means.
     """
-    on = [fold] if fold else []
-    means = stats.fold_means(fold) if fold else stats.full_means()
+    on = [f for f in (fold, second) if f]
+    means = stats.nested_means(fold, second) if second else stats.fold_means(fold) if fold else stats.full_means()
     every = codes
-    if fold:
+    for name in on:
         folds = F.sequence(F.lit(0), F.lit(FOLDS - 1))
-        kind = rows.schema[fold].dataType.simpleString()
-        every = codes.withColumn(fold, F.explode(folds.cast(f"array<{kind}>")))
+        kind = rows.schema[name].dataType.simpleString()
+        every = every.withColumn(name, F.explode(folds.cast(f"array<{kind}>")))
     lookup = materialize(every.join(means, ["column", "value", *on], "left"), "encodings")
     fields = {f"code_{c}": (c, F.col("code")) for c in columns}
     fields |= {n: (c, F.when(F.col("given"), field)) for n, (c, field) in stats.fields().items()}
     found = _spread(rows, lookup, columns, fields, on, key, UNKNOWN)
-    coded = stats.with_means(rows.join(found, key, "left"))
+    coded = rows.join(found, key, "left")
+    coded = stats.with_nested_means(coded, fold, second) if second else stats.with_means(coded)
     kept = [F.col(f"code_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns]
     return coded.select(*kept, *stats.fields())
 

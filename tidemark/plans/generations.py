@@ -119,9 +119,76 @@ def _with_arc_counts(rollup: DataFrame) -> DataFrame:
     return rollup.withColumns({**parts, **arc.moments(DAYS)})
 
 
+# Measures that are added up when states meet; the others are in the two lists below and the moments.
+_ADDED = (
+    "gen_total", *STATUSES.values(), "gen_credit_total", "gen_duration_sum", "gen_video_count", "gen_image_count",
+    "video_credits", *[f"{b}_{m}" for b in ARC_BUCKETS for m in ("credits", "done")], *DAYS,
+)
+_LARGEST = ("gen_credit_max", "gen_duration_max", "last_at")
+_SMALLEST = ("first_at", "sub_start")
+_MOMENTS = {"credit": ("gen_credit_total", "gen_credit_mean", "gen_credit_std"), "duration": ("gen_duration_sum", "gen_duration_mean", "gen_duration_std")}
+
+
+def rollup_states(events: DataFrame, key: str = KEY) -> DataFrame:
+    """The wide aggregate of some of the events in a form that can be merged with that of others.
+
+    In place of mean and deviation there are the number of values, their sum, and ``m2``, the sum of squared distances from
+    the mean of these events.
+    """
+    base = _rollup(events, key)
+    moments = []
+    for name in _MOMENTS:
+        column = F.col({"credit": "credit_cost", "duration": "duration"}[name])
+        moments += [F.count(column).alias(f"n_{name}"), (F.var_pop(column) * F.count(column)).alias(f"m2_{name}")]
+    spread = events.groupBy(key).agg(*moments)
+    drop = [c for _, mean, std in _MOMENTS.values() for c in (mean, std)]
+    return base.drop(*drop).join(spread, key)
+
+
+def merge_rollups(states: DataFrame, key: str = KEY) -> DataFrame:
+    """The wide aggregate of all events from the states of their parts, by one aggregate.
+
+    Squared distances of the parts add up to that of the whole once the distance between their means is added.
+    """
+    measures = [F.sum(c).alias(c) for c in _ADDED]
+    measures += [F.max(c).alias(c) for c in _LARGEST] + [F.min(c).alias(c) for c in _SMALLEST]
+    for name, (total, _, _) in _MOMENTS.items():
+        n, sum_ = F.col(f"n_{name}"), F.col(total)
+        measures += [
+            F.sum(n).alias(f"n_{name}"),
+            F.sum(f"m2_{name}").alias(f"m2_{name}"),
+            F.sum(F.when(n > 0, sum_ * sum_ / n)).alias(f"between_{name}"),
+        ]
+    merged = states.groupBy(key).agg(*measures)
+    for name, (total, mean, std) in _MOMENTS.items():
+        n = F.col(f"n_{name}")
+        squares = F.col(f"m2_{name}") + F.col(f"between_{name}") - F.col(total) * F.col(total) / n
+        merged = merged.withColumn(mean, F.when(n > 0, F.col(total) / n))
+        merged = merged.withColumn(std, F.when(n > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1))))
+        merged = merged.drop(f"n_{name}", f"m2_{name}", f"between_{name}")
+    return merged
+
+
+def value_states(generations: DataFrame, key: str = KEY, bucketed: bool = False) -> DataFrame:
+    """Rows per user and date or type; states of several parts are added up."""
+    columns = {"date": F.to_date("created_at"), "type": F.col("generation_type")}
+    return counts.value_counts(generations, key, columns, bucketed)
+
+
+def from_states(rollups: DataFrame, values: DataFrame, key: str = KEY) -> DataFrame:
+    """All 50 generation features from the states of all parts."""
+    merged = values.groupBy(key, "date", "type").agg(F.sum("n").alias("n"))
+    joined = _features(merge_rollups(rollups, key), key).join(_by_value(merged, key), key, "left")
+    return _with_pace(joined, key)
+
+
 def from_rollup(events: DataFrame, key: str = KEY) -> DataFrame:
     """Every generation feature that needs no count per date or type."""
-    r = _with_arc_counts(_rollup(events, key))
+    return _features(_rollup(events, key), key)
+
+
+def _features(rollup: DataFrame, key: str) -> DataFrame:
+    r = _with_arc_counts(rollup)
     c = F.col
     total, n_early, n_late, n_last = c("gen_total"), c("n_early"), c("n_late"), c("n_last")
     both = (n_early > 0) & (n_late > 0)
@@ -157,10 +224,12 @@ def from_rollup(events: DataFrame, key: str = KEY) -> DataFrame:
     return r.select(key, *[out[n].alias(n) if n in out else c(n) for n in wanted])
 
 
-def from_value_counts(generations: DataFrame, key: str = KEY) -> DataFrame:
+def from_value_counts(generations: DataFrame, key: str = KEY, bucketed: bool = False) -> DataFrame:
     """Active days, busiest day and distinct types of every user with events."""
-    columns = {"date": F.to_date("created_at"), "type": F.col("generation_type")}
-    counted = counts.value_counts(generations, key, columns)
+    return _by_value(value_states(generations, key, bucketed), key)
+
+
+def _by_value(counted: DataFrame, key: str) -> DataFrame:
     return counted.groupBy(key).agg(
         counts.distinct_values("date").alias("gen_days_active"),
         counts.busiest("date").alias("gen_max_in_day"),
@@ -169,14 +238,18 @@ def from_value_counts(generations: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def generation_features(
-    generations: DataFrame, properties: DataFrame, key: str = KEY, window: str = "clip"
+    generations: DataFrame, properties: DataFrame, key: str = KEY, window: str = "clip", bucketed: bool = False
 ) -> DataFrame:
-    """All 50 generation features, one row per user with events.
+    """All 50 generation features, one row per user with events. ``bucketed`` is for tables stored in buckets of the key.
 
     Both sides are grouped by the key, so joining them needs no further exchange.
     """
     events = on_arc(generations, properties, key, window)
     counted = events if window == "filter" else generations
-    joined = from_rollup(events, key).join(from_value_counts(counted, key), key, "left")
+    joined = from_rollup(events, key).join(from_value_counts(counted, key, bucketed), key, "left")
+    return _with_pace(joined, key)
+
+
+def _with_pace(joined: DataFrame, key: str) -> DataFrame:
     pace = per(F.col("gen_total"), F.col("gen_days_active"))
     return joined.withColumn("gen_per_active_day", pace).select(key, *names(GENERATION_FEATURES))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tidemark.plans import analytics, encode, ensemble, metrics, training
 from tidemark.plans.assemble import feature_table
 from tidemark.schemas import KEY, LABEL, TARGETS, categorical
 from tidemark.session import configure, materialize, scratch_space
-from tidemark.sources.csv import FOLDERS, check_contracts, load_split, split_paths
+from tidemark.sources.csv import FOLDERS, Checked, check_contracts, load_split, split_paths, store_checked
 from tidemark.sources.sinks import write_csv
 from tidemark.sources.store import build_or_load
 
@@ -22,7 +23,8 @@ from tidemark.sources.store import build_or_load
 @dataclass(frozen=True)
 class Outcome:
     """What a run reports. ``tuning`` holds the F1 of each sweep, ``multiclass_f1`` that of the three-class
-    model alone, ``predicted`` the distribution of the classes called on the test users."""
+    model alone, ``predicted`` the distribution of the classes called on the test users, ``splits`` the features by their number
+    of splits, ``rounds`` what each model keeps."""
 
     tuning: ensemble.Tuning
     f1: float
@@ -34,32 +36,55 @@ class Outcome:
     report: DataFrame
     confusion: DataFrame
     importances: DataFrame
+    splits: DataFrame
+    rounds: DataFrame
     submission: DataFrame
     probabilities: DataFrame
     reasons: DataFrame
 
 
+def reject_counts(spark: SparkSession, parsed: Mapping[str, Checked]) -> DataFrame:
+    """Per table the rows read and what was wrong with them, as counted while parsing."""
+    names = ("rows", "broken", "keyless", "unread")
+    rows = [(t, *[c.counts[n] for n in names]) for t, c in parsed.items()]
+    return spark.createDataFrame(rows, "table string, " + ", ".join(f"{n} long" for n in names))
+
+
 def features(
-    spark: SparkSession, root: str, split: str, store: str, scan: Mapping | None = None, **options
+    spark: SparkSession,
+    root: str,
+    split: str,
+    store: str,
+    scan: Mapping | None = None,
+    part: str = "features",
+    **options,
 ) -> DataFrame:
     """Stored feature table of a split of CSV files, built if its inputs or options are new.
 
-    ``scan`` are options of the CSV scan, the others those of the feature table.
+    ``scan`` are options of the CSV scan, the others those of the feature table. ``part`` may be "rejects", the problems of
+    the input by table and row, or "counts", their numbers.
     """
     scan = dict(scan or {})
 
-    def build() -> DataFrame:
+    def build() -> tuple[DataFrame, dict[str, DataFrame]]:
         # Events and attempts are read several times, so the text is parsed once and kept as columns.
-        tables = {
-            t: materialize(df, f"{split}-{t}") for t, df in load_split(spark, root, split, **scan).items()
-        }
+        found = load_split(spark, root, split, checked=True, **scan)
+        parsed = {t: store_checked(df, f"{split}-{t}") for t, df in found.items()}
+        tables = {t: c.rows for t, c in parsed.items()}
         check_contracts(tables)
-        return feature_table(tables, **options)
+        rejects = [
+            c.rejects.select(F.lit(t).alias("table"), F.col(KEY).cast("string").alias("key"), "reason", "column", "text")
+            for t, c in parsed.items()
+        ]
+        return feature_table(tables, **options), {
+            "rejects": reduce(DataFrame.unionByName, rejects),
+            "counts": reject_counts(spark, parsed),
+        }
 
     folders = scan.get("folders", FOLDERS)
     paths = list(split_paths(root, split, folders).values())
     with scratch_space(spark):
-        return build_or_load(spark, store, split, paths, build, {"scan": scan, "features": options})
+        return build_or_load(spark, store, split, paths, build, {"scan": scan, "features": options}, part)
 
 
 def with_folds(train: DataFrame, key: str = KEY) -> DataFrame:
@@ -69,25 +94,31 @@ def with_folds(train: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def encode_splits(
-    train: DataFrame, test: DataFrame, shared_folds: bool = False, key: str = KEY
+    train: DataFrame, test: DataFrame, encoding: str = "own", key: str = KEY
 ) -> tuple[DataFrame, DataFrame]:
     """Add target encodings and replace categories by codes; ``train`` carries targets and folds.
 
-    Target encoding comes first: it leaves missing categories missing. ``shared_folds`` encodes with
-    the folds of the three-class model instead of folds of its own.
+    Target encoding comes first: it leaves missing categories missing. ``encoding`` names the folds that it leaves
+    out: its "own", those "shared" with the three-class model, or both ("nested").
     """
+    if encoding not in ("own", "shared", "nested"):
+        raise ValueError(f"encoding must be 'own', 'shared' or 'nested', not {encoding!r}")
     columns = categorical()
     codes = encode.vocabulary([encode.fill_categories(s, columns) for s in (train, test)], columns)
-    fold = "fold_mc" if shared_folds else "fold_te"
-    stats = encode.target_stats(train, fold)
+    fold, second = "fold_mc" if encoding == "shared" else "fold_te", "fold_mc" if encoding == "nested" else None
+    stats = encode.target_stats(train, fold, second=second)
     return (
-        encode.encode_all(train, codes, stats, columns, fold, key),
+        encode.encode_all(train, codes, stats, columns, fold, key, second),
         encode.encode_all(test, codes, stats, columns, key=key),
     )
 
 
 def model_frames(
-    train: DataFrame, test: DataFrame, key: str = KEY, declare_categories: bool = False
+    train: DataFrame,
+    test: DataFrame,
+    key: str = KEY,
+    declare_categories: bool = False,
+    encoding: str = "own",
 ) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """Encoded splits as stored vector frames with targets and folds, and the sizes of declared categories.
 
@@ -109,13 +140,17 @@ def fit_and_report(
     settings: training.Settings = training.Settings(),
     parity: bool = False,
     key: str = KEY,
+    models: str | None = None,
 ) -> Outcome:
-    """Train the three models on feature tables, tune the ensemble, report and predict."""
-    fit_on, predict_on, sizes = model_frames(train, test, key, settings.declare_categories)
+    """Train the three models on feature tables, tune the ensemble, report and predict.
+
+    Fitted folds are kept below ``models``, if given, and found there by a run that was interrupted.
+    """
+    fit_on, predict_on, sizes = model_frames(train, test, key, settings.declare_categories, settings.encoding)
     settings = replace(settings, bins=max([settings.bins, *sizes.values()]))
-    s1 = training.stage1(fit_on, predict_on, settings, key=key)
-    s2 = training.stage2(fit_on, predict_on, settings, key=key)
-    mc = training.multiclass(fit_on, predict_on, settings, key=key)
+    s1 = training.stage1(fit_on, predict_on, settings, key=key, store=models)
+    s2 = training.stage2(fit_on, predict_on, settings, key=key, store=models)
+    mc = training.multiclass(fit_on, predict_on, settings, key=key, store=models)
     oof = materialize(training.oof_scores(fit_on, s1, s2, mc, parity, key), "oof-scores")
     unseen = materialize(training.test_scores(s1, s2, mc, key), "test-scores")
     tuning = ensemble.tune(oof)
@@ -135,6 +170,11 @@ def fit_and_report(
         report=metrics.classification_report(called),
         confusion=metrics.confusion_matrix(called),
         importances=training.importances(mc),
+        splits=mc.split_importances(),
+        rounds=reduce(
+            DataFrame.unionByName,
+            [m.rounds().select(F.lit(n).alias("model"), "*") for n, m in (("stage1", s1), ("stage2", s2), ("multiclass", mc))],
+        ),
         submission=ensemble.submission(scored, key),
         probabilities=ensemble.probability_table(scored, key),
         reasons=analytics.churn_reasons(
@@ -165,7 +205,7 @@ def run(
     test = features(spark, root, "test", store, scan, **options)
     files = {"importances": "feature_importance", "submission": "submission", "probabilities": "predictions_proba"}
     with scratch_space(spark):
-        outcome = fit_and_report(train, test, settings, parity)
+        outcome = fit_and_report(train, test, settings, parity, models=f"{store}/models")
         tables = {f.name: getattr(outcome, f.name) for f in fields(outcome)}
         tables = {name: df for name, df in tables.items() if isinstance(df, DataFrame)}
         for name, df in tables.items():

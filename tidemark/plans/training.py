@@ -18,10 +18,13 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import first_argmax
 from tidemark.operators.ranks import fold_columns
+from tidemark.plans import boosting
 from tidemark.plans.encode import dense_matrix
 from tidemark.plans.ensemble import MULTICLASS, with_second_stage
 from tidemark.plans.metrics import binary_f1, weighted_f1
 from tidemark.schemas import CLASSES, FOLDS, KEY, MODEL_FEATURES
+from tidemark.session import scratch_path
+from tidemark.sources.models import fit_mark, load_members, save_fold, saved_fold
 
 # Seeds, and the tree settings Spark ML can express.
 ENCODING_SEED = 0
@@ -37,11 +40,16 @@ FOLD_COLUMNS = ("fold_te", "fold_s1", "fold_mc", "fold_s2")
 class Settings:
     """Tree sizes and rounds; fewer rounds at a larger step stand in for many small ones.
 
-    ``three_class`` is "boosted" (one model per class against the rest) or "forest".
+    ``three_class`` is "boosted" (one model per class against the rest) or "forest". Boosted models keep the rounds up to the
+    best one on the rows of their held-out fold, found with so much ``patience``; without patience they keep
+    all. ``encoding`` says which folds a row's target encoding leaves out: those of its "own", the ones "shared"
+    with the three-class model, or both ("nested").
     """
 
     rounds: int = 60
     step: float = 0.1
+    patience: int | None = 10
+    encoding: str = "own"
     stage1_depth: int = 8
     stage2_depth: int = 7
     three_class: str = "boosted"
@@ -59,9 +67,14 @@ class Settings:
 
 @dataclass(frozen=True)
 class Fitted:
-    """The model of a fold, or one model per class against the rest."""
+    """The model of a fold, or one model per class against the rest.
+
+    ``curves`` hold the loss on the held-out rows after each round, ``path`` the folder if it is saved.
+    """
 
     members: tuple
+    curves: tuple = ()
+    path: str | None = None
 
     def score(self, rows: DataFrame, outputs: Sequence[tuple[str, int]], prefix: str = "") -> DataFrame:
         """``rows`` with the wanted class probabilities; those of several members are scaled to sum to one."""
@@ -91,6 +104,29 @@ class Scores:
     models: list[Fitted]
     features: tuple[str, ...]
 
+    def curves(self) -> DataFrame:
+        """Held-out loss by fold, member and round."""
+        return boosting.curve_table(self.test.sparkSession, [m.curves for m in self.models])
+
+    def rounds(self) -> DataFrame:
+        """``fold``, ``member``, and the ``rounds`` that the model keeps."""
+        rows = [(k, i, m.getNumTrees) for k, model in enumerate(self.models) for i, m in enumerate(model.members)]
+        return self.test.sparkSession.createDataFrame(rows, "fold int, member int, rounds int")
+
+    def nodes(self) -> DataFrame:
+        """All nodes of all trees, read from the saved models; models without a folder are saved to scratch."""
+        spark, folders = self.test.sparkSession, []
+        for k, model in enumerate(self.models):
+            path = model.path
+            if path is None:
+                path = save_fold(spark, scratch_path(spark, "models"), k, model.members, model.curves)["path"]
+            folders.append((k, path, len(model.members)))
+        return boosting.node_table(spark, folders)
+
+    def split_importances(self) -> DataFrame:
+        """Features by the number of splits on them, with their gain; a model of several members counts as one."""
+        return boosting.split_importances(self.nodes(), self.features, len(self.models))
+
 
 def class_weights(
     df: DataFrame, label: str, scheme: str | None, fold: str | None = None, folds: int = FOLDS
@@ -122,7 +158,7 @@ def class_weights(
 
 
 def boosted_trees(settings: Settings, depth: int) -> GBTClassifier:
-    """Binary model; stops early on the rows marked as validation."""
+    """Binary model of all rounds; which of them are kept is decided on held-out rows."""
     return GBTClassifier(
         featuresCol="features",
         maxIter=settings.rounds,
@@ -132,8 +168,6 @@ def boosted_trees(settings: Settings, depth: int) -> GBTClassifier:
         maxBins=settings.bins,
         subsamplingRate=settings.subsample,
         featureSubsetStrategy=settings.feature_share,
-        validationIndicatorCol="is_validation",
-        validationTol=1e-6,
         seed=MODEL_SEED,
     )
 
@@ -219,30 +253,51 @@ def cross_validate(
     fold: str,
     outputs: Sequence[tuple[str, int]],
     scheme: str | None = None,
-    early_stop: bool = True,
+    patience: int | None = None,
     against_rest: int = 0,
     features: Sequence[str] = MODEL_FEATURES,
     key: str = KEY,
     parallelism: int = 2,
+    store: str | None = None,
 ) -> Scores:
     """Fit one model per fold, score its held-out rows, and average all models on ``test``.
 
     ``outputs`` names the (column, class) probabilities to keep. ``against_rest`` fits a binary model for
-    each of that many classes. Fits are independent jobs submitted from a few driver threads. Averaging
+    each of that many classes. With ``patience`` a boosted model is cut to its best round on the held-out
+    rows. Fits are independent jobs submitted from a few driver threads. Averaging
     chains the models over the test rows, which needs no shuffle.
+
+    Folds are saved below ``store`` as they are done, and a second run over the same rows and settings reads them there.
     """
     spark: SparkSession = train.sparkSession
     frame = _weighted(train, label, fold, scheme)
+    if store is not None:
+        options = {"label": label, "fold": fold, "scheme": scheme, "rest": against_rest, "patience": patience, "features": [*features]}
+        store = f"{store}/{fit_mark(train, [key, label, fold], 'features', estimator, options)}"
+
+    def one(rows: DataFrame, label: str, k: int) -> tuple:
+        model = estimator.copy({estimator.labelCol: label, estimator.weightCol: "weight"}).fit(rows.where(F.col(fold) != k))
+        if patience is None:
+            return model, ()
+        # Held-out rows count once each: weights are for learning.
+        held = rows.where(F.col(fold) == k).select(F.col(label).cast("double").alias(label), "features", F.lit(1.0).alias("weight"))
+        losses = tuple(model.evaluateEachIteration(held))
+        best = boosting.best_rounds(boosting.curve_table(spark, [[losses]]), patience).first()["rounds"]
+        return boosting.truncated(model, best), losses
 
     def fit(k: int) -> Fitted:
-        rows = frame(k).withColumn("is_validation", F.col(fold) == k)
-        rows = rows if early_stop else rows.where(~F.col("is_validation"))
-        if not against_rest:
-            named = {estimator.labelCol: label, estimator.weightCol: "weight"}
-            return Fitted((estimator.copy(named).fit(rows),))
-        named = {estimator.labelCol: "_is", estimator.weightCol: "weight"}
-        each = [rows.withColumn("_is", (F.col(label) == c).cast("double")) for c in range(against_rest)]
-        return Fitted(tuple(estimator.copy(named).fit(own) for own in each))
+        if store is not None and (note := saved_fold(spark, store, k)):
+            return Fitted(load_members(note), tuple(map(tuple, note["curves"])), note["path"])
+        rows = frame(k)
+        if against_rest:
+            each = [(rows.withColumn("_is", (F.col(label) == c).cast("double")), "_is") for c in range(against_rest)]
+        else:
+            each = [(rows, label)]
+        members, curves = zip(*[one(own, name, k) for own, name in each])
+        if store is None:
+            return Fitted(members, curves)
+        note = save_fold(spark, store, k, members, curves)
+        return Fitted(members, curves, note["path"])
 
     with ThreadPool(parallelism) as pool:
         models = pool.map(inheritable_thread_target(spark)(fit), range(FOLDS))
@@ -283,6 +338,7 @@ def stage1(train: DataFrame, test: DataFrame, settings: Settings = Settings(), *
         "fold_s1",
         [("s1", 1)],
         scheme="unbalanced",
+        patience=settings.patience,
         parallelism=settings.parallelism,
         **options,
     )
@@ -298,6 +354,7 @@ def stage2(train: DataFrame, test: DataFrame, settings: Settings = Settings(), *
         "is_invol",
         "fold_s2",
         [("s2", 1)],
+        patience=settings.patience,
         parallelism=settings.parallelism,
         **options,
     )
@@ -316,7 +373,7 @@ def multiclass(train: DataFrame, test: DataFrame, settings: Settings = Settings(
         "fold_mc",
         [(f"m{c}", c) for c in range(len(CLASSES))],
         scheme="balanced",
-        early_stop=boosted,
+        patience=settings.patience if boosted else None,
         against_rest=len(CLASSES) if boosted else 0,
         parallelism=settings.parallelism,
         **options,
@@ -337,7 +394,10 @@ def fold_report(train: DataFrame, s1: Scores, s2: Scores, mc: Scores, key: str =
 
 
 def importances(scores: Scores) -> DataFrame:
-    """Mean importance per feature, largest first; one row per feature, whatever the data size."""
+    """Mean importance per feature by gain, largest first; one row per feature, whatever the data size.
+
+    ``Scores.split_importances`` ranks by the number of splits instead.
+    """
     spark = SparkSession.getActiveSession()
     per_model = [m.importances() for m in scores.models]
     mean = sum(per_model) / len(per_model)

@@ -61,11 +61,11 @@ def from_rollup(attempts: DataFrame, key: str = KEY) -> DataFrame:
     return attempts.groupBy(key).agg(*measures)
 
 
-def from_value_counts(attempts: DataFrame, key: str = KEY) -> DataFrame:
+def from_value_counts(attempts: DataFrame, key: str = KEY, bucketed: bool = False) -> DataFrame:
     """Repeated amounts and modal card attributes from one count of values."""
     columns = {c: F.col(c) for c in MODES.values()}
     columns["amount"] = to_cents(F.col("amount_in_usd"))
-    counted = counts.value_counts(attempts, key, columns)
+    counted = counts.value_counts(attempts, key, columns, bucketed)
     return counted.groupBy(key).agg(
         counts.busiest("amount").alias("ta_max_retries"),
         *[counts.mode(c).alias(out) for out, c in MODES.items()],
@@ -89,12 +89,12 @@ def from_order(attempts: DataFrame, key: str = KEY, sequence: str = "attempt_id"
 
 
 def transaction_features(
-    attempts: DataFrame, key: str = KEY, sequence: str = "attempt_id"
+    attempts: DataFrame, key: str = KEY, sequence: str = "attempt_id", bucketed: bool = False
 ) -> DataFrame:
     """All 26 payment features, one row per user with attempts."""
     return (
         from_rollup(attempts, key)
-        .join(from_value_counts(attempts, key), key, "left")
+        .join(from_value_counts(attempts, key, bucketed), key, "left")
         .join(from_order(attempts, key, sequence), key, "left")
         .select(key, *names(TRANSACTION_FEATURES))
     )

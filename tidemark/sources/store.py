@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import remove
+from tidemark.sources.commit import publish, published
+
 # Raise when the meaning of a feature changes.
 FEATURE_VERSION = "1"
 
@@ -37,35 +40,40 @@ def fingerprint(
     return f"v{version}-{found['n']}-{found['bytes'] or 0}-{digest:016x}-{built[:16]}"
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return None
-        raise
-
-
 def build_or_load(
     spark: SparkSession,
     root: str,
     split: str,
     paths: Sequence[str],
-    build: Callable[[], DataFrame],
+    build: Callable[[], DataFrame | tuple[DataFrame, Mapping[str, DataFrame]]],
     options: Mapping | None = None,
+    part: str = "features",
 ) -> DataFrame:
     """The feature table of a split, built only if these very inputs have not been built before with these
     very options.
 
-    A table lives under its fingerprint and becomes valid with its manifest, which is written last; a
-    build that dies half-way is simply redone. Changed inputs or a new feature version miss the cache.
+    A table lives under its fingerprint in a folder of its builder and becomes valid with its manifest, which
+    is renamed into place last. A build that dies half-way is simply redone and leaves a folder that nothing refers to; of two
+    builds at once the later one drops its folder and reads the other's. Changed inputs or a new feature
+    version miss the cache. ``build`` may return further tables by name, which are stored beside the features;
+    ``part`` picks the one to read.
     """
     mark = fingerprint(spark, paths, options=options)
-    manifest, table = f"{root}/manifest/{mark}-{split}", f"{root}/features/{mark}"
-    if _read_if_there(spark, manifest) is None:
+    manifest = f"{root}/manifest/{mark}-{split}"
+    note = published(spark, manifest)
+    if note is None:
+        own = f"{root}/features/{mark}/{uuid.uuid4().hex}"
         built = build()
-        features = built.drop("split")
-        features.write.mode("overwrite").parquet(f"{table}/split={split}")
-        note = json.dumps({"fingerprint": mark, "split": split, "columns": features.columns})
-        spark.range(1).select(F.lit(note).alias("manifest")).write.mode("overwrite").parquet(manifest)
+        features, others = built if isinstance(built, tuple) else (built, {})
+        features.drop("split").write.parquet(f"{own}/features/split={split}")
+        for name, table in others.items():
+            table.write.parquet(f"{own}/{name}/split={split}")
+        note = publish(
+            spark,
+            manifest,
+            {"fingerprint": mark, "split": split, "columns": features.drop("split").columns, "folder": own, "parts": [*others]},
+        )
+        if note["folder"] != own:
+            remove(spark, own)
+    table = f"{note['folder']}/{part}"
     return spark.read.option("basePath", table).parquet(f"{table}/split={split}")
