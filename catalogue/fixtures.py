@@ -1,6 +1,8 @@
 """Input tables derived from the provided test tables, as SQL valid in Spark and DuckDB.
 
-``$name`` stands for a source table: a Parquet path in Spark, a view in DuckDB.
+``$name`` stands for a source table: a Parquet path in Spark, a view in DuckDB. Every view reads its tables whole. Suppliers
+are users too, with ids of their own: they have no properties, orders, quizzes or events, and so stand for users that a
+source does not know.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ VIEWS: dict[str, str] = {
     "users": """
 SELECT c_custkey AS user_id,
   CASE WHEN c_acctbal < 1500 THEN 'invol_churn' WHEN c_acctbal < 4500 THEN 'vol_churn' ELSE 'not_churned' END AS churn_status,
-  CASE WHEN c_custkey % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM $customer""",
+  CASE WHEN c_custkey % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM $customer
+UNION ALL SELECT s_suppkey + 1000000000,
+  CASE WHEN s_acctbal < 1500 THEN 'invol_churn' WHEN s_acctbal < 4500 THEN 'vol_churn' ELSE 'not_churned' END,
+  CASE WHEN s_suppkey % 10 < 8 THEN 'train' ELSE 'test' END FROM $supplier""",
     "properties": """
 SELECT c_custkey AS user_id,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Basic' WHEN 'BUILDING' THEN 'Creator' WHEN 'FURNITURE' THEN 'Pro' WHEN 'HOUSEHOLD' THEN 'Ultimate' ELSE 'Legacy' END AS subscription_plan,
   CASE WHEN c_nationkey % 12 = 0 THEN NULL ELSE n_name END AS country_code,
   DATE '2024-01-01' + CAST(c_custkey % 14 AS INT) AS subscription_start_date
-  FROM $customer LEFT JOIN $nation ON c_nationkey = n_nationkey WHERE c_custkey % 29 <> 28""",
+  FROM $customer LEFT JOIN $nation ON c_nationkey = n_nationkey""",
     "generations": """
 SELECT event_id, user_id, ts AS created_at,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'nsfw' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'canceled' ELSE NULL END ELSE 'completed' END AS status,
@@ -43,11 +48,11 @@ SELECT o_orderkey AS attempt_id, o_custkey AS user_id, o_orderdate AS transactio
   CASE o_orderpriority WHEN '1-URGENT' THEN 'prepaid' WHEN '2-HIGH' THEN 'credit' WHEN '3-MEDIUM' THEN 'debit' WHEN '5-LOW' THEN 'credit' ELSE NULL END AS card_funding,
   CASE o_orderkey % 3 WHEN 0 THEN 'visa' WHEN 1 THEN 'mastercard' ELSE 'amex' END AS card_brand,
   CASE WHEN o_orderkey % 2 = 0 THEN 'card' ELSE 'wallet' END AS payment_method_type
-  FROM $orders JOIN $customer ON o_custkey = c_custkey JOIN $nation ON c_nationkey = n_nationkey WHERE o_custkey % 7 <> 3""",
+  FROM $orders JOIN $customer ON o_custkey = c_custkey JOIN $nation ON c_nationkey = n_nationkey""",
     "purchases": """
 SELECT o_custkey AS user_id, l_extendedprice AS purchase_amount_dollars,
   CASE p_type WHEN 'PROMO' THEN 'Credits pack' WHEN 'ECONOMY' THEN 'credit_topup' WHEN 'SMALL' THEN NULL ELSE p_type END AS purchase_type
-  FROM $lineitem JOIN $orders ON l_orderkey = o_orderkey JOIN $part ON l_partkey = p_partkey WHERE o_custkey % 5 <> 2""",
+  FROM $lineitem JOIN $orders ON l_orderkey = o_orderkey JOIN $part ON l_partkey = p_partkey""",
     "quizzes": """
 SELECT c_custkey AS user_id, seq,
   CASE WHEN (c_custkey + seq) % 8 = 0 THEN NULL ELSE concat('src', CAST((c_custkey + seq) % 5 AS STRING)) END AS source,
@@ -58,10 +63,10 @@ SELECT c_custkey AS user_id, seq,
   CASE (c_custkey + seq) % 11 WHEN 0 THEN 'High cost of top models' WHEN 1 THEN 'high-cost' WHEN 2 THEN 'inconsistent' WHEN 3 THEN 'Inconsistent results' WHEN 4 THEN 'limited' WHEN 5 THEN 'Limited generations' WHEN 6 THEN 'hard-prompt' WHEN 7 THEN 'Hard to prompt' WHEN 8 THEN 'other' WHEN 9 THEN 'Other' ELSE NULL END AS frustration,
   concat('feat', CAST((c_custkey + seq) % 7 AS STRING)) AS first_feature,
   concat('role', CAST(c_custkey % 5 AS STRING)) AS role
-  FROM $customer_twice s WHERE (seq = 0 OR c_custkey % 3 = 0) AND c_custkey % 6 <> 5""",
+  FROM $customer_twice s WHERE seq = 0 OR c_custkey % 3 = 0""",
 }
 
-SOURCES = ("customer", "nation", "orders", "lineitem", "part", "events")
+SOURCES = ("customer", "supplier", "nation", "orders", "lineitem", "part", "events")
 # Every customer twice, with sequence 0 and 1.
 _TWICE = "(SELECT c_custkey, 0 AS seq FROM {c} UNION ALL SELECT c_custkey, 1 AS seq FROM {c})"
 
