@@ -2,8 +2,9 @@
 
 The tokenizer first splits a text into words with their leading space, numbers, marks and white space, and
 then encodes each part by itself. Parts repeat, so a worker keeps the ids of the parts it has met, up to
-``CACHE_PARTS`` of them, and asks the tokenizer for new ones only. Splitting is done on bytes for rows
-of ASCII and Latin letters; rows with any other character are encoded by the tokenizer as they are.
+``CACHE_PARTS`` parts and ``CACHE_IDS`` ids, and asks the tokenizer for new ones only. Splitting is done on bytes for rows
+of ASCII and Latin letters; rows with any other character, and rows that hold the string of a token which the tokenizer
+takes out before it splits, are encoded by the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 from tidemark.llm import textops as X
 
 CACHE_PARTS = 500_000
+CACHE_IDS = 8_000_000
 _LETTER, _DIGIT, _SPACE, _MARK = range(4)
 _KIND = np.full(256, _MARK, np.uint8)
 _KIND[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
@@ -81,9 +83,20 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
+    def _without_added(self, piece: X.Piece, raw: bytes) -> np.ndarray:
+        """Rows that hold no string of an added token."""
+        out = np.ones(piece.rows, bool)
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                first, last = np.searchsorted(piece.offsets, [at, at + len(token) - 1], "right") - 1
+                out[first] &= first != last
+                at = raw.find(token, at + 1)
+        return out
+
     def clear(self) -> None:
         self.index: dict[int, int] = {}
         self.starts, self.pool, self.used = [0], np.empty(1 << 16, np.uint32), 0
@@ -103,9 +116,10 @@ class Encoder:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * piece.rows
         if not len(piece.data):
             return out
-        if len(self.index) > CACHE_PARTS:
+        if len(self.index) > CACHE_PARTS or self.used > CACHE_IDS:
             self.clear()
-        plain = plain_rows(piece)
+        raw = piece.data.tobytes()
+        plain = plain_rows(piece) & self._without_added(piece, raw)
         starts = part_starts(piece)
         ends = np.append(starts[1:], len(piece.data))
         row = np.searchsorted(piece.offsets, starts, "right") - 1
@@ -116,7 +130,6 @@ class Encoder:
         codes = hashes.tolist()
         new = [k for k, code in enumerate(codes) if code not in self.index]
         if new:
-            raw = piece.data.tobytes()
             at = first[new]
             parts = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]
             self._learn([codes[k] for k in new], parts)
@@ -135,7 +148,7 @@ class Encoder:
             if plain[k]:
                 out[k] = ids[bounds[k] : bounds[k + 1]]
             else:
-                text = piece.data[piece.offsets[k] : piece.offsets[k + 1]].tobytes().decode()
+                text = raw[piece.offsets[k] : piece.offsets[k + 1]].decode()
                 found = self.tokenizer.encode(text, add_special_tokens=False)
                 out[k] = np.array(found.ids, np.uint32)
         return out
