@@ -2,15 +2,18 @@
 
 Four rules are counted per document and added up per host. A host with few documents says little
 about itself, so its failure rate is drawn towards the rate of all hosts by a beta prior that is fitted
-to the hosts' rates by their mean and variance. A host whose shrunk rate of any rule is above
-``max_rate`` is rejected, with all its documents.
+to the hosts' rates by their mean and variance, each host counting by its documents. A host is rejected, with all its
+documents, if its shrunk rate of any rule lies beyond what the prior allows: more than ``spread`` standard
+deviations of the prior and more than ``excess`` above its mean, or above ``max_rate`` in any case.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as X
@@ -24,6 +27,8 @@ RULES = {
     "lines": "2 * n_dup_lines > n_lines",
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+#: Bounds of a host's shrunk rate: standard deviations of the prior, least distance from its mean, and an absolute one.
+SPREAD, EXCESS, MAX_RATE = 3.0, 0.1, 0.5
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -76,33 +81,35 @@ def text_counts(docs: DataFrame, key: str = "doc_id", host: str = "source", text
     return X.map_text(rows, _counts, f"key {kind}, host string, {columns}")
 
 
-def host_rates(counts: DataFrame, max_rate: float = 0.5) -> DataFrame:
+def host_rates(
+    counts: DataFrame, max_rate: float = MAX_RATE, spread: float = SPREAD, excess: float = EXCESS
+) -> DataFrame:
     """Per host: documents, shrunk failure rate of each rule, and the verdict ``host_kept``.
 
-    The prior of a rule has the hosts' mean rate m and the strength m (1 - m) / v - 1, where v is the
-    variance of the rates; without variance all hosts share the mean. Rows without a host are left out.
+    The prior of a rule has the documents' mean rate m and the strength m (1 - m) / v - 1, where v is the
+    variance of the hosts' rates, weighted by their documents; without variance all hosts share the mean. Rows without
+    a host are left out.
     """
     fails = [F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
     hosts = counts.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n_docs"), *fails)
-    moments = []
+    n, moments = F.col("n_docs"), []
     for name in RULES:
-        rate = F.col(f"f_{name}") / F.col("n_docs")
-        moments += [F.avg(rate).alias(f"m_{name}"), F.var_pop(rate).alias(f"v_{name}")]
-    prior = hosts.agg(*moments)
+        f = F.col(f"f_{name}")
+        mean = F.sum(f) / F.sum(n)
+        moments += [mean.alias(f"m_{name}"), (F.sum(f * f / n) / F.sum(n) - mean * mean).alias(f"v_{name}")]
+    prior = hosts.agg(*moments).select(F.struct("*")).scalar()
 
-    def shrunk(name: str) -> Column:
-        mean, var = F.col(f"m_{name}"), F.col(f"v_{name}")
+    rates, fits = [], []
+    for name in RULES:
+        f, mean, var = F.col(f"f_{name}"), prior[f"m_{name}"], prior[f"v_{name}"]
         strength = mean * (1 - mean) / var - 1
-        pooled = (F.col(f"f_{name}") + mean * strength) / (F.col("n_docs") + strength)
-        return F.when((var > 0) & (strength > 0), pooled).when(
-            var > 0, F.col(f"f_{name}") / F.col("n_docs")
-        ).otherwise(mean)
-
-    # One row of moments: joined on a constant, it is the small side of an ordinary join.
-    rated = hosts.withColumn("one", F.lit(1)).join(prior.withColumn("one", F.lit(1)), "one")
-    rates = [shrunk(name).alias(f"rate_{name}") for name in RULES]
-    worst = F.greatest(*[F.col(f"rate_{name}") for name in RULES])
-    return rated.select("host", "n_docs", *rates).withColumn("host_kept", worst <= max_rate)
+        pooled = (f + mean * strength) / (n + strength)
+        rate = F.when((var > 0) & (strength > 0), pooled).when(var > 0, f / n).otherwise(mean)
+        rates.append(rate.alias(f"rate_{name}"))
+        limit = mean + F.greatest(spread * F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(excess))
+        fits.append(F.col(f"rate_{name}") <= F.least(limit, F.lit(max_rate)))
+    rated = hosts.select("host", "n_docs", *rates)
+    return rated.withColumn("host_kept", reduce(lambda a, b: a & b, fits))
 
 
 def judge(
@@ -110,8 +117,10 @@ def judge(
     key: str = "doc_id",
     host: str = "source",
     text: str = "text",
-    max_rate: float = 0.5,
+    max_rate: float = MAX_RATE,
     salts: int = 32,
+    spread: float = SPREAD,
+    excess: float = EXCESS,
 ) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``host_kept`` and ``kept``.
 
@@ -121,7 +130,7 @@ def judge(
     are not read.
     """
     counts = materialize(text_counts(docs, key, host, text), "text-counts")
-    hosts = host_rates(counts, max_rate).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hosts = host_rates(counts, max_rate, spread, excess).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = counts.withColumn("salt", F.pmod(F.xxhash64("key", *COUNTS), F.lit(salts)).cast("int"))
     base_failed = F.expr(f"({RULES['short']}) OR ({RULES['repetitive']})")
     host_kept = F.coalesce(F.col("host_kept"), F.lit(True))

@@ -15,7 +15,8 @@ _RATE_RULES = {
 def _host_quality() -> str:
     fails = ", ".join(f"sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS f_{n}" for n, rule in _RATE_RULES.items())
     moments = ", ".join(
-        f"avg(f_{n} / n_docs) AS m_{n}, var_pop(f_{n} / n_docs) AS v_{n}" for n in _RATE_RULES
+        f"sum(f_{n}) / sum(n_docs) AS m_{n}, sum(f_{n} * f_{n} / n_docs) / sum(n_docs) - (sum(f_{n}) / sum(n_docs)) ** 2 AS v_{n}"
+        for n in _RATE_RULES
     )
 
     def rate(n: str) -> str:
@@ -25,7 +26,9 @@ def _host_quality() -> str:
             f"WHEN v_{n} > 0 THEN f_{n} / n_docs ELSE m_{n} END"
         )
 
-    worst = f"greatest({', '.join(rate(n) for n in _RATE_RULES)})"
+    fits = " AND ".join(
+        f"({rate(n)}) <= least(0.5, m_{n} + greatest(3 * sqrt(greatest(v_{n}, 0)), 0.1))" for n in _RATE_RULES
+    )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS ws FROM d),
@@ -43,7 +46,7 @@ c AS (SELECT d.doc_id, d.source, len(ws) AS n_words,
   FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
 h AS (SELECT source, count(*) AS n_docs, {fails} FROM c WHERE source IS NOT NULL GROUP BY source),
 p AS (SELECT {moments} FROM h),
-v AS (SELECT source, {worst} <= 0.5 AS ok FROM h, p),
+v AS (SELECT source, {fits} AS ok FROM h, p),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(ok, true) AS kept
@@ -158,7 +161,8 @@ FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN ends ON p.r = ends.
 _PHRASES = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
 sums AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
