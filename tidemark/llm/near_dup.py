@@ -58,34 +58,41 @@ def shingle_sets(piece: X.Piece, size: int) -> list[np.ndarray]:
 
 
 def _sketch_batch(batch: pa.RecordBatch, shingle: int, k: int):
-    keys, texts = batch.columns
+    keys, codes, texts = batch.columns
     for piece in X.pieces(texts):
         sets = shingle_sets(piece, shingle)
         ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         sketches = [s[:k] for s in sets]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sketches])])
+        at = slice(piece.first, piece.first + piece.rows)
         yield pa.RecordBatch.from_arrays(
             [
-                keys[piece.first : piece.first + piece.rows],
+                keys[at],
+                codes[at],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(ids, pa.binary()),
                 X.lists(np.concatenate(sketches), bounds),
             ],
-            ["key", "n", "set_id", "sketch"],
+            ["key", "code", "n", "set_id", "sketch"],
         )
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """Per row: ``key``, set size ``n``, a 128-bit id of the whole set (null if empty), bottom-k sketch."""
+    """Per row: ``key``, ``code`` of the text, set size ``n``, a 128-bit id of the whole set (null if empty), bottom-k sketch."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text))
+    rows = docs.select(F.col(key).alias("key"), _code(text), F.col(text))
     return X.map_text(
         rows,
         lambda batch: _sketch_batch(batch, shingle, k),
-        f"key {kind}, n long, set_id binary, sketch array<bigint>",
+        f"key {kind}, code long, n long, set_id binary, sketch array<bigint>",
     )
 
 
+def _code(text: str) -> Column:
+    """A hash that tells apart the texts of one key."""
+    return F.xxhash64(F.col(text).cast("string")).alias("code")
+
+
 def _similar_size(a: str, b: str, percent: int) -> Column:
     """Sizes that allow the similarity at all."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
@@ -238,9 +245,18 @@ def near_duplicates(
     Documents are linked if ``100 * intersection >= percent * union``; ``component_id`` is the smallest
     key reachable. Documents without words are linked with nothing. Equal sets are one node, so exact
     copies never meet in a pair. Rows without a key follow an equal set that has one, and are kept alone
-    otherwise. Rows that repeat a key are one document. Other columns are not read.
+    otherwise. Rows that repeat a key are one document; if their texts differ, the one with the smallest hash is its text, and
+    all have its component. Other columns are not read, and an empty table gives no rows.
     """
-    rows = materialize(sketches(docs, key, text, shingle, k), "sketches")
+    every = materialize(sketches(docs, key, text, shingle, k), "sketches")
+    repeated = every.where("key IS NOT NULL AND set_id IS NOT NULL").groupBy("key").agg(
+        F.min("code").alias("first"), F.count("*").alias("copies")
+    )
+    repeated = materialize(repeated.where("copies > 1").select("key", "first"), "repeated-keys")
+    repeats = not repeated.isEmpty()
+    rows = every
+    if repeats:
+        rows = every.join(repeated, "key", "left").where("first IS NULL OR code = first").drop("first")
     classes = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("key").alias("node"), F.count("*").alias("copies")
     )
@@ -249,6 +265,11 @@ def near_duplicates(
     nodes = rows.join(named, ["set_id", "key"], "left_semi").select(F.col("key").alias("node"), "n", "sketch")
     nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if repeats:
+        # One text a key, however often its row is repeated.
+        again = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _code(text)).join(repeated, "key")
+        once = again.where("code = first").select("key", "text").dropDuplicates(["key"])
+        texts = texts.join(repeated, "key", "left_anti").union(once)
 
     lists = materialize(_lists(nodes), "lists")
     hubs = lists.groupBy("value").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
@@ -283,9 +304,15 @@ def near_duplicates(
     )
     out = rows.drop("sketch").join(placed, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.coalesce("component_id", "key"))
+    out = out.select("key", "n", component.alias("component"))
+    if repeats:
+        # The other texts of a key go where its first one is.
+        own = out.join(repeated.select("key"), "key", "left_semi").groupBy("key").agg(F.min("component").alias("component"))
+        others = every.join(repeated, "key").where("code <> first")
+        out = out.union(others.join(own, "key").select("key", "n", "component"))
     return out.select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("key").eqNullSafe(component).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("component")).alias("kept"),
     )
