@@ -114,15 +114,15 @@ def _block(rows: list) -> Block:
     return Block(vocabulary, maybe, phrases)
 
 
-def blocks(found: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """The distinct windows in blocks; each reaches the driver alone and is of bounded size."""
+def blocks(found: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Iterator[tuple[Block, bool]]:
+    """The distinct windows in blocks, and whether a block is the last; each reaches the driver alone and is of bounded size."""
     distinct = found.select("size", "window", "words").dropDuplicates(["window"])
     distinct = materialize(distinct, "windows")
     total = distinct.count()
     number = max(1, -(-total // block_windows))
     part = F.pmod(F.xxhash64("window"), F.lit(number))
     for k in range(number):
-        yield _block(distinct.where(part == k).collect())
+        yield _block(distinct.where(part == k).collect()), k == number - 1
 
 
 class Shard:
@@ -240,13 +240,19 @@ def _collect(width: int, names: list[str]) -> Callable:
     return emit
 
 
-def _through(rows: DataFrame, parts: list[Block], at: int) -> DataFrame:
-    """``rows`` with the occurrences of all blocks but the last in three more columns."""
+def _through(rows: DataFrame, found: DataFrame, block_windows: int, at: int) -> tuple[DataFrame, Block]:
+    """``rows`` with the occurrences of all blocks but the last in three more columns, and the last block.
+
+    One block at a time is on the driver: with several, the rows are written once per block before the next one comes.
+    """
     width = len(rows.columns)
-    for block in parts[:-1]:
+    for block, last in blocks(found, block_windows):
+        if last:
+            return rows, block
         schema = T.StructType([*rows.schema.fields[:width], *_FOUND])
-        rows = rows.mapInArrow(_sharded(block, at, _collect(width, schema.names)), schema)
-    return rows
+        rows = materialize(rows.mapInArrow(_sharded(block, at, _collect(width, schema.names)), schema), "searched")
+        del block
+    raise AssertionError("there is always a last block")
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -298,9 +304,9 @@ def contamination(
     kind = docs.schema[key].dataType.simpleString()
     X.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    parts = list(blocks(found, block_windows))
-    hits = _through(rows, parts, 1).mapInArrow(
-        _sharded(parts[-1], 1, _report),
+    rows, block = _through(rows, found, block_windows, 1)
+    hits = rows.mapInArrow(
+        _sharded(block, 1, _report),
         f"key {kind}, n_words long, n_hit long, spans array<struct<start:int,end:int>>, "
         "windows array<bigint>, hit_set binary",
     )
@@ -329,7 +335,11 @@ def scrub(
     size: int = WINDOW,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """``docs`` with every removal span cut out of its text; rows without one pass unchanged."""
+    """``docs`` with every removal span cut out of its text; rows without one pass unchanged.
+
+    Null and empty texts stay what they are, repeated rows stay repeated, other columns are kept as they are, and an empty
+    table or benchmark changes nothing.
+    """
     found = materialize(windows(benchmark, item, item_text, size), "item-windows")
     X.small_batches(docs.sparkSession)
     at, width = docs.columns.index(text), len(docs.columns)
@@ -345,5 +355,6 @@ def scrub(
                 texts[row] = texts[row][:a] + texts[row][b:]
         return kept.set_column(at, batch.schema.names[at], pa.array(texts, kind))
 
-    parts = list(blocks(found, block_windows))
-    return _through(docs, parts, at).mapInArrow(_sharded(parts[-1], at, cut), docs.schema)
+    schema = docs.schema
+    rows, block = _through(docs, found, block_windows, at)
+    return rows.mapInArrow(_sharded(block, at, cut), schema)
