@@ -87,6 +87,20 @@ def test_quality_counts(edges):
     assert found[11].n_symbols == 300 and found[11].n_repeat_words == 500 and found[11].base_failed
 
 
+def test_hosts_beyond_the_prior_are_rejected_and_tiny_ones_spared(spark):
+    """A hundred usual hosts, one where most documents are short, and one with a single document, which is short."""
+    data = [(f"h{h}", "short" if k == 0 else prose(k, 60)) for h in range(100) for k in range(50)]
+    data += [("bad", "short" if k % 5 < 3 else prose(k, 60)) for k in range(300)] + [("tiny", "short"), (None, prose(1, 60))]
+    table = spark.createDataFrame([(k, t, "en", h, 0) for k, (h, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = host_quality.judge(table).groupBy(F.element_at(F.array(*[F.lit(h) for h, _ in data]), (F.col("doc_id") + 1).cast("int")).alias("h"))
+    kept = {r.h: r.kept for r in found.agg(F.min("host_kept").alias("kept")).collect()}
+    assert [h for h, k in kept.items() if not k] == ["bad"]
+    wide = host_quality.judge(table, max_rate=0.9, spread=6.0).where("NOT host_kept")
+    assert wide.isEmpty()
+    by_host_only = host_quality.judge(table).where("NOT base_failed AND NOT kept").count()
+    assert by_host_only == 120
+
+
 def test_language_of_texts_without_letters(edges):
     found = {r.doc_id: r for r in langid.predict(edges, langid.fit(edges, F.lit(True))).collect()}
     assert {found[k].lang_pred for k in (3, 4, 5)} == {"und"} and found[4].score == 0

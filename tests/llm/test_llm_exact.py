@@ -104,6 +104,32 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert len({v for v in want.values()}) < len(texts) - 50
 
 
+def test_a_row_repeated_thousands_of_times_is_one_node(spark, monkeypatch):
+    base = words(1, 150)
+    near, seen, confirmed = edited(base, 0.01, 5), [], near_dup._confirmed
+    rows = [(1, " ".join(base), "en", "s", 0)] * 2000 + [(2, near, "en", "s", 0)] * 2000 + [(3, prose(9, 80), "en", "s", 0)]
+    monkeypatch.setattr(near_dup, "_confirmed", lambda *a: seen.append(confirmed(*a)) or seen[-1])
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 2000), (2, 1, 2000), (3, 3, 1)]
+    assert sum(df.count() for df in seen) == 1
+
+
+def test_different_texts_of_one_key_do_not_depend_on_the_layout(spark):
+    base = words(1, 150)
+    rows = [(1, " ".join(base), "en", "s", 0), (1, prose(2, 100), "en", "s", 0), (1, "", "en", "s", 0)]
+    rows += [(5, edited(base, 0.01, 5), "en", "s", 0), (6, prose(2, 100), "en", "s", 0), (7, edited(words(2, 100), 0.01, 1), "en", "s", 0)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    results = {
+        tuple(sorted(map(tuple, near_dup.near_duplicates(t).collect())))
+        for t in (table.coalesce(1), table.repartition(5), table.orderBy(F.desc("doc_id"), F.desc("text")))
+    }
+    assert len(results) == 1
+    (found,) = results
+    # All rows of a key have one component, and the texts it shares with other keys still link those.
+    assert {c for k, _, c, _ in found if k == 1} == {1}
+    assert {c for k, _, c, _ in found if k in (6, 7)} in ({1}, {6})
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 140)] + [(139, 200), (300, 300)]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
@@ -200,12 +226,13 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
 
 
-rough = st.text(st.sampled_from(list("ab 'stremld\n\t.!1é×²中\x1f ")), max_size=50)
+# Among them the string of a token that is taken out of a text before it is split, whole and in parts.
+rough = st.lists(
+    st.sampled_from([*"ab 'stremld\n\t.!1é×²中\x1f ", "<|endoftext|>", "<|", "endoftext", "|>"]), max_size=50
+).map("".join)
 
 
 @settings(max_examples=150, deadline=None)
@@ -219,6 +246,19 @@ def test_ids_equal_the_tokenizers(texts, tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_rows_with_the_string_of_a_token_and_a_full_cache(tokenizer, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "CACHE_IDS", 40)
+    texts = ["a <|endoftext|> b", "a <|", "endoftext|> b", prose(1, 60), "<|endoftext|>" * 3, "", prose(2, 60)]
+    encoder = tokens.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    for size in (1, 30, 1 << 20):
+        for piece in textops.pieces(pa.array(texts), size):
+            for k, ids in enumerate(encoder.rows(piece)):
+                assert ids.tolist() == tokenizer.encode(texts[piece.first + k], add_special_tokens=False).ids
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def check_packing(found, ids, length):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in found:
@@ -288,6 +328,25 @@ def leaks(spark):
     return docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
 
 
+def test_one_block_of_windows_at_a_time(leaks, monkeypatch):
+    import gc
+    import weakref
+
+    table, items = leaks
+    made, alive, block = [], [], decontam._block
+
+    def counted(rows):
+        gc.collect()
+        alive.append(sum(ref() is not None for ref in made))
+        found = block(rows)
+        made.append(weakref.ref(found))
+        return found
+
+    monkeypatch.setattr(decontam, "_block", counted)
+    decontam.contamination(table, items, block_windows=20)
+    assert len(alive) > 2 and max(alive) == 0
+
+
 def test_blocks_and_shards_do_not_change_the_result(leaks, monkeypatch):
     table, items = leaks
     whole = sorted(map(str, decontam.contamination(table, items).collect()))
@@ -331,6 +390,56 @@ def test_texts_unlike_any_learned_are_rejected(spark):
     assert found[0].rejected and found[0].lang_pred == "en" and not found[1].rejected
 
 
+def test_language_scores_equal_a_plain_count(spark):
+    """N-grams, weights and cosines once more, one at a time."""
+    texts = [prose(k, 5 + 3 * k) + t for k, t in enumerate(["", "!", " É", " 12 a", "中文 x", "  A  b"] * 4)]
+    table = docs(spark, texts)
+    model = langid.fit(table, F.lit(True), centroids=2)
+
+    def vector(text):
+        folded = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in text.translate(LOWER).encode())
+        folded = b" " + b" ".join(folded.split()) + b" " if folded.split() else b" "
+        out = np.zeros(langid.SLOTS)
+        for n in (1, 2, 3):
+            for i in range(len(folded) - n + 1):
+                code = (int.from_bytes(folded[i : i + n], "big") + (n << 24)) * 2654435761 % (1 << 32)
+                out[code >> 20] += 1
+        weighted = np.log1p(out) * model.idf
+        return weighted / np.linalg.norm(weighted)
+
+    found = {r.doc_id: r for r in langid.predict(table, model).collect()}
+    for k, t in enumerate(texts):
+        cosine = model.centroids @ vector(t)
+        assert found[k].score == pytest.approx(min(1, cosine.max()), abs=1e-5)
+        assert found[k].rejected == (found[k].score < model.radius[cosine.argmax()])
+
+
+def test_a_row_repeated_thousands_of_times_is_learned_once(spark):
+    rows = [(k, prose(k, 60), "en" if k % 2 else "de", "s", 0) for k in range(40)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    many = spark.createDataFrame(rows + rows[:1] * 3000, SCHEMA)
+    one, other = (langid.fit(t, F.lit(True), fit_rows=30) for t in (plain, plain.union(plain.where("doc_id = 0"))))
+    assert one.centroids.shape == other.centroids.shape
+    labels = spark.createDataFrame([(k, 1, k % 3 == 0) for k in range(40)], "doc_id long, quality int, toxic boolean")
+    first, again = (toxicity.fit(t, labels, F.lit(True)) for t in (plain, many.repartition(7)))
+    assert first.bias == again.bias and (first.slots == again.slots).all() and (first.vectors == again.vectors).all()
+
+
+def test_toxicity_scores_equal_a_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    texts = [prose(k, 12) for k in range(20)] + ["", "word", "word word"]
+    (piece,) = textops.pieces(pa.array(texts), 1 << 30)
+    rows, slots = toxicity.terms(piece)
+    known = np.unique(slots)[::2]
+    machine = toxicity.Machine(0.3, known, rng.normal(size=len(known)), rng.normal(size=(len(known), 3)) / 5)
+    place = {s: k for k, s in enumerate(known.tolist())}
+    for k, score in enumerate(machine.scores(piece)):
+        own = [place[s] for s in sorted(set(slots[rows == k].tolist())) if s in place]
+        total = 0.3 + sum(machine.weights[a] for a in own)
+        total += sum(machine.vectors[a] @ machine.vectors[b] for i, a in enumerate(own) for b in own[:i])
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def toxic_rows(n: int, seed: int):
     """Toxic if it holds an insult, or both halves of a pair that are harmless alone."""
     rng = random.Random(seed)

@@ -164,7 +164,8 @@ def fit(
         centres, radius = cluster(np.stack(group["point"].to_numpy()).astype(np.float32), centroids)
         return pd.DataFrame({"label": group["label"].iloc[0], "centre": list(centres), "radius": radius})
 
-    sample = rows.where(chosen).select(part.alias("rank"), "label", "text")
+    # Rows that repeat key and text are one; without that all of them would pass the hash.
+    sample = rows.where(chosen).select(part.alias("rank"), "label", "text").distinct()
     points = X.map_text(sample, embed, "rank long, label string, point array<float>")
     fitted = points.groupBy("label").applyInPandas(grouped, "label string, centre array<float>, radius double")
     fitted = sorted(materialize(fitted, "centroids").collect(), key=lambda r: (r["label"], r["centre"]))

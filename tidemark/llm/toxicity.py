@@ -17,7 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,7 +143,8 @@ def fit(
 ) -> Machine:
     """Learn from documents with a non-null label where ``train_on``, a condition on the key, holds.
 
-    A key labelled several times counts with its largest label. Without labelled rows all scores are 0.5.
+    A key labelled several times counts with its largest label, and rows that repeat a key are one example with the
+    first of their texts. Without labelled rows all scores are 0.5.
     """
     known = labels.where(train_on & F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
@@ -152,8 +153,11 @@ def fit(
     share = int(min(1.0, 1.1 * fit_rows / max(number, 1)) * (1 << 30))
     # At most fit_rows rows of two numbers: small enough to hand to every task.
     chosen = known.where(rank < share).withColumn("rank", rank).orderBy("rank", "key").limit(fit_rows)
-    chosen = materialize(chosen, "labels")
+    # Numbered, so that the order of the examples is the same on any layout.
+    place = F.row_number().over(Window.orderBy("rank", "key")).cast("long")
+    chosen = materialize(chosen.select("key", "label", place.alias("rank")), "labels")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("rank", "label").agg(F.min("text").alias("text"))
 
     def slots_of(batch: pa.RecordBatch):
         for piece in X.pieces(batch.column(2)):
