@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +130,9 @@ def file_numbers(spark: SparkSession, path: str) -> DataFrame:
     """``file`` and its ``number`` in the order of names; from the listing alone, one row a file."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     names = sorted(r[0] for r in listing.select("_metadata.file_path").collect())
-    return spark.createDataFrame([(name, k) for k, name in enumerate(names)], "file string, number int")
+    # From Arrow it is a local relation of known size, so that Catalyst can send it to the scan.
+    numbers = pa.table({"file": pa.array(names, pa.string()), "number": pa.array(range(len(names)), pa.int32())})
+    return spark.createDataFrame(numbers)
 
 
 def _with_file_order(raw: DataFrame, name: str, path: str) -> DataFrame:
