@@ -99,7 +99,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
-        self.starts, self.pool, self.used = [0], np.empty(1 << 16, np.uint32), 0
+        # Where the ids of each known part begin in the pool, and where the last ones end.
+        self.starts, self.pool, self.used = np.zeros(1 << 12, np.int64), np.empty(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: list[int], parts: list[str]) -> None:
         for code, found in zip(hashes, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
@@ -108,8 +109,10 @@ class Encoder:
                 self.pool = np.concatenate([self.pool, np.empty(len(self.pool) + len(ids), np.uint32)])
             self.pool[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.index[code] = len(self.starts) - 1
-            self.starts.append(self.used)
+            self.index[code] = number = len(self.index)
+            if number + 2 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+            self.starts[number + 1] = self.used
 
     def rows(self, piece: X.Piece) -> list[np.ndarray]:
         """The ids of each row."""
@@ -134,12 +137,7 @@ class Encoder:
             parts = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())]
             self._learn([codes[k] for k in new], parts)
         entry = np.fromiter((self.index[c] for c in codes), np.int64, len(codes))
-        pool_start = np.array(self.starts, np.int64) if len(codes) > len(self.starts) // 4 else None
-        if pool_start is None:
-            low = np.fromiter((self.starts[k] for k in entry.tolist()), np.int64, len(entry))
-            high = np.fromiter((self.starts[k + 1] for k in entry.tolist()), np.int64, len(entry))
-        else:
-            low, high = pool_start[entry], pool_start[entry + 1]
+        low, high = self.starts[entry], self.starts[entry + 1]
         size = (high - low)[which]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(low[which] - total[:-1], size) + np.arange(total[-1])]
