@@ -1,5 +1,7 @@
 """Each operator on nulls, empty and very long texts, ties, repeated rows, no rows and clashing columns."""
 
+import gzip
+
 import pytest
 from cases import edge_rows, prose, rows
 from pyspark.sql import functions as F
@@ -180,6 +182,35 @@ def test_no_pages_make_no_archives(pages):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_a_page_repeated_often_has_an_id_for_each_row(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TOGETHER", 50)
+    big = "<p>" + "b" * 2000
+    data = [(7, "https://a.org/7", big)] * 2000 + [(k, f"https://a.org/{k}", big) for k in range(7)]
+    data += [(None, None, big)] * 300
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    found = warc.round_trip(pages)
+    assert found.select("capture").distinct().count() == found.count() == 2307
+    got = found.groupBy("page_id", "record_type", "refers_to", "request.target_uri").count().collect()
+    assert {tuple(r)[:3]: r["count"] for r in got if r.page_id == 7} == {(7, "response", None): 2000}
+    assert all(tuple(r)[1:3] == ("revisit", 7) for r in got if r.page_id != 7)
+    assert sum(r["count"] for r in got if r.page_id is None) == 300
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    sizes = {k: 5_000_000 if k % 40 == 0 else 100_000 if k % 5 == 0 else 900 for k in range(200)}
+    data = [(k, f"https://a.org/{k}", prose(k, 300)[: min(n, 900)] + "x" * (n - 900)) for k, n in sizes.items()]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(2)
+    found = warc.round_trip(pages, path=str(tmp_path / "archives"))
+    assert {r.page_id: r.payload_bytes for r in found.select("page_id", "payload_bytes").collect()} == {
+        k: len(h) for k, _, h in data
+    }
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "archives").rglob("*.gz")]
+    assert sum(len(f) > 1 << 20 for f in files) == 5
+    assert all(f.count(b"WARC-Type: response") == 1 for f in files if len(f) > 1 << 20)
+    assert len(files) < 40
+
+
 def test_addresses_of_edge_rows(spark, pages, clashing):
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     found = url_filter.judge_urls(pages, rules)

@@ -23,6 +23,14 @@ from tidemark.session import materialize, scratch_path
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 9000
+#: An archive is read as one value, so its bytes before compression are bounded too.
+ARCHIVE_BYTES = 64 << 20
+#: Captures below 2 ** 14 bytes count as that; the headers of one take less than ``HEAD_BYTES``.
+SMALLEST = 14
+HEAD_BYTES = 4096
+#: About so many pages of one key and payload are numbered together.
+TOGETHER = 1000
+SEED = 8
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -44,26 +52,59 @@ def _record(kind: Column, headers: list[tuple[str, Column]], block: Column) -> C
 
 
 def captures(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Each page with its payload's digest and size, and the page that it revisits, if any."""
+    """Each page with the digest and size of its payload, the page that it revisits, if any, and its ``id``.
+
+    Only narrow rows are grouped by digest; payloads move at most to meet a large table of marks. Pages of one key
+    and payload need different ids: those that repeat are numbered in ``spread`` parts of about ``TOGETHER`` rows,
+    and the first row of part 0 has the id that revisits name.
+    """
     rows = pages.select(
-        F.col(key).cast("string").alias("page"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"),
         F.col(key).alias("order"),
         F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("payload"),
+        F.rand(SEED).alias("at"),
     )
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
-    # Only narrow rows meet by digest; a payload of many pages is combined before the shuffle.
-    narrow = rows.where(F.col("size") >= REVISIT_BYTES).select("page", "order", "digest")
-    groups = narrow.groupBy("digest").agg(
-        F.max("order").alias("last"), F.count("*").alias("n"), F.count("order").alias("named")
+    known = rows.groupBy("name", "digest").agg(
+        F.max("order").alias("order"), F.max("size").alias("size"), F.count("*").alias("n")
     )
-    groups = groups.where("n > 1 AND named > 0").select("digest", "last")
-    later = narrow.join(groups, "digest").where("order IS NULL OR order <> last").distinct()
-    later = later.select(
-        F.coalesce("page", F.lit("")).alias("name"), "digest", F.col("last").cast("string").alias("refers")
+    known = materialize(known, "payloads")
+    groups = known.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
+        F.max("order").alias("last"), F.count("*").alias("names")
     )
-    rows = rows.withColumn("name", F.coalesce("page", F.lit("")))
-    return rows.join(later, ["name", "digest"], "left").drop("order")
+    # A key that is alone with its payload refers to nothing; neither do payloads without any key.
+    groups = groups.where("names > 1 AND last IS NOT NULL").select("digest", "last")
+    marks = known.join(groups, "digest", "left").select(
+        "name",
+        "digest",
+        F.when(F.col("order").isNull() | (F.col("order") != F.col("last")), F.col("last").cast("string")).alias("refers"),
+        F.ceil(F.col("n") / TOGETHER).alias("spread"),
+        (F.col("n") > 1).alias("repeated"),
+    )
+    marks = materialize(marks.where("refers IS NOT NULL OR repeated"), "marks")
+    rows = rows.join(marks, ["name", "digest"], "left")
+    repeated = F.coalesce("repeated", F.lit(False))
+    ids = _record_id(F.col("name"), F.col("digest"), F.lit("1"))
+    out = rows.where(~repeated).withColumn("id", ids)
+    if not marks.where("repeated").isEmpty():
+        part = F.floor(F.col("at") * F.col("spread"))
+        number = F.row_number().over(Window.partitionBy("name", "digest", part).orderBy("at"))
+        number = F.when(part == 0, number.cast("string")).otherwise(F.concat_ws("-", part, number))
+        out = out.union(rows.where(repeated).withColumn("id", _record_id(F.col("name"), F.col("digest"), number)))
+    return out.withColumn("page", F.col("order").cast("string")).drop("order", "at", "spread", "repeated", "name")
+
+
+def _archive(cost: Column) -> Column:
+    """A part of its task's captures that holds at most ``ARCHIVE_BYTES``, or one larger capture.
+
+    Captures are classed by powers of two of their bytes. So many neighbouring rows of a task make a part as may all
+    be as large as their class allows.
+    """
+    size = F.greatest(F.lit(SMALLEST), F.ceil(F.log2(cost))).cast("int")
+    each = F.greatest(F.lit(1.0), F.lit(float(ARCHIVE_BYTES)) / F.pow(F.lit(2.0), size))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.concat_ws("-", size, F.floor(row / F.floor(each)))
 
 
 def write_archives(
@@ -79,12 +120,14 @@ def write_archives(
 
     Of pages with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the largest key is a
     response and the others revisit it; smaller payloads are always responses. A page without a key revisits
-    a page that has one. Null payloads are empty; repeated rows are captures of their own.
+    a page that has one. Null payloads are empty; repeated rows are captures of their own. An archive holds at most
+    ``records_per_file`` records and ``ARCHIVE_BYTES`` bytes, but for one capture that is larger. No pages give no
+    archives.
     """
     rows = captures(pages, key, url, html)
-    again = F.row_number().over(Window.partitionBy("name", "digest").orderBy("url")).cast("string")
-    rows = rows.withColumn("id", _record_id(F.col("name"), F.col("digest"), again))
     revisit = F.col("refers").isNotNull()
+    cost = F.when(revisit, 0).otherwise(F.col("size")) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES
+    rows = rows.withColumn("part", _archive(cost))
     target = F.when(revisit, _record_id(F.col("refers"), F.col("digest"), F.lit("1")))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
@@ -125,9 +168,9 @@ def write_archives(
         ],
         F.concat(F.concat_ws(END, *fields), F.lit(END)),
     )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    records = rows.select("part", F.explode(F.array(request, response, metadata)).alias("value"))
     options = {"lineSep": END * 2, "compression": "gzip", "maxRecordsPerFile": str(records_per_file)}
-    records.write.options(**options).text(path)
+    records.write.options(**options).partitionBy("part").text(path)
 
 
 def parse_records(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
