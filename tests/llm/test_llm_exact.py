@@ -600,6 +600,24 @@ def test_rules_equal_brute_force(spark, urls, rules):
         assert got[k][1] == want
 
 
+def test_the_filter_of_a_long_list_passes_little_else(spark):
+    listed = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".org/")).alias("entry"))
+    blocks = 1_000_000 * url_filter.BITS_PER_ENTRY // 64
+    words = url_filter.bloom_filter(listed, blocks)
+    assert 200_000 < words.count() <= blocks
+    assert url_filter.possible(listed.where("entry < 'h2'"), words, blocks).count() == listed.where("entry < 'h2'").count()
+    others = spark.range(100_000).select(F.concat(F.lit("g"), "id", F.lit(".org/")).alias("entry"))
+    assert url_filter.possible(others, words, blocks).count() < 2_000
+
+
+def test_addresses_under_very_many_rules(spark):
+    rules = spark.range(300_000).selectExpr("concat('h', id, '.org') AS host", "'/a/' AS path", "'block' AS verdict")
+    pages = spark.range(2_000).selectExpr("id AS page_id", "concat('https://x.h', id * 300, '.org/a/', id) AS url")
+    found = url_filter.judge_urls(pages, rules)
+    got = {r.page_id: r.rule for r in found.collect()}
+    assert got == {k: f"h{k * 300}.org/a/" if k * 300 < 300_000 else None for k in range(2_000)}
+
+
 # --- pipeline ---
 
 

@@ -2,7 +2,7 @@
 
 A listed entry is a host and the beginning of a path. A URL has few entries that can fit it: the ends of
 its host at the dots, with the beginnings of its path of the lengths that the list has. A blocked Bloom filter of
-the list, one 64-bit word a block, takes out nearly all that are not listed; an exact join removes the rest.
+the list, a table of 64-bit words by block, takes out nearly all that are not listed; an exact join removes the rest.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 BITS_PER_ENTRY = 16
 BITS_SET = 4
-#: The filter never takes more than 2 ** 16 words, half a megabyte; longer lists only pass more to the join.
-MAX_BLOCKS = 1 << 16
+FEWEST_BLOCKS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,7 +27,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def _block(entry: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(entry), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(entry), F.lit(blocks).cast("long"))
 
 
 def _mask(entry: Column) -> Column:
@@ -42,13 +41,16 @@ def _mask(entry: Column) -> Column:
 
 
 def bloom_filter(entries: DataFrame, blocks: int) -> DataFrame:
-    """One row with one word per block: the bits of all entries that fall into it."""
+    """``block`` and ``word``, the bits of all entries that fall into the block; empty blocks have no row."""
     words = entries.select(_block(F.col("entry"), blocks).alias("block"), _mask(F.col("entry")).alias("bits"))
-    words = words.groupBy("block").agg(F.bit_or("bits").alias("bits"))
-    every = entries.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    words = every.join(words, "block", "left").select("block", F.coalesce("bits", F.lit(0)).alias("bits"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "bits")))
-    return words.agg(F.transform(ordered, lambda x: x["bits"]).alias("words"))
+    return words.groupBy("block").agg(F.bit_or("bits").alias("word"))
+
+
+def possible(tried: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``tried`` whose ``entry`` may be listed: all bits of it are set in its block's word."""
+    mask = _mask(F.col("entry"))
+    rows = tried.withColumn("block", _block(F.col("entry"), blocks)).join(words, "block")
+    return rows.where(F.col("word").bitwiseAND(mask) == mask).select(tried.columns)
 
 
 def judge_urls(
@@ -59,7 +61,9 @@ def judge_urls(
     ``rules`` has ``host``, ``path`` and ``verdict``. A rule fits its host and all below it if the URL's path
     begins with the rule's. The longest rule wins, among equally long ones that with the longer host; a
     rule listed twice counts with its smallest verdict. Without a rule the verdict is ``default``: such a URL is
-    not listed. Null and malformed URLs have empty host and path; other columns are not read.
+    not listed. Null and malformed URLs have empty host and path; other columns are not read. Repeated rows are
+    judged alike and stay; no pages give no rows, no rules the default for all. The filter grows with the list and
+    is joined by block, so Spark broadcasts a short one and shuffles a long one.
     """
     listed = rules.select(
         F.translate("host", _UPPER, _LOWER).alias("host"), F.col("path"), "verdict"
@@ -73,8 +77,7 @@ def judge_urls(
     shape = listed.agg(
         F.count("*").alias("n"), F.max("labels").alias("labels"), F.collect_set("path_size").alias("sizes")
     ).first()
-    blocks = min(MAX_BLOCKS, max(64, shape["n"] * BITS_PER_ENTRY // 64))
-    words = bloom_filter(listed, blocks).scalar()
+    blocks = max(FEWEST_BLOCKS, shape["n"] * BITS_PER_ENTRY // 64)
 
     host, path = url_parts(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
@@ -88,9 +91,7 @@ def judge_urls(
     starts = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     tried = F.flatten(F.transform(ends, lambda end: F.transform(starts, lambda start: F.concat(end, start))))
     tried = names.select("host", "path", F.explode(tried).alias("entry"))
-    word, mask = F.element_at(words, _block(F.col("entry"), blocks) + 1), _mask(F.col("entry"))
-    possible = tried.where(word.bitwiseAND(mask) == mask)
-    fits = possible.join(listed, "entry")
+    fits = possible(tried, bloom_filter(listed, blocks), blocks).join(listed, "entry")
     best = fits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("entry").alias("size"), "host_size", "entry", "verdict")).alias("best")
     )
