@@ -760,13 +760,14 @@ def top_importances(spark, sf_dir):
 # --- analytics -----------------------------------------------------------------------------------
 
 
-def _labelled_features(spark, sf_dir) -> DataFrame:
-    return stored_features(spark, sf_dir)
+def _features_once(spark, sf_dir) -> DataFrame:
+    """The feature table for one pass: what the pass does not read is not computed."""
+    return feature_table(_tables(spark, sf_dir))
 
 
 @query
 def class_profile(spark, sf_dir):
-    return analytics.class_profile(_labelled_features(spark, sf_dir))
+    return analytics.class_profile(_features_once(spark, sf_dir))
 
 
 @query
@@ -777,18 +778,18 @@ def daily_activity_by_class(spark, sf_dir):
 
 @query
 def risk_lift(spark, sf_dir):
-    return analytics.risk_lift(_labelled_features(spark, sf_dir))
+    return analytics.risk_lift(_features_once(spark, sf_dir))
 
 
 @query
 def top_risk_countries(spark, sf_dir):
-    return analytics.top_risk_countries(_labelled_features(spark, sf_dir))
+    return analytics.top_risk_countries(_features_once(spark, sf_dir))
 
 
 @query
 def churn_reasons(spark, sf_dir):
     """Reasons and actions of the test users, for the class called by the tuned scores."""
-    features = _labelled_features(spark, sf_dir)
+    features = stored_features(spark, sf_dir)
     certain = F.greatest("p0", "p1", "p2").alias("certain")
     called = _tuned_test(spark, sf_dir).select(KEY, decode(F.col("pred")).alias("called"), certain)
     risky = analytics.top_risk_countries(features)
@@ -797,4 +798,4 @@ def churn_reasons(spark, sf_dir):
 
 @query
 def intervention_triggers(spark, sf_dir):
-    return analytics.intervention_triggers(_labelled_features(spark, sf_dir), _events(spark, sf_dir))
+    return analytics.intervention_triggers(stored_features(spark, sf_dir), _events(spark, sf_dir))
