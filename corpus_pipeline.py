@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, near_dup, packing, toxicity
 from tidemark.llm.queries import fold, table
-from tidemark.session import configure, materialize
+from tidemark.session import configure, remove, scratch_path, scratch_space
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -63,8 +63,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; every stage reads what the one before it has written."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to the documents; every stage reads what the one before it has written.
+
+    Scratch tables go with their stage, and a stage's output once the next one is written. What the last
+    stage reads and writes stays, since its rows are still to be read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_space(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

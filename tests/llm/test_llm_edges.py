@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and very long texts, ties, repeated rows, no rows and clashing columns."""
 
 import gzip
+from pathlib import Path
 
 import pytest
 from cases import edge_rows, prose, rows
@@ -23,6 +24,7 @@ from tidemark.llm import (
     warc,
 )
 from tidemark.llm.queries import MANIFEST_COLUMNS, URL_RULES
+from tidemark.session import scratch_space
 
 N = len(edge_rows())
 
@@ -246,3 +248,12 @@ def test_stages_bear_edge_rows_and_other_columns(spark, edges, clashing, folder,
     number = found.count()
     assert number == N if stage in ("line_dedup", "decontamination") else number > 0
     assert STAGES[stage](spark, docs.limit(0), folder).count() == 0
+
+
+def test_a_run_leaves_the_tables_of_its_last_stage_only(spark, edges, folder):
+    edges.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    with scratch_space(spark) as scratch:
+        found = corpus_pipeline.run(spark, folder)
+        assert found.count() > 0
+        left = {p.name.split("-")[0] for p in Path(scratch).iterdir()}
+        assert left == {"decontamination", "pieces"}
