@@ -21,6 +21,7 @@ from tidemark.llm import (
     line_dedup,
     near_dup,
     packing,
+    spread,
     suffix_repeats,
     textops,
     tokens,
@@ -167,8 +168,28 @@ def covered(found, split) -> dict[int, np.ndarray]:
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+def test_a_frequent_key_is_dealt_over_tasks(spark, conf, monkeypatch):
+    """One key with most of the rows, rare ones, one of a side only and a null, against a plain join."""
+    conf(spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1")
+    monkeypatch.setattr(spread, "LEAST_ROWS", 10)
+    rows = spark.range(4000).selectExpr("id", "CASE WHEN id < 3000 THEN 1 WHEN id < 3999 THEN id END AS k")
+    counts = rows.where("k < 3500").groupBy("k").agg(F.count("*").alias("copies"))
+    keys = counts.selectExpr("k", "k * 2 AS twice", "copies").union(spark.range(7000, 7003).selectExpr("id", "id", "1L"))
+    found = spread.spread_join(rows, keys, ["k"], ["id"])
+    assert found.columns == ["k", "id", "twice"]
+    want = rows.join(keys.drop("copies"), "k")
+    assert sorted(found.collect()) == sorted(want.collect())
+    sizes = found.groupBy(F.spark_partition_id().alias("part")).agg(F.count_if(F.col("k") == 1).alias("n"))
+    assert max(r.n for r in sizes.collect()) < 1000
+    assert spread.spread_join(rows, keys.where("false"), ["k"], ["id"]).count() == 0
+    assert spread.spread_join(rows.where("false"), keys, ["k"], ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("least", [2, 256])
+def test_repeats_equal_brute_force(spark, monkeypatch, least):
     """Passages of lengths around the least, alone and many times, at both ends and inside."""
+    monkeypatch.setattr(spread, "LEAST_ROWS", least)
+    monkeypatch.setattr(spread, "PARTS", 4 * least)
     texts = []
     for k in range(60):
         passage = prose(1000 + k % 6, 45 + 2 * (k % 6))

@@ -9,7 +9,8 @@ Only suffixes whose first ``SEED`` words occur in another document go on. Those
 sorted by what follows, range-partitioned so that a frequent passage spreads over tasks, neighbours are
 compared, and matches are extended left and right. A suffix may match a third one better on the left than
 its neighbours; where a seed has more than two of these suffixes, all windows of ``LEAST`` words around it
-are counted. No step looks at pairs other than neighbours.
+are counted. No step looks at pairs other than neighbours. Seeds and contexts of very many documents are
+dealt over many tasks wherever suffixes are joined on them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as X
+from tidemark.llm.spread import spread_join
 from tidemark.session import materialize
 
 LEAST = 50
@@ -205,10 +207,11 @@ def _windows(suffixes: DataFrame) -> DataFrame:
     each = each.where((F.size("left") >= d) & (F.size("right") >= SIDE - d))
     code = F.xxhash64("seed", "d", F.slice("left", F.lit(1), d), F.slice("right", F.lit(1), SIDE - d))
     each = each.select("key", "at", "d", "seed", code.alias("code"))
-    both = each.groupBy("seed", "code").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    # As a table, so that the join can split the rows of a very frequent window.
-    both = materialize(both, "windows")
-    return each.join(both, ["seed", "code"]).select(
+    both = each.groupBy("seed", "code").agg(
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("copies")
+    )
+    both = materialize(both.where("lo <> hi"), "windows")
+    return spread_join(each, both, ["seed", "code"], ["key", "at"]).select(
         "key",
         "at",
         d.alias("left"),
@@ -259,16 +262,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     own = own.dropDuplicates(["key"])
     suffixes = own.select("key", F.explode(F.arrays_zip("at", "seed", "around")).alias("s")).select("key", "s.*")
 
-    seeds = suffixes.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    # As a table, so that the join can split the rows of a very frequent seed.
-    seeds = materialize(seeds.select("seed"), "seeds")
-    candidates = materialize(suffixes.join(seeds, "seed"), "candidates")
+    copies = F.count("*").alias("copies")
+    seeds = suffixes.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), copies)
+    seeds = materialize(seeds.where("lo <> hi").select("seed", "copies"), "seeds")
+    candidates = materialize(spread_join(suffixes, seeds, ["seed"], ["key", "at"]), "candidates")
     alike = candidates.groupBy("seed", "around").agg(
-        F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("at", "key").alias("lo_at")
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("at", F.struct("key", "at")).alias("lo_at"), copies
     )
     alike = materialize(alike, "alike")
+    groups = alike.where("lo <> hi")
     lengths = texts.select(F.col("lo").alias("key"), "n_words")
-    settled = candidates.join(alike.where("lo <> hi").select("seed", "around", "lo", "hi"), ["seed", "around"])
+    context = ["seed", "around"]
+    settled = spread_join(candidates, groups.select(*context, "lo", "hi", "copies"), context, ["key", "at"])
     settled = settled.join(lengths, "key").select(
         "key",
         "at",
@@ -280,11 +285,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     settled = settled.where(F.col("left") + F.col("right") >= LEAST - SEED)
 
     # The rest, and one suffix of each settled group with the same seed to compare it with.
+    first = [F.col("lo").alias("key"), F.col("lo_at").alias("at"), "seed"]
     single = alike.where("lo = hi")
-    around = alike.join(single.select("seed").distinct(), "seed", "left_semi")
-    single = candidates.join(single.select("seed", "around"), ["seed", "around"], "left_semi")
-    groups = around.where("lo <> hi").select(F.col("lo").alias("key"), F.col("lo_at").alias("at"), "seed")
-    wanted = single.select("key", "at", "seed").union(groups)
+    # A context that one document has several times: all its places are wanted.
+    again = single.where("copies > 1").select(*context, "copies")
+    again = spread_join(candidates, again, context, ["key", "at"]).select("key", "at", "seed")
+    mixed = alike.groupBy("seed").agg(F.count_if(F.col("lo") != F.col("hi")).alias("copies"), F.count_if(F.col("lo") == F.col("hi")).alias("singles"))
+    mixed = materialize(mixed.where("copies > 0 AND singles > 0").select("seed", "copies"), "mixed-seeds")
+    compared = spread_join(groups.drop("copies"), mixed, ["seed"], ["around"]).select(*first)
+    wanted = single.where("copies = 1").select(*first).union(again).union(compared)
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "seed")).alias("wanted"))
     rest = X.map_text(
         docs.join(wanted, "key").select("key", "text", "wanted"),
@@ -294,8 +303,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rest = materialize(rest, "contexts")
     near = materialize(_neighbours(rest, kind), "matches")
     # Two suffixes are neighbours; of more, any two may share most on the left.
-    many = materialize(rest.groupBy("seed").count().where("count > 2").select("seed"), "many")
-    counted = _windows(rest.join(many, "seed", "left_semi"))
+    many = materialize(rest.groupBy("seed").agg(copies).where("copies > 2"), "many")
+    counted = _windows(spread_join(rest, many, ["seed"], ["key", "at"]))
 
     found = settled.union(near).union(counted)
     found = found.select(
