@@ -503,6 +503,21 @@ def test_pairs_are_learned_whose_terms_say_nothing_alone():
     assert np.mean([(margin(own) >= 0) == label for label, own in examples[3000:]]) >= 0.9
 
 
+def test_long_texts_do_not_throw_the_vectors_out():
+    """Texts of hundreds of shared terms, whose pairs say nothing; margins ran into the thousands without a bound."""
+    rng, examples = np.random.default_rng(3), []
+    for _ in range(800):
+        own, label = set((rng.zipf(1.3, 3000) % 20000 + 10).tolist()), int(rng.random() < 0.1)
+        own |= {int(rng.integers(0, 4))} if label else set()
+        examples.append((label, np.array(sorted(own))))
+    machine = toxicity.train(examples[:600])
+    for _, own in examples[600:]:
+        at = np.flatnonzero(np.isin(machine.slots, own))
+        vector = machine.vectors[at]
+        total = vector.sum(axis=0)
+        assert abs(machine.bias + machine.weights[at].sum() + (total @ total - (vector * vector).sum()) / 2) < 50
+
+
 def test_toxicity_reads_the_whole_text(spark):
     rows = toxic_rows(800, 2)
     table = spark.createDataFrame([(k, t, "en", "s", 0) for k, t, _ in rows], SCHEMA)

@@ -33,6 +33,9 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 1.0
 #: The same for vectors.
 PAIR_ALPHA, PAIR_L1, PAIR_L2 = 0.3, 2.0, 1.0
+#: Bound of a vector's gradient in one text. The gradient is a sum over all terms of the text; without a bound a few
+#: long texts feed their own sums and throw the vectors far out.
+PAIR_GRADIENT = 0.1
 #: Terms in fewer fitted texts have no vector.
 LEAST_TEXTS = 5
 
@@ -123,7 +126,7 @@ def train(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, factors:
             z[own] += error - (np.sqrt(after) - np.sqrt(before)) / ALPHA * weight
             n[own] = after
             weights[own] = _moved(z[own], after, ALPHA, L1, L2)
-            gradient = error * (total - vector)
+            gradient = np.clip(error * (total - vector), -PAIR_GRADIENT, PAIR_GRADIENT)
             before, after = pair_n[paired], pair_n[paired] + gradient**2
             pair_z[paired] += gradient - (np.sqrt(after) - np.sqrt(before)) / PAIR_ALPHA * (vector - start[paired])
             pair_n[paired] = after
