@@ -162,6 +162,30 @@ def test_declared_categories_reach_the_trees(spark):
     assert depth_one_error({"c": 6}) == 0 < depth_one_error(None)
 
 
+def test_rows_are_cached_while_models_are_fitted(spark, frames, models, monkeypatch):
+    """Every fit reads labels, folds and vectors from the cache, which is empty again after it, also if a fit fails."""
+    cached, fit = [], training.GBTClassifier.fit
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def record(self, rows):
+        cached.append("InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString())
+        return fit(self, rows)
+
+    before = held()
+    monkeypatch.setattr(training.GBTClassifier, "fit", record)
+    again = training.stage1(*frames, FAST, features=FEATURES)
+    assert cached == [True] * 5 and held() <= before
+    assert [m.importances().tolist() for m in again.models] == [m.importances().tolist() for m in models[0].models]
+
+    def fail(self, rows):
+        raise RuntimeError("no fit")
+
+    monkeypatch.setattr(training.GBTClassifier, "fit", fail)
+    with pytest.raises(RuntimeError, match="no fit"):
+        training.stage1(*frames, FAST, features=FEATURES)
+    assert held() <= before
+
+
 def test_csv_to_csv(spark, tmp_path):
     """Both splits written as raw CSV, the full run, and the three outputs."""
     from catalogue import fixtures, queries
