@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import with_targets
-from tidemark.plans import metrics, pipeline, training
+from tidemark.operators.ranks import fold_columns
+from tidemark.plans import boosting, metrics, pipeline, training
 from tidemark.functions.numeric import first_argmax
 from tidemark import session
 from tidemark.schemas import BASE_FEATURES, CLASSES, MODEL_FEATURES, TARGETS
@@ -218,3 +219,23 @@ def test_csv_to_csv(spark, tmp_path):
     assert sum(r.support for r in outcome.report.collect() if r.name in CLASSES) == tables["users"].where(
         "split = 'train'"
     ).count()
+
+
+def test_fold_ranks_are_not_broadcast(spark, tmp_path):
+    """Of the two sides of their join the offsets are broadcast, not the rows, although these look small in their file."""
+    path = str(tmp_path / "labels")
+    spark.range(20_000).select(F.col("id").alias("user_id"), (F.col("id") % 3).alias("y")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    folds = fold_columns(rows, "user_id", {"fold_a": (F.col("y"), 0), "fold_b": (F.col("y"), 42)})
+    joins = [x for x in folds._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1 and "BuildRight" in joins[0]
+    counts = folds.join(rows, "user_id").groupBy("y", "fold_a").count().collect()
+    assert len(counts) == 15 and max(r["count"] for r in counts) - min(r["count"] for r in counts) <= 2
+
+
+def test_curves_start_no_python_workers(spark):
+    curves = boosting.curve_table(spark, [[(0.5, 0.25)], [(), (0.75,)]])
+    assert "ExistingRDD" not in curves._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, curves.collect())) == [(0, 0, 1, 0.5), (0, 0, 2, 0.25), (1, 1, 1, 0.75)]
+    assert curves.dtypes == [("fold", "int"), ("member", "int"), ("round", "int"), ("loss", "double")]
+    assert boosting.curve_table(spark, [[]]).count() == 0
