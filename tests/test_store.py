@@ -3,10 +3,13 @@
 import os
 import random
 import threading
+from dataclasses import replace
+from multiprocessing.pool import ThreadPool
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from catalogue import fixtures
@@ -82,6 +85,8 @@ def planted(spark, n, seed):
 
 FEATURES = ("a", "noise")
 MODEL = training.Settings(rounds=12, stage1_depth=4, stage2_depth=2, multiclass_depth=2, patience=3, parallelism=1)
+# Steps so large that a later round is worse, so that models are cut after few rounds.
+HASTY = replace(MODEL, rounds=3, step=1.0, stage1_depth=3, patience=1)
 
 
 @pytest.fixture(scope="module")
@@ -137,6 +142,17 @@ def test_models_keep_the_rounds_up_to_their_best(frames, kept):
     assert again == pytest.approx(curves[0][: rounds[0]])
 
 
+def test_importances_need_no_active_session(spark, frames):
+    """Models are cut in threads that have no active session, and their importances can be taken in one."""
+    scores = training.multiclass(*frames, HASTY, features=FEATURES)
+    assert min(r.rounds for r in scores.rounds().collect()) < HASTY.rounds
+    with ThreadPool(1) as pool:
+        assert pool.apply(SparkSession.getActiveSession) is None
+        ranked = pool.apply(training.importances, (scores,))
+    assert [r.feature for r in ranked.collect()] == ["a", "noise"]
+    assert ranked.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+
+
 def test_an_interrupted_cross_validation_goes_on(spark, frames, tmp_path, monkeypatch):
     root, fits, save = str(tmp_path / "models"), [], training.save_fold
 
