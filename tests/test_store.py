@@ -153,6 +153,16 @@ def test_importances_need_no_active_session(spark, frames):
     assert ranked.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("fit", [training.multiclass])
+def test_cut_models_are_the_first_trees_of_whole_ones(frames, fit):
+    scores = fit(*frames, HASTY, features=FEATURES)
+    whole = fit(*frames, replace(HASTY, patience=None), features=FEATURES)
+    kept = [r.rounds for r in scores.rounds().orderBy("fold", "member").collect()]
+    assert kept == [best_by_hand(c, HASTY.patience) for m in scores.models for c in m.curves] and min(kept) < HASTY.rounds
+    trees = lambda s: [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for f in s.models for m in f.members]
+    assert trees(scores) == [every[:n] for every, n in zip(trees(whole), kept)]
+
+
 def test_an_interrupted_cross_validation_goes_on(spark, frames, tmp_path, monkeypatch):
     root, fits, save = str(tmp_path / "models"), [], training.save_fold
 
