@@ -153,7 +153,7 @@ def test_importances_need_no_active_session(spark, frames):
     assert ranked.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("fit", [training.multiclass, training.stage1])
+@pytest.mark.parametrize("fit", [training.multiclass, training.stage1, training.stage2])
 def test_cut_models_are_the_first_trees_of_whole_ones(frames, fit):
     scores = fit(*frames, HASTY, features=FEATURES)
     whole = fit(*frames, replace(HASTY, patience=None), features=FEATURES)
